@@ -30,8 +30,6 @@ from tidemill.llm.common import partitions_for, ship, stored, table
 
 MAX_SOURCES = 100_000
 BLOCK_WORDS, SHARD_SLOTS, SEED = 512, 1024, 20_240_607
-#: Documents of a source that one bucket of the prefix sums holds on average, at least.
-BUCKET_ROWS = 4096
 # The weights of the query's sources, by code point, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -147,9 +145,10 @@ def sized(docs: DataFrame) -> DataFrame:
 def placed(rows: DataFrame, n_rows: int) -> DataFrame:
     """``rows`` (of src, size, doc_id, h and more) with the start of each in its source's stream.
 
-    The order is by hashed bucket, then doc_id. Bucket sums are small and summed up per source; then each bucket alone.
+    The order is by hashed bucket, then doc_id. Bucket sums are summed up per source, then each bucket alone; with as many
+    buckets as the square root of the rows neither is large.
     """
-    buckets = max(16, n_rows // BUCKET_ROWS)
+    buckets = max(16, math.isqrt(n_rows))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)))
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     base = sums.withColumn("base", F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("src", "bucket", F.coalesce("base", F.lit(0)).alias("base"))
@@ -198,7 +197,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(source), shard, np.int64)), pa.array(order), pa.array(source), *map(pa.array, cols)], ["shard", "slot", "src", "pass", "block", "words"])
 
     slot_rows = spark.range(0, shards, 1, partitions_for(spark, shards, 64)).mapInArrow(fill, "shard long, slot long, src int, pass long, block long, words long")
-    pieces = parts.join(slot_rows, ["src", "block"], "left")
+    # Slots grow with the input, which the planner cannot know of rows made in Python: never broadcast them.
+    pieces = parts.join(slot_rows.hint("merge"), ["src", "block"], "left")
     taken = F.greatest(F.lit(0), F.least(F.col("n"), F.col("block") * block_words + F.col("words") - F.col("lo")))
     pieces = pieces.withColumn("n", F.when(F.col("words").isNull(), 0).otherwise(taken).cast("long")).withColumn("first", F.col("lo") - F.col("start"))
     return empty, pieces
