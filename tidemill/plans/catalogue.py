@@ -1,2 +1,314 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of the link catalogue on the driver's tables, each with the same query in SQL.
+
+The tables have no search pages or outcomes of their own; each query binds the operator to a similar column.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemill.functions import text as T
+from tidemill.operators import hits as H
+from tidemill.operators import outcomes as O
+from tidemill.operators import pages as P
+from tidemill.operators import status as S
+from tidemill.sources import readers as R
+from tidemill.sources.sinks import result_lines
+
+PATTERN = r"^https?://[^/?#]+/(en|fr|de|es)/(\d+)"
+PREFIX = "https://www.example.org/document"
+LIMIT, CAP = 15, 10
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LINKS = rf"""links AS (SELECT page_id, regexp_extract(url, '{PATTERN}', 1) AS keyword, regexp_extract(url, '{PATTERN}', 2) AS id FROM pages WHERE regexp_matches(url, '{PATTERN}'))"""
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, keyword, id) of matching page urls."""
+    pages = table(spark, d, "pages").select("page_id", "url", F.col("url").alias("href"))
+    got = H.extracted(pages, PATTERN, PREFIX, id_group=2, slug_group=None)
+    return got.select("page_id", F.regexp_extract("href", PATTERN, 1).alias("keyword"), "id", "url")
+
+
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, keyword, id, '{PREFIX}/' || id AS url FROM links")
+def link_extract(spark, d):
+    return _hits(spark, d)
+
+
+@query(r"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM
+(SELECT page_id, regexp_extract_all(html, '<a\b[^>]*?href="([^"]*)"[^>]*>', 1) AS h FROM pages))""")
+def anchor_scan(spark, d):
+    return R.anchors(table(spark, d, "pages"), "html", "page_id")
+
+
+@query(f"WITH {_LINKS} SELECT keyword, id, min(page_id) AS page_id FROM links GROUP BY ALL")
+def first_wins(spark, d):
+    return H.first_wins(_hits(spark, d), ["keyword", "id"], ["page_id"]).select("keyword", "id", "page_id")
+
+
+@query(f"WITH {_LINKS} SELECT page_id, keyword, id FROM links WHERE id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)")
+def anti_held(spark, d):
+    return H.not_held(_hits(spark, d), _held(spark, d)).select("page_id", "keyword", "id")
+
+
+@query(f"WITH {_LINKS} SELECT keyword, count(*) AS n_links, CAST(count(*) FILTER (id IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)) AS BIGINT) AS skipped_existing FROM links GROUP BY 1")
+def held_counts(spark, d):
+    return H.held_count(_hits(spark, d), _held(spark, d), "keyword")
+
+
+@query(rf"""WITH {_LINKS},
+pl AS (SELECT DISTINCT keyword, page_id // 2 AS g FROM links),
+pn AS (SELECT keyword, g, CAST(row_number() OVER (PARTITION BY keyword ORDER BY g) AS INTEGER) AS page FROM pl),
+h AS (SELECT l.keyword, page, page_id AS pos, id FROM links l JOIN pn ON l.keyword = pn.keyword AND l.page_id // 2 = pn.g WHERE page <= {CAP}),
+f AS (SELECT * FROM h WHERE id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark) QUALIFY row_number() OVER (PARTITION BY keyword, id ORDER BY page, pos) = 1),
+s AS (SELECT keyword, min(CASE WHEN NOT EXISTS (SELECT 1 FROM f WHERE f.keyword = pn.keyword AND f.page = pn.page) THEN page END) AS stop FROM pn WHERE page <= {CAP} GROUP BY 1),
+k AS (SELECT f.keyword, page, pos, id, CAST(row_number() OVER (PARTITION BY f.keyword ORDER BY page, pos) AS INTEGER) AS n FROM f JOIN s ON f.keyword = s.keyword WHERE stop IS NULL OR page < stop)
+SELECT keyword, page, pos, id, n FROM k WHERE n <= {LIMIT}""")
+def page_stop_limit(spark, d):
+    got = _hits(spark, d).withColumn("g", F.expr("page_id div 2"))
+    pages = got.select("keyword", "g").distinct().withColumn("page", F.row_number().over(Window.partitionBy("keyword").orderBy("g")))
+    links = got.join(pages, ["keyword", "g"]).select("keyword", "page", F.col("page_id").alias("pos"), "id")
+    return H.search(pages.select("keyword", "page"), links, _held(spark, d), LIMIT, CAP)
+
+
+@query(r"""WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', ''), '/+$', '') AS p FROM pages),
+s AS (SELECT page_id, url, coalesce(nullif(trim(regexp_replace(url_decode(coalesce(nullif(p[len(p) - strpos(reverse(p), '/') + 2:], ''), 'document')), '[\\/*?:"<>|]', '', 'g')), ''), 'document') AS n,
+             regexp_extract(url, '/(?:en|fr|de|es)/(\d+)', 1) AS i FROM p)
+SELECT page_id, CASE WHEN i <> '' AND NOT ends_with(n, i) THEN n || '_' || i ELSE n END || '.pdf' AS filename FROM s""")
+def url_filename(spark, d):
+    return table(spark, d, "pages").select("page_id", T.safe_filename(F.col("url"), r"/(?:en|fr|de|es)/(\d+)").alias("filename"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, substr(text, 1, 40) AS t FROM documents)
+SELECT doc_id, trim(regexp_replace(lower(t), '[^\p{L}\p{N}_\-]', '_', 'g'), '_') AS slug, trim(regexp_replace(t, '[^\p{L}\p{N}_\-]', '_', 'g'), '_') AS gui_slug FROM s""")
+def slug(spark, d):
+    t = F.substring("text", 1, 40)
+    return table(spark, d, "documents").select("doc_id", T.slug(t).alias("slug"), T.slug(t, lower=False).alias("gui_slug"))
+
+
+@query("""SELECT doc_id, replace(url_encode(substr(text, 1, 40)), '%20', '+') AS encoded,
+'https://example.org/search?query=' || replace(url_encode(substr(text, 1, 40)), '%20', '+') || '&page=' || CAST(doc_id % 7 + 1 AS VARCHAR) AS url FROM documents""")
+def query_encode(spark, d):
+    t = F.substring("text", 1, 40)
+    return table(spark, d, "documents").select("doc_id", T.query_encode(t).alias("encoded"), T.search_url(t, F.col("doc_id") % 7 + 1, "https://example.org/search").alias("url"))
+
+
+@query(rf"""SELECT page_id, coalesce(nullif(trim(CASE page_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE ' text ' END), ''), CASE WHEN page_id % 5 = 0 THEN 'attribute' END,
+nullif(replace(CASE WHEN page_id % 7 < 4 THEN 'a-b-' || CAST(page_id AS VARCHAR) ELSE '' END, '-', ' '), ''), 'Document ' || CAST(page_id AS VARCHAR)) AS title FROM pages""")
+def title_fallback(spark, d):
+    i = F.col("page_id")
+    words = F.when(i % 3 == 0, "  ").when(i % 3 == 2, " text ")
+    s = F.when(i % 7 < 4, F.concat(F.lit("a-b-"), i.cast("string"))).otherwise("")
+    return table(spark, d, "pages").select("page_id", T.title(words, F.when(i % 5 == 0, "attribute"), s, i.cast("string")).alias("title"))
+
+
+@query(r"""SELECT page_id, nullif(regexp_extract(url, '/(?:en|fr)/(\d+)', 1), '') AS id,
+CASE WHEN url IS NULL OR url = '' THEN 'empty' WHEN regexp_extract(url, '/(?:en|fr)/(\d+)', 1) = '' THEN 'no document id' END AS reason FROM pages""")
+def valid_reject(spark, d):
+    return H.rejects(table(spark, d, "pages").select("page_id", "url"), r"/(?:en|fr)/(\d+)").select("page_id", "id", "reason")
+
+
+@query("SELECT page_id, 'https://x/content/' || nullif(regexp_extract(url, 'https?://(?:www\\.)?[^/?#]+/(?:en|de)/(\\d+)', 1), '') || '/view' AS content, CASE WHEN starts_with(url, 'https://') THEN '~' || substr(url, 9) ELSE url END AS shown FROM pages".replace("\\\\", "\\"))
+def content_link(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", T.content_url(u, T.LinkPattern(kinds="en|de"), "https://x/content/", "/view").alias("content"), T.mask_home(u, "https://").alias("shown"))
+
+
+def _outcomes(spark, d):
+    e = table(spark, d, "events").where("event_type IN ('purchase', 'view', 'error')")
+    return e.select("user_id", F.col("event_id").alias("ord"), F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "skipped").otherwise("failed").alias("status"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), F.col("event_type").alias("reason"))
+
+
+_COUNTS = """c AS (SELECT user_id, count(*) AS total, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS success, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS skipped,
+CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS failed, coalesce(string_agg('u' || event_id || ':' || event_type, ',' ORDER BY event_id) FILTER (event_type = 'error'), '') AS failed_urls
+FROM events WHERE event_type IN ('purchase', 'view', 'error') GROUP BY 1)"""
+
+
+@query(f"WITH {_COUNTS} SELECT * FROM c")
+def outcomes(spark, d):
+    c = O.counters(_outcomes(spark, d), "user_id")
+    return c.withColumn("failed_urls", F.array_join(F.transform("failed_urls", lambda f: F.concat(f["url"], F.lit(":"), f["reason"])), ","))
+
+
+@query(f"WITH {_COUNTS} SELECT count(*) AS total_keywords, CAST(sum(success) AS BIGINT) AS total_downloaded, CAST(sum(skipped) AS BIGINT) AS total_skipped, CAST(sum(failed) AS BIGINT) AS total_failed FROM c")
+def overall(spark, d):
+    return O.overall(O.counters(_outcomes(spark, d), "user_id"))
+
+
+@query(f"""WITH {_LINKS}, i AS (SELECT page_id, id, page_id % 2 = 0 AS ok FROM links)
+SELECT page_id, id, CASE WHEN max(CAST(ok AS INTEGER)) OVER (PARTITION BY id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 'skipped' WHEN ok THEN 'success' ELSE 'failed' END AS status FROM i""")
+def dup_skip(spark, d):
+    return O.repeats(_hits(spark, d).withColumn("ok", F.col("page_id") % 2 == 0), "id", "ok", "page_id").select("page_id", "id", "status")
+
+
+@query("SELECT p_partkey, 'f' || CAST(p_partkey % 50 AS VARCHAR) || '.pdf' AS filename, p_partkey % 50 IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AS held FROM part")
+def skip_by_file(spark, d):
+    name = lambda c: F.concat(F.lit("f"), c.cast("string"), F.lit(".pdf"))
+    files = table(spark, d, "supplier").select(name(F.col("s_suppkey")).alias("name"), F.col("s_acctbal").alias("size"))
+    return O.skip_held(table(spark, d, "part").select("p_partkey", name(F.col("p_partkey") % 50).alias("filename")), files)
+
+
+@query("SELECT DISTINCT CAST(CASE WHEN doc_id % 4 = 3 THEN NULL ELSE doc_id // 2 END AS VARCHAR) AS id FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 5 <> 4")
+def held_from_names(spark, d):
+    n, stem = F.col("doc_id"), F.expr("cast(doc_id div 2 as string)")
+    name = F.concat(F.when(n % 4 == 0, stem).when(n % 4 == 3, F.concat(F.lit("a"), stem)).otherwise(F.concat(F.lit("Some title_"), stem)), F.when(n % 5 == 4, ".PDF").otherwise(".pdf"))
+    return R.held_ids(table(spark, d, "documents").select(name.alias("name")))
+
+
+@query("""SELECT doc_id, page_num, (page_num - 1) // 8 AS batch, page_num % 8 = 0 OR page_num = n_chars % 21 + 1 AS ends_batch, format('page-{:08d}.pdf', page_num) AS file
+FROM (SELECT doc_id, n_chars, unnest(range(1, n_chars % 21 + 2)) AS page_num FROM documents)""")
+def page_batches(spark, d):
+    pages = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_chars") % 21 + 1)).alias("page_num"))
+    return P.batched(pages).select("doc_id", "page_num", "batch", "ends_batch", "file")
+
+
+@query("SELECT p_partkey, ceil(p_size - 10) / 96.0::DOUBLE AS w_in, ceil(p_retailprice) / 96.0::DOUBLE AS h_in FROM part WHERE p_size - 10 > 0 AND p_retailprice > 0")
+def geometry(spark, d):
+    return P.printable(table(spark, d, "part").select("p_partkey", (F.col("p_size") - 10).alias("width"), F.col("p_retailprice").alias("height"))).select("p_partkey", "w_in", "h_in")
+
+
+@query("""SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'page object missing' ELSE CASE WHEN toxic = 1 THEN 'broken' ELSE 'page or image load timed out' END END AS reason
+FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR toxic = 1 OR quality = 0""".replace("SELECT doc_id", "SELECT d.doc_id"))
+def missing_pages(spark, d):
+    pages = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("loaded"), F.lit(0).alias("pending_images"), F.when(F.col("toxic") == 1, "broken").alias("error"))
+    return P.load_failures(table(spark, d, "documents").select("doc_id"), pages, ["doc_id"]).select("doc_id", "reason")
+
+
+@query("SELECT lang, CAST(count(*) FILTER (coalesce(quality, 0) = 1) AS BIGINT) AS n_loaded, count(*) AS n_pages, bool_and(coalesce(quality, 0) = 1) AS ready FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def pages_ready(spark, d):
+    j = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
+    return P.loaded(j.withColumn("loaded", F.col("quality") == 1), "lang")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def task_latest(spark, d):
+    return S.latest(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
+
+
+_STATE = "CASE event_type WHEN 'click' THEN 'searching' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'stopped' ELSE 'ready' END"
+
+
+@query(f"""WITH t AS (SELECT user_id, {_STATE.replace('event_type', "arg_max(event_type, (ts, event_id))")} AS s FROM events GROUP BY 1),
+c AS (SELECT CAST(count(*) FILTER (s IN ('searching', 'downloading')) AS BIGINT) AS n_running, count(*) AS n, coalesce(bool_or(s = 'stopped'), false) AS any_stopped, coalesce(bool_and(s = 'success'), false) AS all_done FROM t)
+SELECT n_running, n - n_running AS n_idle, any_stopped, all_done, CASE WHEN n_running > 0 THEN 'running' WHEN any_stopped THEN 'stopped' WHEN all_done THEN 'done' ELSE 'ready' END AS badge FROM c""")
+def task_badge(spark, d):
+    return S.badge(task_latest(spark, d).select(F.expr(_STATE).alias("status")))
+
+
+@query(f"""SELECT event_id, {_STATE} AS status, CASE {_STATE} WHEN 'searching' THEN 'blue' WHEN 'error' THEN 'red' WHEN 'success' THEN 'green' WHEN 'stopped' THEN 'orange' ELSE 'gray' END AS colour,
+CASE WHEN user_id % 10 = 3 THEN 'fallback' ELSE 'sink' || CAST(user_id % 10 AS VARCHAR) END AS sink FROM events""")
+def routed_messages(spark, d):
+    e = table(spark, d, "events").select("event_id", F.expr(_STATE).alias("status"), (F.col("user_id") % 10).alias("thread"))
+    registry = spark.range(10).where("id <> 3").select(F.col("id").alias("thread"), F.concat(F.lit("sink"), F.col("id").cast("string")).alias("sink"))
+    return S.routed(e, registry, "thread", "fallback").select("event_id", "status", S.colour(F.col("status")).alias("colour"), "sink")
+
+
+@query("""SELECT user_id, event_id, stage, CAST(row_number() OVER (PARTITION BY user_id, stage ORDER BY event_id) AS INTEGER) AS current, count(*) OVER (PARTITION BY user_id, stage) AS total,
+CAST(row_number() OVER (PARTITION BY user_id, stage ORDER BY event_id) AS DOUBLE) / count(*) OVER (PARTITION BY user_id, stage) AS fraction FROM events, (VALUES ('before'), ('after')) v(stage)""")
+def progress_events(spark, d):
+    return S.progress_events(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query("""SELECT user_id, event_id, event_type, CASE WHEN max(CAST(event_type = 'signup' AS INTEGER)) OVER (PARTITION BY user_id) = 1 THEN 'stopped' ELSE 'success' END AS final FROM events
+QUALIFY max(CAST(event_type = 'signup' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) = 0""")
+def stop_cut(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", (F.col("event_type") == "signup").alias("stop"))
+    e = e.withColumn("final", S.final_status(F.max("stop").over(Window.partitionBy("user_id"))))
+    return O.before_stop(e, "user_id", "event_id", "stop").drop("stop")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, coalesce(event_type = lag(event_type) OVER w, false) AS same FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+b AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) - 1 AS k FROM b)
+SELECT user_id, min(CASE WHEN k = 2 THEN event_id END) AS settled_at FROM c GROUP BY 1""")
+def settled(spark, d):
+    return P.settled(table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+@query("SELECT event_id, coalesce(value > 50, false) AS timed_out FROM events")
+def timeouts(spark, d):
+    return P.within(table(spark, d, "events").select("event_id", "value"), "value", 50.0).select("event_id", "timed_out")
+
+
+@query("SELECT user_id, event_type, count(*) AS n_sheets FROM events GROUP BY ALL HAVING count(*) <> 1")
+def sheet_check(spark, d):
+    return P.sheet_violations(table(spark, d, "events"), ["user_id", "event_type"])
+
+
+@query(r"""WITH l AS (SELECT page_id AS line_no, CASE page_id % 4 WHEN 0 THEN '# ' || url WHEN 1 THEN '  ' || url || '  # title' WHEN 2 THEN '   ' ELSE 'plain ' || CAST(page_id AS VARCHAR) END AS line FROM pages)
+SELECT line_no, coalesce(nullif(regexp_extract(line, 'https?://\S+', 0), ''), trim(line)) AS url FROM l WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')""")
+def url_list(spark, d):
+    i = F.col("page_id")
+    line = F.when(i % 4 == 0, F.concat(F.lit("# "), F.col("url"))).when(i % 4 == 1, F.concat(F.lit("  "), F.col("url"), F.lit("  # title"))).when(i % 4 == 2, "   ").otherwise(F.concat(F.lit("plain "), i.cast("string")))
+    return R.urls_from_lines(table(spark, d, "pages").select(i.alias("line_no"), line.alias("line")))
+
+
+@query("""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, k AS keyword FROM
+(SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, trim(s[i], ' \t\n') AS k, s FROM (SELECT doc_id, string_split(replace(text, ',', chr(10)), chr(10)) AS s FROM documents)) WHERE k <> ''""".replace("s[i]", "unnest(s)").replace(", s FROM (SELECT", " FROM (SELECT"))
+def keyword_list(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(R.keywords(F.col("text"))).alias("pos", "keyword"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' u' || CAST(doc_id AS VARCHAR) ELSE 'v' || CAST(doc_id AS VARCHAR) END AS url FROM documents WHERE doc_id % 3 <> 2")
+def item_list(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.when(i % 3 == 1, F.concat(F.lit(" v"), i.cast("string"), F.lit(" "))).when(i % 3 == 2, "  ").alias("raw"), F.when(i % 3 == 0, F.concat(F.lit(" u"), i.cast("string"))).alias("doc_url"))
+    return R.items(rows, ordinal="doc_id")
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS content FROM (SELECT DISTINCT conv_id, turn, text FROM conversations) GROUP BY 1")
+def chunk_join(spark, d):
+    return R.joined_chunks(table(spark, d, "conversations").select("conv_id", "turn", "text").distinct(), "conv_id", "turn", "text")
+
+
+@query("""SELECT p_partkey, least(p_size, 25) AS low, greatest(p_size, 25) AS high,
+CASE WHEN p_partkey % 3 = 0 THEN 1.0::DOUBLE ELSE greatest(0.5, p_size / 20.0::DOUBLE) END AS typed_low, CASE WHEN p_partkey % 3 = 0 THEN 5.0::DOUBLE ELSE greatest(greatest(0.5, p_size / 20.0::DOUBLE), 1.0) END AS typed_high,
+CASE WHEN p_partkey % 2 = 0 THEN greatest(1, p_size - 20) ELSE 10 END AS lim, greatest(10, (p_size * 30 + 39) // 40 + 5) AS cap, greatest(1.0, round(p_retailprice / 96.0::DOUBLE, 3)) AS paper,
+CAST(ceil(p_size / 8.0::DOUBLE) AS BIGINT) AS batches, CAST(trunc(p_retailprice * 1000) AS BIGINT) AS ms, CASE WHEN p_size % 5 = 0 THEN 0.0::DOUBLE ELSE CAST(p_size AS DOUBLE) / (p_size % 5) END AS fraction,
+p_partkey % 4 <> 1 AS flag FROM part""")
+def scalar_rules(spark, d):
+    p, n = table(spark, d, "part"), F.col("p_size")
+    low, high = T.delay_range(n, F.lit(25))
+    t_low, t_high = T.delay_range_typed(F.when(F.col("p_partkey") % 3 == 0, "x").otherwise((n / 20).cast("string")), F.lit("1.0"))
+    typed = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), (n - 20).cast("string"))).otherwise("many")
+    return p.select("p_partkey", low.alias("low"), high.alias("high"), t_low.alias("typed_low"), t_high.alias("typed_high"), T.limit_typed(typed).alias("lim"), T.page_cap(n * 30).alias("cap"), T.paper_inches(F.col("p_retailprice"), 7.25).alias("paper"), T.batches(n, 8).alias("batches"), T.milliseconds(F.col("p_retailprice")).alias("ms"), T.progress(n, n % 5).alias("fraction"), T.truthy(F.when(F.col("p_partkey") % 4 == 1, " No ").otherwise("yes")).alias("flag"))
+
+
+@query("""WITH k AS (SELECT p_partkey, trim(substr(trim(p_name), 1, 24)) AS s FROM part)
+SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY p_partkey) > 1 THEN s || ' (task_' || CAST(p_partkey AS VARCHAR) || ')' ELSE s END AS tab FROM k""")
+def tab_names(spark, d):
+    p = table(spark, d, "part").withColumn("s", T.strip(F.substring(T.strip(F.col("p_name")), 1, 24)))
+    clash = F.row_number().over(Window.partitionBy("s").orderBy("p_partkey")) > 1
+    return p.withColumn("clash", clash).select("p_partkey", T.tab_name(F.col("p_name"), F.concat(F.lit("task_"), F.col("p_partkey").cast("string")), F.col("clash")).alias("tab"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, '{PREFIX}/' || id || '  # Document ' || id AS line FROM links")
+def result_file_lines(spark, d):
+    return _hits(spark, d).select("page_id", result_lines(F.col("url"), F.concat(F.lit("Document "), F.col("id"))).alias("line"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp, decode(from_base64(to_base64(encode(o_orderpriority)))) AS decoded FROM orders")
+def stamps(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", T.stamp(F.col("o_orderdate")).alias("stamp"), F.unbase64(F.base64(F.col("o_orderpriority").cast("binary"))).cast("string").alias("decoded"))
