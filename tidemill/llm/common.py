@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one Arrow batch: a batch of texts exists several times at once, in the JVM and in Python.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application: functions sent to them are found by import."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -35,6 +44,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_kept: dict[str, Any] = {}
+
+
+def release() -> None:
+    """Empty what this Python worker keeps between tasks and give the memory back."""
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass  # another C library
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps between tasks under ``name``. One thing at a time: another name empties it."""
+    if name not in _kept:
+        release()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset, as in local tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

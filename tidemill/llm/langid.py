@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import words as W
-from tidemill.llm.common import ship, table, texts
+from tidemill.llm.common import kept, release, ship, table, texts
 
 VOCABULARY = "piece_bpe_32k.model"
 PART, MAX_LANGS, UND = 32, 1000, "und"
 #: Weight of the vocabulary's own ranks in a language's probabilities, and the probability of a character without a piece.
 SMOOTHING, UNKNOWN = 0.05, 1e-9
 #: Distinct words that are counted before they go through lattices, words of one lattice, and words whose scores are kept.
-FLUSH, LATTICE, KNOWN = 200_000, 25_000, 400_000
+FLUSH, LATTICE, KNOWN = 150_000, 20_000, 250_000
 _STRIP = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MARK = ord("▁")  # begins a word in the vocabulary
@@ -211,18 +211,13 @@ class Model:
     name: str
 
 
-_scores: dict[str, tuple[dict[str, int], np.ndarray]] = {}
-
-
 def word_scores(words: list[str], model: Model) -> np.ndarray:
     """log probability of each word in each language. Scores are kept over the tasks of a worker, at most KNOWN at once."""
-    number, table_ = _scores.get(model.name, ({}, np.zeros((KNOWN, len(model.langs)))))
+    number, table_ = kept(f"scores {model.name}", lambda: ({}, np.zeros((KNOWN, len(model.langs)))))
     if len(number) + len(words) > KNOWN:
-        number = {}
-        if len(words) > KNOWN:
-            table_ = np.zeros((len(words), len(model.langs)))
-    _scores.clear()
-    _scores[model.name] = number, table_
+        number.clear()
+    if len(words) > KNOWN:  # one huge text: its scores are not kept
+        number, table_ = {}, np.zeros((len(words), len(model.langs)))
     new = [w for w in words if w not in number]
     for i in range(0, len(new), LATTICE):
         part = new[i : i + LATTICE]
@@ -243,6 +238,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_langs: int = MAX_LA
     place = {x: i for i, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         pieces, k = pieces_of(vocabulary), len(langs)
         total = np.zeros((pieces.size, k))
         number: dict[str, int] = {}

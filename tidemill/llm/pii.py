@@ -21,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemill.llm.common import ship, texts
+from tidemill.llm.common import release, ship, texts
 
 # Kinds in the order of the digest, patterns and cue words.
 BASE = ("email", "ip", "card", "phone")
@@ -153,6 +153,7 @@ def scan(docs: DataFrame, with_text: bool = True) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         automaton = anchors()
         for b in batches:
             rows = {n.split()[0]: [] for n in SCHEMA.split(", ")}
@@ -176,6 +177,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         automaton = anchors()
         for b in batches:
             i = names.index("text")

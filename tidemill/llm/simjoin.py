@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import words as W
-from tidemill.llm.common import partitions_for, ship, stored, table, texts
+from tidemill.llm.common import release, ship, stored, table, texts
 from tidemill.llm.components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
@@ -90,6 +90,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             sids, out = [], []
             for n, off, sets in shingle_sets(b.column(1)):

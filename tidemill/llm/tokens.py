@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import words as W
-from tidemill.llm.common import ship, table, texts
+from tidemill.llm.common import kept, ship, table, texts
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_WORDS = 700_000
@@ -123,14 +123,9 @@ class Encoder:
                 yield np.frombuffer(b"".join([ids[i] for i in index[a:b].tolist()]), "<u4")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(tokenizer: str) -> Encoder:
     """One encoder for each Python worker, so that its word table serves all tasks of the worker."""
-    if tokenizer not in _encoders:
-        _encoders[tokenizer] = Encoder(public_tokenizers.path(tokenizer))
-    return _encoders[tokenizer]
+    return kept(f"encoder {tokenizer}", lambda: Encoder(public_tokenizers.path(tokenizer)))
 
 
 def stable(text: str, left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], agree: int = AGREE) -> int | None:
