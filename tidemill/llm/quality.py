@@ -5,7 +5,7 @@ list of rules against bad documents: each rule is a conjunction of thresholds, g
 of the labelled rows, pruned on the rest, and kept while it stays precise; rows that it covers leave the training set.
 The list is emitted as one Spark ``CASE`` expression, which judges all rows.
 
-The fit reads at most ``max_labelled`` labelled rows, those with the smallest hash of doc_id; nothing else is bounded.
+The fit reads at most ``max_labelled`` labelled rows, chosen by the hash of doc_id; nothing else is bounded.
 Nulls are empty texts (all statistics 0). Null labels are not used; of several labels of one doc_id the largest counts.
 Without labels of both kinds the list is empty and keeps everything that the base rules keep. Every row gives one row.
 Repeats of words and lines are found by 64-bit hashes within a text.
@@ -188,7 +188,9 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
     """The decision list for labelled rows of ``stats``; ``labels`` has doc_id and quality (1 good, 0 bad)."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = stats.join(marked, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", *(F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()))
-    got = rows.orderBy("h", *FEATURES).limit(max_labelled).toPandas()
+    # Thin by hash to about twice the bound first, so that partitions do not each send the driver a full sample.
+    share = min(1.0, 2 * max_labelled / max(1, marked.count()))
+    got = rows.where(F.shiftrightunsigned("h", 34) < int(share * (1 << 30))).orderBy("h", *FEATURES).limit(max_labelled).toPandas()
     bad = got["quality"].to_numpy() == 0
     if not len(got) or bad.all() or not bad.any():
         return []
