@@ -219,9 +219,13 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     _, pieces = mix(docs, **options)
     names = docs.columns
     rows = docs.withColumn("doc_id_", F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id_", "h"])
-    parts = pieces.where("n > 0").select(F.col("doc_id").alias("doc_id_"), "h", F.col("first").cast("int").alias("first_"), F.col("n").cast("int").alias("n_"))
+    cut = F.struct(F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n"))
+    # src and start tell repeated rows apart: a list holds the parts of one text, so it is bounded by that text.
+    parts = pieces.where("n > 0").groupBy(F.col("doc_id").alias("doc_id_"), "h", "src", "start").agg(F.array_sort(F.collect_list(cut)).alias("parts_")).drop("src", "start")
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"), F.lit(0))
-    out = rows.join(parts, ["doc_id_", "h"]).withColumn("text", F.array_join(F.slice(words, F.col("first_") + 1, F.col("n_")), ""))
+    # The outer transform holds the words, so that they are found once for a text and not once for each part.
+    texts = F.flatten(F.transform(F.array(words), lambda w: F.transform("parts_", lambda p: F.array_join(F.slice(w, p["first"] + 1, p["n"]), ""))))
+    out = rows.join(parts, ["doc_id_", "h"]).withColumn("text", F.explode(texts))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
