@@ -21,9 +21,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays. Rows that share a doc_id are copies."""
-    first = simjoin.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each class of near copies the document with the smallest doc_id stays. Rows that share a doc_id are copies: the
+    one with the smallest text hash stays. A row without a doc_id goes by the hash of its text instead."""
+    key, row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = simjoin.classes(docs.select(key.alias("doc_id"), "text")).where("doc_id = class_id").select("doc_id").distinct()
+    rows = docs.select(key.alias("doc_id"), F.xxhash64("text").alias("h"), row.alias("row")).join(first, "doc_id", "left_semi")
+    return rows.groupBy("doc_id").agg(F.min_by("row", "h").alias("row")).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
