@@ -215,20 +215,24 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, in the columns of ``docs``: one row for each part taken, its text cut out with the white space around
-    its words. Of rows equal in doc_id and text the other columns come from one of them; n_chars follows the text."""
+    its words. Of rows equal in doc_id and text the other columns come from one of them; n_chars follows the text.
+    A null doc_id stays null; any other column names may occur."""
     _, pieces = mix(docs, **options)
     names = docs.columns
-    rows = docs.withColumn("doc_id_", F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id_", "h"])
+    h, others = F.xxhash64("text"), [F.col(f"`{c}`") for c in names if c != "text"]
+    # Rows without a doc_id are found again by their text.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), h).alias("id"), h.alias("h"), F.col("text").alias("whole"), F.struct(*others).alias("row")).dropDuplicates(["id", "h"])
     cut = F.struct(F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n"))
     # src and start tell repeated rows apart: a list holds the parts of one text, so it is bounded by that text.
-    parts = pieces.where("n > 0").groupBy(F.col("doc_id").alias("doc_id_"), "h", "src", "start").agg(F.array_sort(F.collect_list(cut)).alias("parts_")).drop("src", "start")
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"), F.lit(0))
+    parts = pieces.where("n > 0").groupBy(F.coalesce("doc_id", "h").alias("id"), "h", "src", "start").agg(F.array_sort(F.collect_list(cut)).alias("parts")).drop("src", "start")
+    words = F.regexp_extract_all("whole", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"), F.lit(0))
     # The outer transform holds the words, so that they are found once for a text and not once for each part.
-    texts = F.flatten(F.transform(F.array(words), lambda w: F.transform("parts_", lambda p: F.array_join(F.slice(w, p["first"] + 1, p["n"]), ""))))
-    out = rows.join(parts, ["doc_id_", "h"]).withColumn("text", F.explode(texts))
+    texts = F.flatten(F.transform(F.array(words), lambda w: F.transform("parts", lambda p: F.array_join(F.slice(w, p["first"] + 1, p["n"]), ""))))
+    out = rows.join(parts, ["id", "h"]).select("row", F.explode(texts).alias("part"))
+    new = {"text": F.col("part")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        new["n_chars"] = F.length("part").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in names))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
