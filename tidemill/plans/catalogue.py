@@ -101,17 +101,17 @@ def url_filename(spark, d):
     return table(spark, d, "pages").select("page_id", T.safe_filename(F.col("url"), r"/(?:en|fr|de|es)/(\d+)").alias("filename"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, substr(text, 1, 40) AS t FROM documents)
+@query(r"""WITH s AS (SELECT doc_id, text AS t FROM documents)
 SELECT doc_id, trim(regexp_replace(lower(t), '[^\p{L}\p{N}_\-]', '_', 'g'), '_') AS slug, trim(regexp_replace(t, '[^\p{L}\p{N}_\-]', '_', 'g'), '_') AS gui_slug FROM s""")
 def slug(spark, d):
-    t = F.substring("text", 1, 40)
+    t = F.col("text")
     return table(spark, d, "documents").select("doc_id", T.slug(t).alias("slug"), T.slug(t, lower=False).alias("gui_slug"))
 
 
-@query("""SELECT doc_id, replace(url_encode(substr(text, 1, 40)), '%20', '+') AS encoded,
-'https://example.org/search?query=' || replace(url_encode(substr(text, 1, 40)), '%20', '+') || '&page=' || CAST(doc_id % 7 + 1 AS VARCHAR) AS url FROM documents""")
+@query("""SELECT doc_id, replace(url_encode(text), '%20', '+') AS encoded,
+'https://example.org/search?query=' || replace(url_encode(text), '%20', '+') || '&page=' || CAST(doc_id % 7 + 1 AS VARCHAR) AS url FROM documents""")
 def query_encode(spark, d):
-    t = F.substring("text", 1, 40)
+    t = F.col("text")
     return table(spark, d, "documents").select("doc_id", T.query_encode(t).alias("encoded"), T.search_url(t, F.col("doc_id") % 7 + 1, "https://example.org/search").alias("url"))
 
 
