@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Characters that file names may not hold, and the parts of a document link.
 ILLEGAL = r'[\\/*?:"<>|]'
 DOCUMENT_ID = r"/(?:document|doc)/(\d+)"
+# The lines and the badge that tell of a task.
+PROGRESS_LINE, PROGRESS_BADGE = "Mengunduh %d/%d (Sukses: %d)", "UNDUH (%d/%d)"
+DONE_LINE, STOPPED_LINE = "Selesai! %d PDF tersimpan", "Dihentikan oleh pengguna."
 
 
 @dataclass(frozen=True)
@@ -157,3 +160,19 @@ def joined(values: Column) -> Column:
 
 def stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def progress_line(done: Column, total: Column, success: Column) -> Column:
+    return F.format_string(PROGRESS_LINE, done, total, success)
+
+
+def progress_badge(done: Column, total: Column) -> Column:
+    return F.format_string(PROGRESS_BADGE, done, total)
+
+
+def closing_line(stopped: Column, success: Column) -> Column:
+    return F.when(stopped, STOPPED_LINE).otherwise(F.format_string(DONE_LINE, success))
+
+
+def head(values: Column, n: int = 12) -> Column:
+    return F.slice(values, 1, n)

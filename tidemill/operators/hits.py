@@ -56,3 +56,12 @@ def search(pages: DataFrame, hits: DataFrame, held: DataFrame, limit: int, cap:
     stop = stop_pages(pages.where(F.col("page") <= cap), fresh)
     kept = fresh.join(stop, "keyword").where(F.col("stop").isNull() | (F.col("page") < F.col("stop"))).drop("stop")
     return kept.withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy("page", "pos"))).where(F.col("n") <= limit)
+
+
+def page_progress(hits: DataFrame, held: DataFrame) -> DataFrame:
+    """(keyword, page, n_links, n_held, n_new, total): total is the number of new ids up to the page, itself included."""
+    mark = held.select("id").distinct().withColumn("h_", F.lit(True))
+    rank = F.row_number().over(Window.partitionBy("keyword", "id").orderBy("page", "pos"))
+    seen = hits.withColumn("first_", rank == 1).join(mark, "id", "left").withColumn("h_", F.coalesce("h_", F.lit(False)))
+    pages = seen.groupBy("keyword", "page").agg(F.count("*").alias("n_links"), F.count_if("h_").alias("n_held"), F.count_if(F.col("first_") & ~F.col("h_")).alias("n_new"))
+    return pages.withColumn("total", F.sum("n_new").over(Window.partitionBy("keyword").orderBy("page")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import inches, page_name
@@ -50,3 +50,13 @@ def settled(samples: DataFrame, by: str, order: str, value: str, repeats: int =
     runs = samples.withColumn("same_", same).withColumn("run_", F.sum(F.when(F.col("same_"), 0).otherwise(1)).over(w))
     k = F.row_number().over(Window.partitionBy(by, "run_").orderBy(order)) - 1
     return runs.withColumn("k_", k).groupBy(by).agg(F.min(F.when(F.col("k_") == repeats, F.col(order))).alias("settled_at"))
+
+
+def without_pages(documents: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """Documents that have no page at all, which is an error of the document."""
+    return documents.join(pages.select(*by), by, "left_anti").withColumn("reason", F.lit("no pages"))
+
+
+def pending(images: Column) -> Column:
+    """Whether any of a page's images is not done."""
+    return F.coalesce(F.exists(images, lambda done: ~done), F.lit(False))

@@ -47,3 +47,9 @@ def first_match(tasks: DataFrame, name: Column, order: str) -> DataFrame:
 
 def colour(status: Column, default: str = "gray") -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in COLOURS.items() for x in kv)), status), F.lit(default))
+
+
+def first_of_name(wanted: DataFrame, tasks: DataFrame, name: str, order: str, value: str, default: str) -> DataFrame:
+    """``wanted`` with the value of the first task of its name, else the default."""
+    first = tasks.groupBy(name).agg(F.min_by(value, order).alias(value))
+    return wanted.join(first, name, "left").withColumn(value, F.coalesce(value, F.lit(default)))

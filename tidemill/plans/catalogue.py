@@ -312,3 +312,51 @@ def result_file_lines(spark, d):
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp, decode(from_base64(to_base64(encode(o_orderpriority)))) AS decoded FROM orders")
 def stamps(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.stamp(F.col("o_orderdate")).alias("stamp"), F.unbase64(F.base64(F.col("o_orderpriority").cast("binary"))).cast("string").alias("decoded"))
+
+
+@query(f"""WITH {_LINKS}, r AS (SELECT keyword, page_id // 2 AS page, row_number() OVER (PARTITION BY keyword, id ORDER BY page_id) = 1 AS f, id IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark) AS h FROM links),
+p AS (SELECT keyword, page, count(*) AS n_links, CAST(count(*) FILTER (h) AS BIGINT) AS n_held, CAST(count(*) FILTER (f AND NOT h) AS BIGINT) AS n_new FROM r GROUP BY ALL)
+SELECT *, CAST(sum(n_new) OVER (PARTITION BY keyword ORDER BY page) AS BIGINT) AS total FROM p""")
+def page_progress(spark, d):
+    return H.page_progress(_hits(spark, d).select("keyword", "id", F.expr("page_id div 2").alias("page"), F.col("page_id").alias("pos")), _held(spark, d))
+
+
+@query("""SELECT user_id, format('Mengunduh {}/{} (Sukses: {})', s + f, s + f + k, s) AS line, format('UNDUH ({}/{})', s + f, s + f + k) AS badge, CASE WHEN f > s THEN 'Dihentikan oleh pengguna.' ELSE format('Selesai! {} PDF tersimpan', s) END AS closing
+FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS s, count(*) FILTER (event_type = 'error') AS f, count(*) FILTER (event_type = 'view') AS k FROM events WHERE event_type IN ('purchase', 'view', 'error') GROUP BY 1)""")
+def status_lines(spark, d):
+    c = O.counters(_outcomes(spark, d), "user_id")
+    done = F.col("success") + F.col("failed")
+    return c.select("user_id", T.progress_line(done, F.col("total"), F.col("success")).alias("line"), T.progress_badge(done, F.col("total")).alias("badge"), T.closing_line(F.col("failed") > F.col("success"), F.col("success")).alias("closing"))
+
+
+@query("SELECT n_nationkey, coalesce(f, 'base') AS folder FROM nation LEFT JOIN (SELECT s_nationkey, arg_min(s_name, s_suppkey) AS f FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON n_nationkey = s_nationkey")
+def active_folder(spark, d):
+    tasks = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", F.col("s_name").alias("folder"))
+    return S.first_of_name(table(spark, d, "nation").select("n_nationkey"), tasks, "n_nationkey", "s_suppkey", "folder", "base")
+
+
+@query("SELECT doc_id, 'no pages' AS reason FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def without_pages(spark, d):
+    return P.without_pages(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])
+
+
+@query("SELECT doc_id, list_contains(string_split(text, chr(10)), '') AS pending FROM documents")
+def pending_images(spark, d):
+    return table(spark, d, "documents").select("doc_id", P.pending(F.transform(F.split("text", "\n"), lambda x: x != "")).alias("pending"))
+
+
+@query("""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, k AS keyword, 10 AS lim FROM
+(SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, trim(unnest(s), ' \t\n') AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE k <> ''""")
+def pasted_keywords(spark, d):
+    return R.pasted(table(spark, d, "documents"), "text", "doc_id")
+
+
+@query("SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ', ' ORDER BY l_linenumber) AS failed FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1")
+def failed_pages_text(spark, d):
+    failed = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("f"))
+    return failed.select("l_orderkey", T.joined(F.col("f")).alias("failed"))
+
+
+@query(r"""SELECT page_id, array_to_string(list_slice(regexp_extract_all(html, '<a\b[^>]*?href="([^"]*)"[^>]*>', 1), 1, 12), ' ') AS links FROM pages""")
+def head_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(T.head(F.regexp_extract_all("html", F.lit(R.HREF), F.lit(1))), " ").alias("links"))

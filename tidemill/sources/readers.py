@@ -27,6 +27,11 @@ def keywords(text: Column, commas: bool = True) -> Column:
     return F.filter(F.transform(F.split(F.replace(text, F.lit(","), F.lit("\n")) if commas else text, "\n"), strip), lambda k: k != "")
 
 
+def pasted(rows: DataFrame, text: str = "text", ordinal: str = "ord", limit: int = 10) -> DataFrame:
+    """(ordinal, pos, keyword, lim): one keyword a line, each with the default limit."""
+    return rows.select(ordinal, F.posexplode(keywords(F.col(text), commas=False)).alias("pos", "keyword")).withColumn("lim", F.lit(limit))
+
+
 def items(rows: DataFrame, raw: str = "raw", url: str = "doc_url", ordinal: str = "ord") -> DataFrame:
     """Items that are a mapping with a URL (as it is) or a non-blank text (stripped)."""
     return rows.select(ordinal, F.coalesce(none_if_empty(F.col(url)), none_if_empty(strip(F.col(raw)))).alias("url")).where("url IS NOT NULL")
