@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,9 +71,13 @@ class Encoder:
             ids = [t.id for t in self.model.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.letters))]
         else:
             ids = self.tokenizer.encode(core, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, raw: str) -> bytes:
+        known = self.known
+        out = known.get(raw)  # most words are plain and stand in the table as they are
+        if out is not None:
+            return out
         body = raw.rstrip(_TAIL)
         low = body.lower() if body.isascii() else body
         # Only behind a plain letter does a tail of punctuation begin a pre-token of its own.
@@ -80,7 +85,6 @@ class Encoder:
             core, tail = low, raw[len(body) :]
         else:
             core, tail = raw, ""
-        known = self.known
         out = known.get(core)
         if out is None:
             if len(known) >= self.max_words:
