@@ -120,6 +120,34 @@ def test_packing_takes_neighbours():
     assert all(len(s) == 1 for s in first)
 
 
+def test_packing_finds_neighbours_in_other_shards(spark):
+    words = ["cat", "dog", "sun", "car", "red", "one", "two", "man", "sea", "ice"]
+    d = spark.createDataFrame([(i, " ".join([words[i % 10]] * 30)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    got = packing.pack(d, window=62, shard_tokens=130).toPandas()
+    assert (got.groupby("sequence_id").length.sum() == 62).all() and len(got) == 40
+    assert (got.assign(word=got.doc_id % 10).groupby("sequence_id").word.nunique() == 1).all()
+
+
+def test_packing_search_is_exact_over_all_shards(spark, sf):
+    tokens_ = packing.tokenised(table(spark, sf, "documents"))
+    df, n_docs, n_ids = packing.frequencies(tokens_)
+    idf, mean = np.log1p((n_docs - df + 0.5) / (df + 0.5)), min(n_ids / n_docs, 4096)
+    numbers, n = packing.lengths(tokens_)
+    unused = (n % 4096 > 0) & (np.arange(len(n)) % 5 > 0)
+    weights, queries = np.zeros((len(n), len(idf))), [np.zeros(0, "<u2")] * len(n)
+    for r in tokens_.collect():
+        x = np.frombuffer(bytes(r.ids), "<u2")[r.n // 4096 * 4096 :]
+        t, c = np.unique(x, return_counts=True)
+        i = numbers.of(np.array([r.row]))[0]
+        weights[i, t], queries[i] = packing._weights(c, len(x), idf[t], mean), t
+    got = packing.retrieved(packing.indexed(tokens_, numbers, idf, mean, 4096, 5000), queries, unused)
+    for q, numbers_ in zip(queries, got, strict=True):
+        score = weights[:, q].sum(1)
+        found = numbers_[numbers_ >= 0]
+        assert len(found) == min(packing.BEST, unused.sum()) and unused[found].all()
+        assert score[found] == pytest.approx(np.sort(score[unused])[::-1][: len(found)], rel=1e-5)
+
+
 def test_url_filter(spark, sf):
     rules = [*urlfilter.RULES, ("block", "a.org", "/x"), ("allow", "net", "")]
     urls = ["https://Blog.Example.ORG/en/12?x#y", "http://example.org", "http://example.org?q=/es/", "example.org/es/", None, "ftp://q.com/de/1", "http://notexample.org/es/1", "x://a.org/xy://z", "http://y.net", "http://.com/fr/", "http://net/", "://example.org/es/", ""]

@@ -1,21 +1,27 @@
-"""Lexical retrieval packing: neighbours from a sharded BM25 inverted index fill each seed's window.
+"""Lexical retrieval packing: neighbours from a BM25 inverted index over the whole corpus fill each seed's window.
 
 Texts are tokenised once and stored. Document frequencies of all token ids and the mean length are counted over the whole
-corpus (a vector as long as the vocabulary). A shard is a run of documents of up to ``shard_tokens`` tokens; each shard
-builds an inverted index of its pieces with global BM25 weights. A seed's window is filled greedily with its best unused
-neighbours; one that does not fit is cut, and its rest is the next seed. A document longer than the window first gives
-whole windows of its own. What remains at the end of a shard, less than one window, is laid out in sequences whose
-lengths are powers of two, which need no padding. So every id lies in exactly one piece and nothing is padded.
-
-A null text is empty and packs its end id alone. Every row is packed, repeated rows too. No shuffle moves texts or ids:
-shards lie inside the partitions of the stored tokens, so no key can be hot and memory is bounded by a shard (or by
-one document, if that is larger).
+corpus (a vector as long as the vocabulary). The inverted index is stored in shards, runs of documents of up to
+``shard_tokens`` tokens, which only bound memory: the queries of up to ``SEEDS`` seeds go to every shard, and the best
+``BEST`` unused pieces of all shards together are a seed's candidates. The driver fills the windows seed by seed with the
+best candidates that are still unused; a seed whose candidates run out asks again in the next round. A piece that does not
+fit is cut, and its rest is among the next seeds. A document longer than the window first gives whole windows of its own.
+Once what is left fits into one shard, one task packs it in the same way. What remains then, less than one window, is laid
+out in sequences whose lengths are powers of two, which need no padding. So every id lies in exactly one piece and nothing
+is padded.
+
+Every seed meets every unused piece, so the search grows with seeds times rows. Scores are sums in single precision.
+
+A null text is empty and packs its end id alone. Every row is packed, repeated rows too. Memory of a task is bounded by a
+shard (or by one document, if that is larger) and the queries of one round; the driver holds some 13 bytes for each row.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +29,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ship, stored, table, texts
+from tidemill.llm.common import shared_dir, ship, stored, table, texts
 from tidemill.llm.tokens import TOKENIZER, encoder_of
 
 WINDOW, END_ID, VOCABULARY = 4096, 2, 49_408
 SHARD_TOKENS, SHARD_DOCS = 2_000_000, 8_000
 #: BM25 constants, and how many of a seed's best terms are looked up.
 K1, B, TERMS = 1.2, 0.75, 24
+#: Seeds of one round, candidates of a seed in a round, and queries scored at once.
+SEEDS, BEST, QUERIES = 8192, 32, 256
 
 
 def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): 16-bit little-endian ids of each text with the end id, stored in the shared folder."""
+    """(row, doc_id, ids, n): 16-bit little-endian ids of each text with the end id and their number, stored in the shared
+    folder. ``row`` is a key of its own: doc_id may repeat or be null."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(tokenizer), np.array([end_id], "<u2")
+        row = TaskContext.get().partitionId() << 32
         for b in batches:
             ids = [np.concatenate((x.astype("<u2"), end)).tobytes() for x in encoder.ids(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            rows = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([rows, b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["row", "doc_id", "ids", "n"])
 
-    return stored(texts(docs).mapInArrow(run, "doc_id long, ids binary"), "tokens")
+    return stored(texts(docs).mapInArrow(run, "row long, doc_id long, ids binary, n long"), "tokens")
 
 
 def frequencies(tokens: DataFrame, vocabulary: int = VOCABULARY) -> tuple[np.ndarray, int, int]:
@@ -161,46 +173,319 @@ class Shard:
             yield sequence
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+@dataclass
+class Numbers:
+    """Numbers 0, 1, ... for the rows, in their order: runs of successive rows and the number each run begins with."""
 
+    first: np.ndarray
+    at: np.ndarray
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, with_ids: bool = True) -> DataFrame:
-    """One row per piece; ``ids`` holds its ids as little-endian 32-bit integers (null without ``with_ids``)."""
-    tokens = tokenised(docs, tokenizer, end_id)
-    df, n_docs, n_ids = frequencies(tokens)
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    mean = min(n_ids / max(n_docs, 1), window)
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.first, rows, "right") - 1
+        return self.at[i] + rows - self.first[i]
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
-        shard, size = [], 0
+    def rows(self, numbers: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.at, numbers, "right") - 1
+        return self.first[i] + numbers - self.at[i]
+
+
+def lengths(tokens: DataFrame) -> tuple[Numbers, np.ndarray]:
+    """Numbers of the rows, and the number of ids of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            row, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype("<u4")
+            cut = [0, *(np.flatnonzero(np.diff(row) != 1) + 1).tolist(), len(row)] if len(row) else [0]
+            parts = list(zip(cut[:-1], cut[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([int(row[s]) for s, _ in parts], pa.int64()), pa.array([n[s:e].tobytes() for s, e in parts], pa.binary())], ["first", "n"])
+
+    got = sorted((r["first"], bytes(r["n"])) for r in tokens.select("row", "n").mapInArrow(run, "first long, n binary").collect())
+    n = np.frombuffer(b"".join(x for _, x in got), "<u4")
+    size = np.array([len(x) // 4 for _, x in got], np.int64)
+    return Numbers(np.array([f for f, _ in got], np.int64), np.cumsum(size) - size), n
+
+
+def _weights(tf: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0)))
+
+
+def indexed(tokens: DataFrame, numbers: Numbers, idf: np.ndarray, mean: float, window: int, shard_tokens: int) -> DataFrame:
+    """The inverted index, a row for each shard: numbers of its pieces, and pieces and weights of each term from ``at`` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shard(rows: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+            size = np.array([len(x) for x in held], np.int64)
+            both, tf = np.unique(np.concatenate(held).astype(np.uint32) << np.uint32(16) | np.repeat(np.arange(len(held), dtype=np.uint32), size), return_counts=True)
+            term, piece = (both >> np.uint32(16)).astype(np.int64), (both & np.uint32(0xFFFF)).astype("<u2")
+            weight = _weights(tf, size[piece], idf[term], mean).astype("<f4")
+            at = np.searchsorted(term, np.arange(len(idf) + 1)).astype("<u4")
+            cells = (numbers.of(np.array(rows, np.int64)).astype("<u4"), at, piece, weight)
+            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["number", "at", "piece", "weight"])
+
+        rows, held, size = [], [], 0
+        for b in batches:
+            for row, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x = np.frombuffer(raw.as_py(), "<u2")
-                if shard and (size + len(x) > shard_tokens or len(shard) >= SHARD_DOCS):
-                    yield shard
-                    shard, size = [], 0
-                shard.append((doc, x))
+                x = x[len(x) // window * window :]
+                if not len(x):
+                    continue
+                if held and (size + len(x) > shard_tokens or len(held) >= SHARD_DOCS):
+                    yield shard(rows, held)
+                    rows, held, size = [], [], 0
+                rows.append(row)
+                held.append(x)
                 size += len(x)
-        if shard:
-            yield shard
+        if held:
+            yield shard(rows, held)
+
+    return stored(tokens.select("row", "ids").mapInArrow(run, "number binary, at binary, piece binary, weight binary"), "index")
+
+
+def _score(at: np.ndarray, piece: np.ndarray, weight: np.ndarray, pieces: int, queries: list[np.ndarray], dense: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Scores of all pieces for some queries: frequent terms by a matrix product, the others by their postings."""
+    size = np.diff(at)
+    term, query = np.concatenate(queries).astype(np.int64), np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+    often = column[term] >= 0
+    which = np.zeros((len(queries), dense.shape[1]), np.float32)
+    which[query[often], column[term[often]]] = 1
+    term, query = term[~often], query[~often]
+    n = size[term]
+    post = np.repeat(at[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    score = np.bincount(np.repeat(query * pieces, n) + piece[post], weight[post], len(queries) * pieces).astype(np.float32).reshape(len(queries), pieces)
+    return score + which @ dense.T
+
+
+def _search(b: pa.RecordBatch, i: int, unused: np.ndarray, queries: list[np.ndarray], best: np.ndarray) -> None:
+    """Take the unused pieces of the i-th shard of ``b`` into ``best``: of each query its highest keys, score before number."""
+    number, at, piece, weight = (np.frombuffer(b.column(c)[i].as_py(), t) for c, t in enumerate(("<u4", "<u4", "<u2", "<f4")))
+    free = unused[number]
+    if not free.any():
+        return
+    pieces = int(free.sum())
+    keep = free[piece]
+    at = np.concatenate(([0], np.cumsum(keep)))[at]
+    piece, weight = (np.cumsum(free) - 1)[piece[keep]], weight[keep]
+    frequent = np.flatnonzero(np.diff(at) * 32 > pieces)
+    column = np.full(len(at) - 1, -1)
+    column[frequent] = np.arange(len(frequent))
+    dense = np.zeros((pieces, len(frequent)), np.float32)
+    for f, t in enumerate(frequent.tolist()):
+        dense[piece[at[t] : at[t + 1]], f] = weight[at[t] : at[t + 1]]
+    late = np.uint64(0xFFFFFFFF) - number[free].astype(np.uint64)
+    for q in range(0, len(queries), QUERIES):
+        key = _score(at, piece, weight, pieces, queries[q : q + QUERIES], dense, column).view(np.uint32).astype(np.uint64) << np.uint64(32) | late
+        if pieces > BEST:
+            key = np.partition(key, pieces - BEST, axis=1)[:, -BEST:]
+        own = best[q : q + QUERIES]
+        own[:] = np.partition(np.concatenate((own, key), axis=1), key.shape[1], axis=1)[:, -BEST:]
+
+
+def retrieved(index: DataFrame, queries: list[np.ndarray], unused: np.ndarray) -> np.ndarray:
+    """Numbers of each query's best unused pieces over all shards, best first, ties to the smaller number; -1 for none."""
+    context = index.sparkSession.sparkContext
+    sent = context.broadcast((np.packbits(unused), len(unused), queries))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, n, asked = sent.value
+        free = np.unpackbits(bits, count=n).astype(bool)
+        best = np.zeros((len(asked), BEST), np.uint64)
+        for b in batches:
+            for i in range(b.num_rows):
+                _search(b, i, free, asked, best)
+        at = range(0, len(asked), QUERIES)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([best[q : q + QUERIES].tobytes() for q in at], pa.binary())], ["query", "keys"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for keys in b.column(1).to_pylist():
+                parts = [np.frombuffer(k, np.uint64).reshape(-1, BEST) for k in keys]
+                out.append(np.sort(np.concatenate(parts, axis=1), axis=1)[:, : -BEST - 1 : -1].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["query", "keys"])
+
+    found = index.mapInArrow(search, "query long, keys binary").groupBy("query").agg(F.collect_list("keys").alias("keys")).mapInArrow(merge, "query long, keys binary")
+    got = sorted((r["query"], bytes(r["keys"])) for r in found.collect())
+    sent.destroy()
+    keys = np.frombuffer(b"".join(k for _, k in got), np.uint64).reshape(-1, BEST)
+    return np.where(keys > 0, 0xFFFFFFFF - (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), -1)
+
+
+def _queries(tokens: DataFrame, rows: np.ndarray, idf: np.ndarray, mean: float, window: int) -> dict[int, np.ndarray]:
+    """The terms that the piece of each row looks up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence_id = TaskContext.get().partitionId() << 40
-        for shard in shards(batches):
-            rows: list[list] = [[] for _ in NAMES]
-            for sequence in Shard(shard, idf, mean, window).pack():
+        for b in batches:
+            out = []
+            for raw in b.column(1):
+                x = np.frombuffer(raw.as_py(), "<u2")
+                x = x[len(x) // window * window :]
+                term, tf = np.unique(x, return_counts=True)
+                if len(term) > TERMS:
+                    term = term[np.argpartition(-_weights(tf, len(x), idf[term], mean), TERMS)[:TERMS]]
+                out.append(term.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["row", "terms"])
+
+    seeds = tokens.sparkSession.createDataFrame(pa.table({"row": rows}))
+    got = tokens.select("row", "ids").join(F.broadcast(seeds), "row").mapInArrow(run, "row long, terms binary").collect()
+    return {r["row"]: np.frombuffer(bytes(r["terms"]), "<u2") for r in got}
+
+
+class Windows:
+    """The pieces still to place and the windows filled with them; kept by the driver."""
+
+    def __init__(self, n: np.ndarray, window: int):
+        self.window = window
+        self.start = (n // window * window).astype(np.uint32)
+        self.length = (n % window).astype(np.uint32)
+        self.unused = self.length > 0
+        self.left = int(self.length.sum(dtype=np.int64))  # ids outside of full windows
+        self.open: list[tuple[int, list[tuple[int, int, int]]]] = []  # seed and its (piece, start, length) so far
+        self.rests: list[int] = []
+        self.next = 0
+
+    def seed(self, most: int) -> list[int]:
+        """Open windows until there are ``most``: rests of cut pieces first, then the first unused pieces."""
+        new = []
+        while len(self.open) < most:
+            while self.rests and not self.unused[self.rests[0]]:
+                self.rests.pop(0)
+            if self.rests:
+                p = self.rests.pop(0)
+            else:
+                while self.next < len(self.unused) and not self.unused[self.next]:
+                    self.next += 1
+                if self.next == len(self.unused):
+                    break
+                p = self.next
+            self.unused[p] = False
+            self.open.append((p, [(p, int(self.start[p]), int(self.length[p]))]))
+            new.append(p)
+        return new
+
+    def fill(self, best: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        """The windows that become full with these candidates of the open ones."""
+        full, still = [], []
+        for (seed, items), numbers in zip(self.open, best.tolist(), strict=True):
+            room = self.window - sum(n for _, _, n in items)
+            for p in numbers:
+                if p < 0 or not room:
+                    break
+                if not self.unused[p]:
+                    continue
+                take = min(int(self.length[p]), room)
+                items.append((p, int(self.start[p]), take))
+                room -= take
+                self.start[p] += take
+                self.length[p] -= take
+                if self.length[p]:
+                    self.rests.append(p)
+                else:
+                    self.unused[p] = False
+            if room:
+                still.append((seed, items))
+            else:
+                full.append(items)
+        self.open = still
+        self.left -= len(full) * self.window
+        return full
+
+    def remaining(self) -> np.ndarray:
+        """(piece, start, length) of all that is outside of full windows."""
+        at = np.flatnonzero(self.unused)
+        free = np.stack((at, self.start[at].astype(np.int64), self.length[at].astype(np.int64)), axis=1)
+        return np.concatenate((free, np.array([i for _, items in self.open for i in items], np.int64).reshape(-1, 3)))
+
+
+PLACED = "row long, start long, length long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def placed(tokens: DataFrame, window: int, shard_tokens: int, vocabulary: int = VOCABULARY) -> DataFrame:
+    """(row, start, length, sequence_id, offset) of all pieces; one of several windows' length fills as many sequences."""
+    spark = tokens.sparkSession
+    df, n_docs, n_ids = frequencies(tokens, vocabulary)
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+    mean = min(n_ids / max(n_docs, 1), window)
+    numbers, n = lengths(tokens)
+    path, names = f"{shared_dir(spark)}/tidemill/placed-{uuid.uuid4().hex}", [c.split()[0] for c in PLACED.split(", ")]
+
+    def write(columns: list[np.ndarray]) -> None:
+        spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names)).write.mode("append").parquet(path)
+
+    whole = np.flatnonzero(n >= window)
+    windows = (n[whole] // window).astype(np.int64)
+    nothing = np.zeros(len(whole), np.int64)
+    write([numbers.rows(whole) if len(whole) else nothing, nothing, windows * window, np.cumsum(windows) - windows, nothing])
+    sequence_id = int(windows.sum())
+
+    state, terms = Windows(n, window), {}
+    index = indexed(tokens, numbers, idf, mean, window, shard_tokens) if state.left > shard_tokens else None
+    while state.left > shard_tokens:
+        # At most half of what is left is in open windows, so there is always an unused piece for them.
+        new = state.seed(max(1, min(SEEDS, state.left // window // 2)))
+        if new:
+            rows = numbers.rows(np.array(new))
+            own = _queries(tokens, rows, idf, mean, window)
+            terms |= {p: own[r] for p, r in zip(new, rows.tolist(), strict=True)}
+        full = state.fill(retrieved(index, [terms[p] for p, _ in state.open], state.unused))
+        terms = {p: terms[p] for p, _ in state.open}
+        if full:
+            rows = []
+            for items in full:
                 offset = 0
-                for d, s, n in sequence:
-                    doc, x = shard[d]
-                    raw = x[s : s + n].astype("<u4").tobytes()
-                    for column, v in zip(rows, (doc, s, n, zlib.crc32(raw), len(x), sequence_id, offset, raw if with_ids else None), strict=True):
-                        column.append(v)
-                    offset += n
+                for p, s, k in items:
+                    rows.append((p, s, k, sequence_id, offset))
+                    offset += k
                 sequence_id += 1
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:-1]), pa.array(rows[-1], pa.binary())], NAMES)
+            columns = list(np.array(rows, np.int64).T)
+            write([numbers.rows(columns[0]), *columns[1:]])
+
+    rest = state.remaining()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [p for b in batches for p in zip(*(b.column(c).to_pylist() for c in ("row", "start", "ids")), strict=True)]
+        rows, at = [], sequence_id
+        for sequence in Shard([(row, np.frombuffer(raw, "<u2")) for row, _, raw in pieces], idf, mean, window).pack():
+            offset = 0
+            for d, s, k in sequence:
+                rows.append((pieces[d][0], pieces[d][1] + s, k, at, offset))
+                offset += k
+            at += 1
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(len(names))], names)
+
+    if len(rest):
+        last = spark.createDataFrame(pa.table([pa.array(numbers.rows(rest[:, 0])), pa.array(rest[:, 1]), pa.array(rest[:, 2])], ["row", "start", "length"]))
+        one = tokens.select("row", "ids").join(last, "row").select("row", "start", F.expr("substring(ids, cast(2 * start + 1 as int), cast(2 * length as int))").alias("ids"))
+        one.repartition(1).sortWithinPartitions("row", "start").mapInArrow(finish, PLACED).write.mode("append").parquet(path)
+    return spark.read.schema(PLACED).parquet(path)
+
+
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, with_ids: bool = True) -> DataFrame:
+    """One row per piece; ``ids`` holds its ids as little-endian 32-bit integers (null without ``with_ids``)."""
+    tokens = tokenised(docs, tokenizer, end_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], NAMES)
+
+        rows, size = [], 0
+        for b in batches:
+            for doc, doc_tokens, raw, start, length, sequence, offset in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "start", "length", "sequence_id", "offset")), strict=True):
+                x = np.frombuffer(raw, "<u2")
+                for i, s in enumerate(range(start, start + length, window)):
+                    ids = x[s : min(s + window, start + length)].astype("<u4").tobytes()
+                    rows.append((doc, s, len(ids) // 4, zlib.crc32(ids), doc_tokens, sequence + i, offset, ids if with_ids else None))
+                    size += len(ids)
+                    if size > 16 << 20:
+                        yield batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch(rows)
 
-    return tokens.mapInArrow(run, SCHEMA)
+    pieces = tokens.join(placed(tokens, window, shard_tokens), "row").select("doc_id", "n", "ids", "start", "length", "sequence_id", "offset")
+    return pieces.mapInArrow(run, SCHEMA)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
