@@ -120,6 +120,14 @@ def test_packing_takes_neighbours():
     assert all(len(s) == 1 for s in first)
 
 
+def test_packing_scores_all_terms():
+    heavy, light = list(range(100, 140)), [50, 51, 52]
+    x = [np.array(t, np.uint16) for t in (heavy + light, [60] * 43, [61] * 43, light * 14 + [62])]
+    idf = np.ones(200)
+    idf[heavy] = 9
+    assert packing.Shard(list(enumerate(x)), idf, 43.0, 86).neighbours(0)[1] == 3
+
+
 def test_packing_finds_neighbours_in_other_shards(spark):
     words = ["cat", "dog", "sun", "car", "red", "one", "two", "man", "sea", "ice"]
     d = spark.createDataFrame([(i, " ".join([words[i % 10]] * 30)) for i in range(40)], "doc_id long, text string").coalesce(1)

@@ -3,7 +3,7 @@
 Texts are tokenised once and stored. Document frequencies of all token ids and the mean length are counted over the whole
 corpus (a vector as long as the vocabulary). The inverted index is stored in shards, runs of documents of up to
 ``shard_tokens`` tokens, which only bound memory: the queries of up to ``SEEDS`` seeds go to every shard, and the best
-``BEST`` unused pieces of all shards together are a seed's candidates. The driver fills the windows seed by seed with the
+``BEST`` unused pieces of all shards together are a seed's candidates, scored by all terms of the seed. The driver fills the windows seed by seed with the
 best candidates that are still unused; a seed whose candidates run out asks again in the next round. A piece that does not
 fit is cut, and its rest is among the next seeds. A document longer than the window first gives whole windows of its own.
 Once what is left fits into one shard, one task packs it in the same way. What remains then, less than one window, is laid
@@ -34,8 +34,8 @@ from tidemill.llm.tokens import TOKENIZER, encoder_of
 
 WINDOW, END_ID, VOCABULARY = 4096, 2, 49_408
 SHARD_TOKENS, SHARD_DOCS = 2_000_000, 8_000
-#: BM25 constants, and how many of a seed's best terms are looked up.
-K1, B, TERMS = 1.2, 0.75, 24
+#: BM25 constants.
+K1, B = 1.2, 0.75
 #: Seeds of one round, candidates of a seed in a round, and queries scored at once.
 SEEDS, BEST, QUERIES = 8192, 32, 256
 
@@ -103,7 +103,7 @@ class Shard:
         term, piece, tf = map(np.concatenate, (term, piece, tf))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[piece] / max(mean, 1.0))) if len(term) else np.zeros(0)
         self.own = np.concatenate(([0], np.cumsum(np.bincount(piece, minlength=len(self.pieces))))) if len(self.pieces) else np.zeros(1, np.int64)
-        self.own_terms, self.own_weight = term, weight
+        self.own_terms = term
         order = np.argsort(term, kind="stable")
         self.piece, self.weight = piece[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
@@ -111,10 +111,7 @@ class Shard:
     def neighbours(self, i: int) -> np.ndarray:
         """Unused pieces by falling score for piece ``i``; ties to the earlier one. Scores of 0 come last."""
         own = slice(self.own[i], self.own[i + 1])
-        terms, weight = self.own_terms[own], self.own_weight[own]
-        if len(terms) > TERMS:
-            best = np.argpartition(-weight, TERMS)[:TERMS]
-            terms = terms[best]
+        terms = self.own_terms[own]
         score = np.zeros(len(self.pieces))
         for t in terms.tolist():
             post = slice(self.at[t], self.at[t + 1])
@@ -310,19 +307,15 @@ def retrieved(index: DataFrame, queries: list[np.ndarray], unused: np.ndarray) -
     return np.where(keys > 0, 0xFFFFFFFF - (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), -1)
 
 
-def _queries(tokens: DataFrame, rows: np.ndarray, idf: np.ndarray, mean: float, window: int) -> dict[int, np.ndarray]:
-    """The terms that the piece of each row looks up."""
+def _queries(tokens: DataFrame, rows: np.ndarray, window: int) -> dict[int, np.ndarray]:
+    """All terms of the piece of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for raw in b.column(1):
                 x = np.frombuffer(raw.as_py(), "<u2")
-                x = x[len(x) // window * window :]
-                term, tf = np.unique(x, return_counts=True)
-                if len(term) > TERMS:
-                    term = term[np.argpartition(-_weights(tf, len(x), idf[term], mean), TERMS)[:TERMS]]
-                out.append(term.tobytes())
+                out.append(np.unique(x[len(x) // window * window :]).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["row", "terms"])
 
     seeds = tokens.sparkSession.createDataFrame(pa.table({"row": rows}))
@@ -426,7 +419,7 @@ def placed(tokens: DataFrame, window: int, shard_tokens: int, vocabulary: int =
         new = state.seed(max(1, min(SEEDS, state.left // window // 2)))
         if new:
             rows = numbers.rows(np.array(new))
-            own = _queries(tokens, rows, idf, mean, window)
+            own = _queries(tokens, rows, window)
             terms |= {p: own[r] for p, r in zip(new, rows.tolist(), strict=True)}
         full = state.fill(retrieved(index, [terms[p] for p, _ in state.open], state.unused))
         terms = {p: terms[p] for p, _ in state.open}
