@@ -120,6 +120,14 @@ def test_packing_takes_neighbours():
     assert all(len(s) == 1 for s in first)
 
 
+def test_near_copies_without_id(spark):
+    base = [f"v{i}x" for i in range(100)]
+    other = [f"u{i}x" for i in range(100)]
+    rows = [(None, " ".join(base)), (7, " ".join([*base[:99], "new"])), (None, " ".join(other)), (None, " ".join([*other[:99], "new"])), (None, "alone")]
+    got = simjoin.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 7, 1), (7, 7, 1), (None, None, 1), (None, None, 1), (None, None, 0)], key=repr)
+
+
 def test_packing_scores_all_terms():
     heavy, light = list(range(100, 140)), [50, 51, 52]
     x = [np.array(t, np.uint16) for t in (heavy + light, [60] * 43, [61] * 43, light * 14 + [62])]

@@ -17,7 +17,7 @@ shingle sets. The links found there give each text its number of links, and thei
 chains of links: two texts of a class need not be similar themselves.
 
 Null texts and texts without words are classes of their own, without links. Rows that share a doc_id and a set are copies
-of each other like others. Shingles are 64-bit hashes of words as they stand (case and punctuation count).
+of each other like others. Rows without a doc_id take part; the class_id is null only where no row of a class has one. Shingles are 64-bit hashes of words as they stand (case and punctuation count).
 """
 
 from __future__ import annotations
@@ -81,12 +81,17 @@ def shingle_sets(text: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.nda
         yield n, np.concatenate(([0], np.cumsum(W.count(owner, n)))), g
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a key to find a text again: the doc_id, or for a row without one (``nameless``) its text's hash."""
+    return texts(docs).withColumn("nameless", F.col("doc_id").isNull()).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+
+
 def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, sketch): the digest of each row's set and its sampled shingles; null for texts without words."""
+    """(doc_id, nameless, key, sid, sketch): the digest of each row's set and its sampled shingles; null for texts without words."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +108,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for r in range(n):
                     sids.append(_digest(sets[off[r] : off[r + 1]]) if r in at else None)
                     out.append(least[at[r]].tobytes() if r in at else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sids, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "sid", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sids, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "nameless", "key", "sid", "sketch"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, sid binary, sketch binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, nameless boolean, key long, sid binary, sketch binary")
 
 
 def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
@@ -272,13 +277,13 @@ def exact(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 def verified(docs: DataFrame, grouped: DataFrame, similarity: float, block: int) -> DataFrame:
     """(sid, n_text_links, n_links, root, blocks) from all pairs within the groups of ``grouped``.
 
-    ``grouped`` has (sid, label, copies, carrier): carrier is a document with the set. n_links counts copies.
+    ``grouped`` has (sid, label, copies, at): at is (nameless, key) of a row with the set. n_links counts copies.
     """
     spark = docs.sparkSession
     size = grouped.groupBy("label").agg(F.count("*").alias("size"))
-    wanted = stored(grouped.join(size, "label").select(F.col("carrier").alias("doc_id"), F.col("sid").alias("want"), "label", "copies", "size"), "wanted")
+    wanted = stored(grouped.join(size, "label").select("at.nameless", "at.key", F.col("sid").alias("want"), "label", "copies", "size"), "wanted")
     small = wanted.count() * 80 <= BROADCAST_BYTES
-    found = texts(docs).join(F.broadcast(wanted) if small else wanted, "doc_id")
+    found = _keyed(docs).join(F.broadcast(wanted) if small else wanted, ["nameless", "key"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,7 +292,7 @@ def verified(docs: DataFrame, grouped: DataFrame, similarity: float, block: int)
             for n, off, s in shingle_sets(b.column("text")):
                 for i in range(n):
                     own = s[off[i] : off[i + 1]]
-                    if len(own) and _digest(own) == want[r]:  # another row may share the doc_id
+                    if len(own) and _digest(own) == want[r]:  # another row may share the key
                         keep.append(r)
                         out.append(own.tobytes())
                     r += 1
@@ -326,10 +331,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     n_text_links the different sets, n_copies the rows with the same set, itself included.
     """
     members = stored(sketches(docs), "sketches")
-    reps = stored(members.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("carrier"), F.count("*").alias("copies")), "sets")
+    reps = stored(members.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("carrier"), F.min(F.struct("nameless", "key")).alias("at"), F.count("*").alias("copies")), "sets")
     narrow = reps.select("sid", "carrier", "copies")
+    located = reps.select("sid", "at", "copies")
     labels = components(candidates(reps.select("sid", "sketch"), similarity, recall, bucket, depth))
-    grouped = labels.join(narrow, labels.v == narrow.sid).select("sid", "label", "copies", "carrier")
+    grouped = labels.join(located, labels.v == located.sid).select("sid", "label", "copies", "at")
     parts = stored(verified(docs, grouped, similarity, block), "verified")
     linked = parts.groupBy("sid").agg(F.sum("n_text_links").alias("n_text_links"), F.sum("n_links").alias("n_links"), F.min("root").alias("root"))
     cut = parts.where("blocks")
