@@ -21,12 +21,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays. Rows that share a doc_id are copies: the
-    one with the smallest text hash stays. A row without a doc_id goes by the hash of its text instead."""
-    key, row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    first = simjoin.classes(docs.select(key.alias("doc_id"), "text")).where("doc_id = class_id").select("doc_id").distinct()
-    rows = docs.select(key.alias("doc_id"), F.xxhash64("text").alias("h"), row.alias("row")).join(first, "doc_id", "left_semi")
-    return rows.groupBy("doc_id").agg(F.min_by("row", "h").alias("row")).select("row.*")
+    """Of each class of near copies the document with the smallest doc_id stays. Rows that share both
+    doc_id and text are copies; rows that share only one of them are compared like others. One without a doc_id stays only
+    where no row of its class has one."""
+    id_, row = F.col("doc_id").cast("long"), F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    key = F.xxhash64(id_.isNull(), id_, F.col("text").isNull(), "text")
+    classes = simjoin.classes(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "class_id").distinct()
+    ids = docs.select(key.alias("key"), id_.alias("id")).distinct()
+    first = classes.join(ids, "key").groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("first.key")
+    rows = docs.select(key.alias("key"), row.alias("row")).join(first, "key", "left_semi")
+    return rows.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

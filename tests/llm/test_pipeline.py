@@ -44,6 +44,12 @@ def test_near_duplicates_keep_one_of_each_group(spark, clashing, rows):
     assert all(r[c] == "clash" for r in got.collect() for c in CLASHES)
 
 
+def test_near_duplicates_keep_different_texts_of_one_id(spark):
+    rows = [(1, "first text of one id"), (1, "quite another text of that id"), (1, "first text of one id"), (42, "text of the real document"), (None, None)]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(set(rows), key=repr)
+
+
 def test_mix_cuts_whole_words(spark, clashing):
     texts = {}
     for r in clashing.collect():
