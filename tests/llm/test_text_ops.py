@@ -79,6 +79,13 @@ def test_pii_own_kinds_and_redaction(docs):
     assert out[1].text is None and out[5].text.count("[") == 4 and out[5].n_chars == len(out[5].text) and out[5].sid == "clash"
 
 
+def test_pii_cues_of_any_case_and_long_userinfo():
+    token = "t" * 100
+    text = f"İ Social Security Number: 123-45-6789 https://{token}:{token}@host.org"
+    found = pii.find(text, pii.anchors())
+    assert [text[s:e] for k in ("userinfo", "ssn") for s, e in found[k]] == [f"{token}:{token}", "123-45-6789"]
+
+
 # tokens
 
 
