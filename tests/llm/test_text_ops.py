@@ -159,6 +159,14 @@ def test_quality_learns_and_keeps(spark, sf):
     assert ((got.n_words < 50) | (100 * got.n_repeat_words > 50 * got.n_words)).equals(got.base_failed)
 
 
+def test_quality_thins_by_matched_labels(spark):
+    labels = table(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "quality")
+    stats = quality.statistics(table(spark, "/root/testdata/sf0.01", "documents")).cache()
+    more = spark.range(10**7, 10**7 + 100_000).selectExpr("id AS doc_id", "1 AS quality")
+    want = quality.fit(stats, labels, 200)
+    assert want and quality.fit(stats, labels.unionByName(more), 200) == want
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     out = quality.judge(docs, none)

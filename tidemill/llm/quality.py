@@ -189,7 +189,7 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = stats.join(marked, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", *(F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()))
     # Thin by hash to about twice the bound first, so that partitions do not each send the driver a full sample.
-    share = min(1.0, 2 * max_labelled / max(1, marked.count()))
+    share = min(1.0, 2 * max_labelled / max(1, rows.count()))
     got = rows.where(F.shiftrightunsigned("h", 34) < int(share * (1 << 30))).orderBy("h", *FEATURES).limit(max_labelled).toPandas()
     bad = got["quality"].to_numpy() == 0
     if not len(got) or bad.all() or not bad.any():
