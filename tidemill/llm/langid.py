@@ -323,8 +323,9 @@ def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def fold(docs: DataFrame) -> DataFrame:
-    """With ``held_out``: crc32 of doc_id as text leaves no remainder by 5."""
-    return docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    """With ``held_out``: crc32 of doc_id as text leaves no remainder by 5. A null doc_id counts as the empty text, whose
+    crc32 is 0: it is held out and does not train."""
+    return docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

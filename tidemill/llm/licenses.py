@@ -3,7 +3,8 @@
 Every document gives rolling hashes of its k-word windows; Spark joins them to the positions of the same windows in the
 templates (k = 2, so that two-word phrases count). A hit votes for the diagonal (place in the text minus place in the
 template). Diagonals at most ``SLACK`` apart merge, so that a span with a word more or less stays one, and a merged span
-is verified by the share of the template's windows that it holds. Words are compared as strings, not only as hashes.
+is verified by the share of the template's windows that it holds, each counted once however often the text repeats it.
+Words are compared as strings, not only as hashes. Only A-Z are lower-cased.
 
 Base phrases count wherever their words stand consecutively, that is where one diagonal holds all their windows.
 Nulls are empty texts: no words, no labels, null places. Every row gives one row, repeated rows too. A text full of one
@@ -31,6 +32,9 @@ TEMPLATES = (
     ("creative commons attribution 4 0 international license", "cc-by-4.0"),
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Windows of a template that one long integer marks.
+MARKS = 62
 
 
 def positions(spark: SparkSession, phrases, templates) -> DataFrame:
@@ -48,15 +52,19 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, min_share: float
     ``spans`` lists the verified spans: label, first word, last word and share of the template.
     """
     spark = docs.sparkSession
-    words = texts(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
+    words = texts(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(WORD), F.lit(0)).alias("w"))
     windows = words.select("doc_id", "row", F.size("w").alias("n_words"), F.posexplode_outer(F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("y"))).alias("pos", "g"))
     windows = windows.select("doc_id", "row", "n_words", "pos", F.col("g.x").alias("x"), F.col("g.y").alias("y"), F.xxhash64("g.x", "g.y").alias("h"))
     at = F.broadcast(positions(spark, phrases, templates))  # bounded by the templates' words
     # The first window of a text stays without a hit, so that every text has a row.
     hits = windows.join(at, "h", "left").where((F.coalesce(F.col("pos"), F.lit(0)) == 0) | ((F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))))
     same = (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))
-    hits = hits.select("doc_id", "row", "n_words", *(F.when(same, F.col(c)).alias(c) for c in ("t", "need", "base", "label")), F.when(same, F.col("pos") - F.col("tpos")).alias("diagonal"), F.when(same, F.col("pos")).alias("pos"))
-    votes = hits.groupBy("row", "doc_id", "n_words", "t", "need", "base", "label", "diagonal").agg(F.count("pos").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    hits = hits.select("doc_id", "row", "n_words", *(F.when(same, F.col(c)).alias(c) for c in ("t", "need", "base", "label", "tpos")), F.when(same, F.col("pos") - F.col("tpos")).alias("diagonal"), F.when(same, F.col("pos")).alias("pos"))
+    # Which windows of its template a diagonal or span holds, as bits of as many integers as the longest template takes.
+    longest = max((len(w.split()) for w, _ in (*phrases, *templates)), default=1)
+    marks = {f"m{i}": F.when(F.expr(f"tpos div {MARKS}") == i, F.expr(f"shiftleft(1L, tpos % {MARKS})")) for i in range(-(-longest // MARKS))}
+    votes = hits.groupBy("row", "doc_id", "n_words", "t", "need", "base", "label", "diagonal").agg(F.count("pos").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), *(F.bit_or(c).alias(m) for m, c in marks.items()))
+    held = sum((F.coalesce(F.bit_count(F.bit_or(m)), F.lit(0)) for m in marks), F.lit(0))
     by = Window.partitionBy("row", "t").orderBy("diagonal")
     merged = votes.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= slack, 0).otherwise(1)).withColumn("span", F.sum("new").over(by))
     spans = merged.groupBy("row", "doc_id", "n_words", "t", "need", "base", "label", "span").agg(
@@ -65,7 +73,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, min_share: float
         F.max(F.when(F.col("votes") == F.col("need"), F.col("diagonal"))).alias("last_full"),
         F.min("lo").alias("lo"),
         (F.max("hi") + 1).alias("hi"),
-        F.least(F.lit(1.0), F.sum("votes") / F.first("need")).alias("share"),
+        (held / F.first("need")).alias("share"),
     )
     ok = ~F.col("base") & (F.col("share") >= min_share)
     whole = F.col("base") & (F.col("full") > 0)

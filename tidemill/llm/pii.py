@@ -5,7 +5,9 @@ identifier cues. A deterministic parser for each kind expands an anchor to its b
 
 Base kinds are leftmost and do not overlap within a kind: ``email``, ``ip``, ``card`` (16 to 19 digits passing Luhn)
 and ``phone`` (8 to 15 digits). A run of characters that fails validation is used up and not tried again. The method
-adds ``userinfo`` (name and password in a URL), ``mailto``, ``ssn``, ``iban`` and ``account`` (an identifier behind a cue).
+adds ``userinfo`` (name and password in a URL), ``mailto``, ``ssn``, ``iban`` and ``account`` (an identifier behind a cue),
+and ``secret`` (a key or token of 16 to 512 characters, letters and digits mixed, behind a cue). Each parser reads a bounded stretch, or
+none that an earlier anchor of its kind has read, so time is linear in the text.
 
 Nulls and empty texts give no spans. Every input row gives one row, repeated rows too. Columns besides ``doc_id`` and
 ``text`` are not read. Memory is bounded by one Arrow batch and the spans of one text.
@@ -25,7 +27,8 @@ from tidemill.llm.common import release, ship, texts
 
 # Kinds in the order of the digest, patterns and cue words.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "userinfo", "mailto", "ssn", "iban", "account")
+KINDS = (*BASE, "userinfo", "mailto", "ssn", "iban", "account", "secret")
+SECRETS = ("api key", "api_key", "api-key", "apikey", "token", "secret", "password", "bearer", "access key", "access_key")
 CUES = ("ssn", "social security", "iban", "account", "acct", "passport", "routing", "a/c")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,10 +36,11 @@ _DIGITS = re.compile(r"[0-9]+")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[^\s/@:]++:[^\s/@]++@(?=[A-Za-z0-9])")
-_MAILTO = re.compile(r"[^\s@?<>\"']+@[^\s@?<>\"']+")
+_MAILTO = re.compile(r"[^\s@?<>\"']++")
 _SSN = re.compile(r"[\s:#]{0,12}(?:number|no\.?)?[\s:#]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I)
 _IBAN = re.compile(r"[\s:#]{0,12}(?:number|no\.?)?[\s:#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"[\s:#]{0,4}(?:number|no\.?|num|id)?[\s:#=]{1,4}([A-Z]{0,2}[0-9][0-9-]{5,18}[0-9])(?![0-9A-Za-z-])", re.I)
+_SECRET = re.compile(r"[\"']?(?:\s{0,4}[:=]\s{0,4}|\s{1,4})[\"']?([A-Za-z0-9_./+-]{16,512}+)(?![A-Za-z0-9_./+-])")
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -63,6 +67,8 @@ def anchors() -> ahocorasick.Automaton:
     a.add_word("mailto:", ("mailto", len("mailto:")))
     for w in CUES:
         a.add_word(w, ("cue", len(w)))
+    for w in SECRETS:
+        a.add_word(w, ("secret", len(w)))
     a.make_automaton()
     return a
 
@@ -92,11 +98,20 @@ def _ips(text: str, s: int) -> tuple[list[tuple[int, int]], int]:
     return out, p
 
 
+def _mailto(text: str, s: int) -> tuple[tuple[int, int] | None, int]:
+    """The address that begins at ``s``, if any, and how far the text has been read: no later anchor before that counts."""
+    if not (name := _MAILTO.match(text, s)):
+        return None, s
+    at = name.end()
+    host = _MAILTO.match(text, at + 1) if text[at : at + 1] == "@" else None
+    return ((s, host.end()), host.end()) if host else (None, at)
+
+
 def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans of every kind in code points, end exclusive. Anchors are found in any ASCII case."""
     low = text.lower() if text.isascii() else text.translate(_LOWER)
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    mail_end = ip_end = card_end = phone_end = 0
+    mail_end = ip_end = card_end = phone_end = mailto_end = 0
     for last, (kind, n) in automaton.iter(low):
         at, after = last - n + 1, last + 1
         if kind == "digit":
@@ -121,8 +136,13 @@ def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[in
             if m := _USERINFO.match(text, after):
                 out["userinfo"].append((after, m.end() - 1))
         elif kind == "mailto":
-            if m := _MAILTO.match(text, after):
-                out["mailto"].append((after, m.end()))
+            if after >= mailto_end:
+                span, mailto_end = _mailto(text, after)
+                if span:
+                    out["mailto"].append(span)
+        elif kind == "secret":
+            if not text[at - 1 : at].isalnum() and (m := _SECRET.match(text, after)) and any(map(str.isdigit, m[1])) and any(map(str.isalpha, m[1])):
+                out["secret"].append(m.span(1))
         elif not text[at - 1 : at].isalnum():
             for name, pattern, ok in (("ssn", _SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9"), ("iban", _IBAN, _iban_ok), ("account", _ACCOUNT, lambda s: sum(c.isdigit() for c in s) >= 6)):
                 if (m := pattern.match(text, after)) and ok(m[1]):

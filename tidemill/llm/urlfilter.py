@@ -39,9 +39,10 @@ RULES = (
 )
 
 
-def write_rules(rules: Iterable[tuple[str, str, str]], path: Path, max_rules: int = MAX_RULES) -> list[int]:
-    """Write the digest file; returns the path lengths that occur. Of rules with one string the last counts."""
-    by = {host.lower() + prefix: (verdict == "allow", len(host), len(prefix)) for verdict, host, prefix in rules}
+def write_rules(rules: Iterable[tuple[str, str, str]], path: Path, max_rules: int = MAX_RULES) -> tuple[list[int], int]:
+    """Write the digest file; returns the path lengths that occur and the most labels of a host. Of rules with one string
+    the last counts."""
+    by = {host.lower() + prefix: (verdict == "allow", host.count(".") + 1, len(prefix)) for verdict, host, prefix in rules}
     if len(by) > max_rules:
         raise ValueError(f"{len(by)} rules; at most {max_rules} fit an executor")
     keys = np.fromiter((xxhash.xxh64_intdigest(s) for s in by), np.uint64, len(by))
@@ -52,7 +53,7 @@ def write_rules(rules: Iterable[tuple[str, str, str]], path: Path, max_rules: in
     with path.open("wb") as f:
         f.write(np.array([len(by)], np.uint64).tobytes() + keys[order].tobytes() + offsets.tobytes())
         f.write(bytes(by[names[i]][0] for i in order) + b"".join(raw))
-    return sorted({v[2] for v in by.values()})
+    return sorted({v[2] for v in by.values()}), max((v[1] for v in by.values()), default=0)
 
 
 class Digests:
@@ -102,7 +103,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str
     ship(spark)
     folder = Path(tempfile.mkdtemp(prefix="tidemill-"))
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    lengths = write_rules(rules, folder / "rules", max_rules)
+    lengths, labels = write_rules(rules, folder / "rules", max_rules)
     with (folder / "rules").open("rb") as f:
         name = f"rules-{hashlib.file_digest(f, 'sha256').hexdigest()[:24]}-{spark.sparkContext.applicationId}.bin"
     if name not in _sent:
@@ -115,12 +116,11 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str
             parts = [(h.translate(_ASCII_LOWER), p) for h, p in map(split, b.column(1).to_pylist())]
             strings, owner = [], []
             for i, (host, path) in enumerate(parts):
-                at, suffixes = 0, []
-                while host:
-                    suffixes.append(host[at:])
-                    if (dot := host.find(".", at)) < 0:
-                        break
-                    at = dot + 1
+                # Suffixes from the shortest on, none with more labels than a rule's host has.
+                at, suffixes = len(host) if host else -1, []
+                while at >= 0 and len(suffixes) < labels:
+                    at = host.rfind(".", 0, at)
+                    suffixes.append(host[at + 1 :])
                 # Longest string first, then longest host; so the first hit decides.
                 own = sorted(((len(s) + n, len(s), s + path[:n]) for s in suffixes for n in lengths if n <= len(path)), reverse=True)
                 strings += [x[2] for x in own]
