@@ -201,27 +201,29 @@ def _topk(rows, k):
     v = {}
     out = []
     for i, x in rows:
-        if i is not None and x and all(c is not None and np.isfinite(c) for c in x):
-            v.setdefault(i, []).append(np.floor(256 * np.array(x, float)).astype(int))
-    dim = max(len(x) for xs in v.values() for x in xs)
-    v = {i: [np.pad(x, (0, dim - len(x))) for x in xs] for i, xs in v.items()}
+        if i is not None and x and all(c is not None and np.isfinite(c) and np.isfinite(256 * c) for c in x):
+            v.setdefault(i, []).append([int(np.floor(256 * c)) for c in x])
     for q in sorted(v):
         if q % 50 == 0:
-            for query in {tuple(x.tolist()) for x in v[q]}:
-                best = sorted(((-int(x @ np.array(query)), i) for i, xs in v.items() if i != q for x in xs))[:k]
-                out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+            for query in {tuple(x) for x in v[q]}:
+                best = sorted((-sum(a * b for a, b in zip(x, query, strict=False)), i) for i, xs in v.items() if i != q for x in xs)[:k]
+                out += [(q, r + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 0.2, 8).round(2 if i % 2 else 6).tolist()) for i in range(300)]
-    rows += [(300 + i, rows[0][1]) for i in range(20)] + [(350, [0.5, -1.0]), (351, None), (352, []), (353, [1.0, None]), (354, [float("nan")] * 8), (355, [float("inf")] * 8), (356, [1e300] * 8), (400, [0.0] * 8), (None, [1.0] * 8), (7, rows[7][1]), (450, [30.0, -2.0])]
+    rows += [(300 + i, rows[0][1]) for i in range(20)] + [(350, [0.5, -1.0]), (351, None), (352, []), (353, [1.0, None]), (354, [float("nan")] * 8), (355, [float("inf")] * 8), (356, [1e300] * 8), (357, [1e6, 0.0]), (358, [-1e6] * 8), (359, [1.7e308] * 8), (360, [3e5] * 8), (500, [1e7] * 3), (550, [-1e7, 2e6]), (361, [1e9, 1e-3]), (400, [0.0] * 8), (None, [1.0] * 8), (7, rows[7][1]), (450, [30.0, -2.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    want = _topk([r for r in rows if r[0] != 356], 5)
+    want = _topk(rows, 5)
     for block in (16_384, 40):
-        got = topk.search(d, F.col("id") % 50 == 0, block_rows=block, query_rows=3)
+        got = topk.search(d, F.col("id") % 50 == 0, block_rows=block, sent_bytes=200)
         assert sorted(map(tuple, got.collect())) == want
+    alone = spark.createDataFrame([(50, [1.0, 1.0]), (1, [1e6, 0.0]), (2, [1.0, 1.0])], d.schema)
+    assert tuple(topk.search(alone, F.col("id") % 50 == 0).first()) == (50, 1, 1, 65_536_000_000)
+    clash = d.selectExpr("vec_id", "embedding", "1 AS id", "2 AS v", "3 AS wide", "4 AS score", "5 AS rank")
+    assert sorted(map(tuple, topk.search(clash, F.col("id") % 50 == 0).collect())) == want
     few = topk.search(d.where("vec_id IN (0, 1, 2)"), F.col("id") % 50 == 0).collect()
     assert len(few) == 2
     assert topk.search(d.limit(0), F.col("id") % 50 == 0).count() == 0

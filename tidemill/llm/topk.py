@@ -8,29 +8,35 @@ among the k best. Quantising both sides leaves an error below a bound that is kn
 within it of the k-th are boundary rows, and these alone are scored with whole integers. No row that belongs in the result
 can be lost.
 
-Blocks of queries meet blocks of rows in a join by block pair; each pair gives at most k rows a query. Both kinds of
-block are bounded, so neither side is broadcast or gathered.
-
-Vectors that are null, empty, hold null or non-finite components, or components beyond 2**26 after scaling take no part
-(their scores might not fit a long). Shorter vectors count as padded with zeros. Candidates of a query are all rows
-with another id; repeated rows are candidates each, and equal queries are answered once. Ties go to the smaller id. A
-null id takes no part.
+The index is stored once, a row for each block. Queries go to it in portions of at most ``SENT_BYTES``, which are
+broadcast; no block is shuffled. Only where there are fewer blocks than cores is a block dealt out to several tasks, each
+with its share of the queries. Each block gives at most k rows a query.
+
+Vectors that are null, empty, or hold null or non-finite components (before or after scaling) take no part, nor does a
+null id. Components of any size are exact: rows or queries with one beyond 2**26 after scaling (``wide``) are kept in
+blocks of their own and scored in Python integers. Ranks are by the exact score; a score beyond a long is returned as the
+nearest long. Shorter vectors count as padded with zeros. Candidates of a query are all rows with another id; repeated rows
+are candidates each, and equal queries are answered once. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import partitions_for, ship, stored, table
+from tidemill.llm.common import ship, stored, table
 
-BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
+#: Rows of a block (bounded by bytes too, for long vectors), and bytes of queries that are broadcast at once.
+BLOCK_ROWS, BLOCK_BYTES, SENT_BYTES = 32_768, 32 << 20, 32 << 20
 SLICES, WEIGHT_BITS, MOST = 6, 4, 1 << 26
+#: Slack for the rounding of the error bound itself.
+ROUNDING = 1 + 1e-9
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
@@ -44,28 +50,32 @@ def _bits(bitmap: np.ndarray, n: int) -> np.ndarray:
 
 
 class BitSliced:
-    """Slices of the attributes of some rows."""
+    """Slices of the attributes of some rows; ``x`` holds 64-bit or Python integers."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
         self.n = len(x)
+        # Narrow components have sums below 2**53, which doubles hold exactly and multiply fast.
+        self.fast = x.astype(float) if x.dtype != object and (not x.size or float(np.abs(x).max()) ** 2 * x.shape[1] < 1 << 53) else None
         low = x.min(0) if self.n else np.zeros(x.shape[1], np.int64)
         spread = int((x - low).max()) if x.size else 0
         self.shift = max(0, spread.bit_length() - SLICES)
-        u = (x - low) >> self.shift
-        # Values lie in low + [u, u + 1) << shift; ``base`` is the middle for u = 0.
-        self.base = low + ((1 << self.shift) - 1) / 2
+        above = x - low
+        u = (above >> self.shift).astype(np.int64)
+        # Values lie in low + [u, u + 1) << shift and are taken as their middle; errors are in units of 1 << shift.
+        unit = 1 << self.shift
+        part = ((above - (u.astype(x.dtype) << self.shift)) / unit).astype(float) - 0.5
         self.slices = [[_words((u[:, d] >> b & 1).astype(bool)) for b in range(min(SLICES, spread.bit_length()))] for d in range(x.shape[1])]
-        self.rest = float(np.sqrt((((x - self.base) - (u << self.shift)) ** 2).sum(1).max())) if x.size else 0.0
-        self.norm = float(np.sqrt((x.astype(float) ** 2).sum(1).max())) if x.size else 0.0
+        self.rest = float(np.sqrt((part**2).sum(1).max())) if x.size else 0.0
+        with np.errstate(over="ignore"):
+            self.norm = float(np.sqrt(((x / unit).astype(float) ** 2).sum(1).max())) if x.size else 0.0
         self.full = _words(np.ones(self.n, bool))
-        self.top = u.max(0) if self.n else np.zeros(x.shape[1], np.int64)
 
     def add(self, q: np.ndarray) -> tuple[list[np.ndarray], float]:
         """Slices of the quantised score of every row, the lowest first, in units of 1 << (shift of rows and of q); error in units."""
         cut = max(0, int(np.abs(q).max()).bit_length() - WEIGHT_BITS)
         half = (1 << cut) >> 1
-        w = np.sign(q) * ((np.abs(q) + half) >> cut)
+        w = (((np.abs(q) + half) >> cut) * np.where(q < 0, -1, 1)).astype(np.int64)
         places: list[list[np.ndarray]] = []
         for d in np.flatnonzero(w):
             weight, negative = abs(int(w[d])), w[d] < 0
@@ -95,16 +105,17 @@ class BitSliced:
                 places[i + 1].append(carry)
             out.append(here[0] if here else np.zeros_like(self.full))
             i += 1
-        # score = sum q x; x = base + (u << shift) + e, |e| <= rest; q = (w << cut) + f
-        f = q - (w << cut)
-        error = self.rest * float(np.sqrt((((w << cut)).astype(float) ** 2).sum())) + self.norm * float(np.sqrt((f.astype(float) ** 2).sum()))
-        return out, error / float(1 << (self.shift + cut))
+        # score = sum q x; x = middle + (u << shift) + e, |e| <= rest; q = (w << cut) + f
+        f = ((q - (w.astype(q.dtype) << cut)) / (1 << cut)).astype(float)
+        return out, (self.rest * float(np.sqrt((w.astype(float) ** 2).sum())) + self.norm * float(np.sqrt((f**2).sum()))) * ROUNDING
 
     def boundary(self, q: np.ndarray, k: int) -> np.ndarray:
         """Rows that may be among the k with the highest score."""
         if self.n <= k:
             return np.arange(self.n)
         slices, error = self.add(q)
+        if not math.isfinite(error):  # components too far apart for the bound
+            return np.arange(self.n)
         best, tied, have, value = np.zeros_like(self.full), self.full, 0, 0
         # The value of the k-th best quantised score, from the most significant slice downward.
         for i in range(len(slices) - 1, -1, -1):
@@ -128,88 +139,137 @@ class BitSliced:
         return np.flatnonzero(_bits(over | same, self.n))
 
 
-def top(index: BitSliced, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def top(index: BitSliced, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int]]:
     """(ids, scores) of the k best rows but ``own``; ties to the smaller id."""
     copies = int((ids == own).sum())
     rows = index.boundary(q, k + copies)
     rows = rows[ids[rows] != own]
-    score = index.x[rows] @ q
-    if len(rows) > k:
+    if index.fast is not None and q.dtype != object and (not len(q) or float(np.abs(q).max()) * float(np.abs(index.x).max(initial=0)) * len(q) < 1 << 53):
+        score = (index.fast[rows] @ q.astype(float)).astype(np.int64)
+    else:
+        score = index.x[rows].astype(object) @ q.astype(object) if len(rows) else np.zeros(0, np.int64)
+    if len(rows) > k and score.dtype != object:
         kth = np.partition(score, len(rows) - k)[len(rows) - k]
         rows, score = rows[score >= kth], score[score >= kth]
-    order = np.lexsort((ids[rows], -score))[:k]
-    return ids[rows][order], score[order]
+    best = sorted(zip((-v for v in score.tolist()), ids[rows].tolist(), strict=True))[:k]
+    return np.array([i for _, i in best], np.int64), [-v for v, _ in best]
 
 
 def quantised(vectors: DataFrame, scale: float, key: str, vector: str) -> DataFrame:
-    """(id, v): integer components of the rows that take part."""
+    """(id, wide, v): whole components, as doubles, of the rows that take part."""
     x = F.col("x")
     v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).where(x.isNotNull() & F.col("id").isNotNull() & (F.size(x) > 0))
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) <= MOST))
-    return v.where(fine).select("id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < float("inf")))
+    # The floor of a double beyond 2**53 is that double; Spark's floor would cut it to a long.
+    whole = F.transform("x", lambda c: F.when(F.abs(c * scale) < float(1 << 53), F.floor(c * scale).cast("double")).otherwise(c * scale))
+    return v.where(fine).select("id", F.exists(x, lambda c: F.abs(c * scale) > MOST).alias("wide"), whole.alias("v"))
+
 
+def _matrix(raw: bytes, dim: int, wide: bool) -> np.ndarray:
+    """Integers of a block: 32-bit where they fit, else doubles that are whole, as Python integers."""
+    if not wide:
+        return np.frombuffer(zlib.decompress(raw), "<i4").reshape(-1, dim).astype(np.int64)
+    flat = np.frombuffer(zlib.decompress(raw), "<f8")
+    out = np.empty(len(flat), object)
+    out[:] = [int(v) for v in flat.tolist()]
+    return out.reshape(-1, dim)
 
-def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows as blocks of at most ``size``: (block, ids, dim, x), numbered from 0, stored; and their number."""
-    schema = "part long, ids binary, dim int, x binary"
+
+def blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows as blocks of at most ``size`` and some BLOCK_BYTES: (wide, ids, dim, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId() << 32, []
+        held: dict[bool, list] = {False: [], True: []}
+        words = {False: 0, True: 0}
 
-        def out(rows: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-            dim = max(len(v) for _, v in rows)
-            x = np.zeros((len(rows), dim), "<i4")
-            for i, (_, v) in enumerate(rows):
+        def out(wide: bool) -> pa.RecordBatch:
+            dim = max(len(v) for _, v in held[wide])
+            x = np.zeros((len(held[wide]), dim), "<f8" if wide else "<i4")
+            for i, (_, v) in enumerate(held[wide]):
                 x[i, : len(v)] = v
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.array([r[0] for r in rows], "<i8").tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "ids", "dim", "x"])
+            ids = np.array([r[0] for r in held[wide]], "<i8").tobytes()
+            held[wide], words[wide] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([wide]), pa.array([ids], pa.binary()), pa.array([dim], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["wide", "ids", "dim", "x"])
 
         for b in batches:
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            while len(held) >= size:
-                yield out(held[:size])
-                part, held = part + 1, held[size:]
-        if held:
-            yield out(held)
-
-    made = stored(rows.mapInArrow(run, schema), name)
-    n = made.count()
-    # One narrow row for each block is numbered; the blocks themselves stay where they are.
-    numbers = made.select("part").withColumn("block", (F.row_number().over(Window.orderBy("part")) - 1).cast("int"))
-    return made.join(numbers, "part"), n
-
+            flat, off = b.column(2).values.to_numpy(), b.column(2).offsets.to_numpy()
+            for i, (id_, wide) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                held[wide].append((id_, flat[off[i] : off[i + 1]].copy()))
+                words[wide] += int(off[i + 1] - off[i])
+                if len(held[wide]) >= size or words[wide] * 8 >= BLOCK_BYTES:
+                    yield out(wide)
+        for wide in (False, True):
+            if held[wide]:
+                yield out(wide)
+
+    return rows.mapInArrow(run, "wide boolean, ids binary, dim int, x binary")
+
+
+def _portions(queries: DataFrame, most: int) -> Iterator[list[tuple[bool, bytes, int, bytes]]]:
+    """The stored blocks of queries in portions of about ``most`` bytes, read one partition at a time."""
+    held, size = [], 0
+    for r in queries.toLocalIterator():
+        if held and size + len(r["ids"]) + len(r["x"]) > most:
+            yield held
+            held, size = [], 0
+        held.append((r["wide"], bytes(r["ids"]), r["dim"], bytes(r["x"])))
+        size += len(r["ids"]) + len(r["x"])
+    if held:
+        yield held
+
+
+def _best(index: DataFrame, portion: list[tuple[bool, bytes, int, bytes]], shares: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of each task's blocks the k best rows of each query of the portion."""
+    sent = index.sparkSession.sparkContext.broadcast(portion)
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [(own, q) for wide, ids, dim, x in sent.value for own, q in zip(np.frombuffer(ids, "<i8").tolist(), _matrix(x, dim, wide), strict=True)]
+        best: dict[int, list[tuple[int, int]]] = {}  # of a query's place: (-score, id)
+        for b in batches:
+            for wide, ids, dim, x, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, x = np.frombuffer(ids, "<i8"), _matrix(x, dim, wide)
+                sliced: dict[int, BitSliced] = {}  # queries may be shorter than rows
+                for i in range(share, len(asked), shares):
+                    own, q = asked[i]
+                    both = min(dim, len(q))
+                    if both not in sliced:
+                        sliced[both] = BitSliced(x[:, :both])
+                    got = [(-s, v) for v, s in zip(*top(sliced[both], ids, q[:both], own, k), strict=True)]
+                    best[i] = sorted(best.get(i, []) + got)[:k]
+        flat = [(asked[i][0], v, -s) for i, rows in best.items() for s, v in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.int64()), pa.array([str(r[2]) for r in flat], pa.string())], ["query_id", "vec_id", "score"])
+
+    return index.select("wide", "ids", "dim", "x", "share").mapInArrow(run, "query_id long, vec_id long, score string")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row for which ``is_query`` holds (over column id)."""
     spark = vectors.sparkSession
     ship(spark)
     rows = quantised(vectors, scale, key, vector)
-    index, n_index = blocks(rows, block_rows, "index")
-    asked = rows.where(is_query).dropDuplicates(["id", "v"]).coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    queries, n_queries = blocks(asked, query_rows, "queries")
-    if not n_index or not n_queries:
+    # Small partitions make small blocks; whole ones are made of as few partitions as hold them.
+    index = stored(blocks(rows.coalesce(max(1, -(-rows.count() // block_rows))), block_rows), "index")
+    n_blocks = index.count()
+    shares = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, n_blocks)))  # tasks that one block is dealt out to
+    dealt = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    if n_blocks and shares > 1:
+        dealt = dealt.repartition(n_blocks * shares)
+    queries = stored(blocks(rows.where(is_query).dropDuplicates(["id", "v"]), block_rows), "queries")
+    found = None
+    for portion in _portions(queries, sent_bytes):
+        part = stored(_best(dealt, portion, shares, k), "found")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    left = index.select(F.col("block").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("g"), "ids", "dim", "x")
-    right = queries.select(F.col("block").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))).alias("c"), F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("x").alias("q"))
-    pairs = left.repartition(partitions_for(spark, n_index * n_queries, 1), "c", "g").join(right, ["c", "g"]).select("ids", "dim", "x", "q_ids", "q_dim", "q")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                ids, dim, x, q_ids, q_dim, q = (b.column(i)[r].as_py() for i in range(6))
-                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                x = np.frombuffer(x, "<i4").reshape(-1, dim).astype(np.int64)
-                q = np.frombuffer(q, "<i4").reshape(-1, q_dim).astype(np.int64)
-                both = min(dim, q_dim)
-                sliced, out = BitSliced(x[:, :both]), [[], [], []]
-                for own, weights in zip(q_ids.tolist(), q[:, :both], strict=True):
-                    got, score = top(sliced, ids, weights, own, k)
-                    for column, v in zip(out, (np.full(len(got), own), got, score), strict=True):
-                        column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # Scores may be longer than a long: by sign, number of digits and digits they order like the integers.
+    number = F.col("score").try_cast("decimal(38,0)")
+    minus, digits = F.col("score").startswith("-"), F.ltrim(F.col("score"), F.lit("-"))
+    size = F.when(minus, -F.length(digits)).otherwise(F.length(digits))
+    flip = F.when(minus, F.translate(digits, "0123456789", "9876543210")).otherwise(digits)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(minus, F.desc(size), F.desc(flip), "vec_id"))
+    most = F.lit((1 << 63) - 1)
+    fits = F.when(number.between(F.lit(-(1 << 63) + 1).cast("decimal(38,0)"), most.cast("decimal(38,0)")), number.cast("long")).otherwise(F.when(minus, F.lit(-(1 << 63) + 1) - 1).otherwise(most))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", fits.alias("score"))
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,10 +277,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
       FROM r q JOIN r c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
+SELECT query_id, rank, vec_id, CAST(least(greatest(score, -9223372036854775808), 9223372036854775807) AS BIGINT) AS score FROM k WHERE rank <= 5
 """
