@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tidemill.llm import langid, mixing, packing, pii, simjoin
 from tidemill.llm.common import stored, table
 
+#: Words of a block of the mix: longer than the operator's own, so that parts stay long.
+MIX_BLOCK = 512
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known stay: not ``und``, and the best language has at least half of the probability."""
@@ -40,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix at the sources' target weights: one row for each part of a document that it takes."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, block_words=MIX_BLOCK)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
