@@ -1,14 +1,16 @@
 """Token ids and counts of whole texts, exactly as the tokenizer library gives them.
 
-``Encoder`` splits texts at ASCII white space, which the tokenizer drops and never merges over, encodes every distinct
-word once with the library, and puts the ids of a text together from its words'. Letters and trailing punctuation are
-separate pre-tokens, so words that differ only in these share an entry. The memory is bounded: the word table is emptied
-when it has ``MAX_WORDS`` entries.
-
-Huge documents take *overlap resynchronisation* (``resync``): overlapping chunks are encoded with offsets and spliced at
-a common boundary that is proven stable: both encodings have a token boundary there, it stands beside white space, and
-they agree on the tokens around it. Where no such boundary exists in an overlap, the overlap is widened, in the end to
-the whole rest of the text.
+``Encoder`` parts texts where the tokenizer always parts them: at ASCII white space, which it drops, and between ASCII
+letters or digits and punctuation (behind an apostrophe it may not part, so there nothing is parted). ASCII is
+lower-cased, as the tokenizer does. Texts with ``<|`` may hold special strings and are only parted at white space. Every
+distinct word is encoded once with the library, and the ids of a text are put together from its words'. The word table is
+emptied when it holds some ``MAX_BYTES``; words of over ``LONGEST`` characters, as in texts without blanks, are encoded
+each time and never kept.
+
+Texts of over ``HUGE`` characters take *overlap resynchronisation* (``resync``): overlapping chunks are encoded with
+offsets and spliced at a common boundary that is proven stable: both encodings have a token boundary there, it stands
+behind white space, and they agree on the tokens around it, in id and place. Where no such boundary exists in an overlap,
+the overlap is widened, in the end to all that is not yet spliced (a text without white space is so encoded whole).
 
 Nulls count as empty texts (0 tokens). Every row gives one row. Columns besides doc_id and text are not read.
 """
@@ -30,17 +32,44 @@ from tidemill.llm import words as W
 from tidemill.llm.common import kept, ship, table, texts
 
 TOKENIZER = "word_bpe_49k.json"
-MAX_WORDS = 700_000
+#: Bytes of the word table, by estimate, and characters of the longest word in it.
+MAX_BYTES, LONGEST = 192 << 20, 64
+#: Bytes of text whose words are looked up at once.
+STEP = 8 << 20
 #: Characters: texts above HUGE take overlap resynchronisation with these chunks and first overlaps.
-HUGE, CHUNK, OVERLAP = 65_536, 32_768, 256
+HUGE, CHUNK, OVERLAP = 16_384, 8_192, 256
 #: Tokens that must agree on each side of a splice.
 AGREE = 4
 
 #: Letters that Unicode normalisation and lower-casing leave alone or treat one by one: ASCII and Latin-1.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
-_TAIL = ",.!?;:"
 #: White space that the tokenizer drops and that always parts pre-tokens.
 BLANK = " \t\n\r\x0b\x0c"
+# Kinds of bytes: letters and digits, apostrophe, other punctuation, and all else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[ord("'")] = 2
+_KIND[np.array([c for c in range(128) if chr(c).isalnum()])] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def parted(text: pa.Array) -> pa.Array:
+    """Texts with ASCII in lower case and blanks where letters or digits meet punctuation; null and texts with ``<|`` as they are."""
+    text = text.cast(pa.large_string()).fill_null("")
+    special = pc.match_substring(text, "<|")
+    _, off, data = text.buffers()
+    if not len(text) or data is None:
+        return text
+    off = np.frombuffer(off, np.int64)[text.offset : text.offset + len(text) + 1]
+    buf = _LOWER[np.frombuffer(data, np.uint8)[off[0] : off[-1]]]
+    off = off - off[0]
+    kind = _KIND[buf]
+    left, right = kind[:-1], kind[1:]
+    at = np.flatnonzero(((left == 1) & (right > 1)) | ((left == 3) & (right == 1))) + 1
+    buf = np.insert(buf, at, 0x20)
+    made = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(off + np.searchsorted(at, off, "left")), pa.py_buffer(buf))
+    return pc.if_else(special, text, made) if pc.any(special).as_py() else made
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,60 +84,45 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, path: str, max_words: int = MAX_WORDS):
+    def __init__(self, path: str, max_bytes: int = MAX_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.max_words = max_words
+        self.max_bytes, self.bytes = max_bytes, 0
         self.known: dict[str, bytes] = {}
 
-    def _word(self, core: str) -> bytes:
+    def word(self, word: str) -> bytes:
         """Ids of one word as little-endian 32-bit integers. Plain lower-case letters are one pre-token for the model."""
-        if len(core) < 64 and _PLAIN.fullmatch(core):
-            ids = [t.id for t in self.model.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = self.tokenizer.encode(core, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def word(self, raw: str) -> bytes:
-        known = self.known
-        out = known.get(raw)  # most words are plain and stand in the table as they are
-        if out is not None:
-            return out
-        body = raw.rstrip(_TAIL)
-        low = body.lower() if body.isascii() else body
-        # Only behind a plain letter does a tail of punctuation begin a pre-token of its own.
-        if _PLAIN.fullmatch(low):
-            core, tail = low, raw[len(body) :]
+        if len(word) <= LONGEST and _PLAIN.fullmatch(word):
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
         else:
-            core, tail = raw, ""
-        out = known.get(core)
-        if out is None:
-            if len(known) >= self.max_words:
-                known.clear()
-            out = known[core] = self._word(core)
-        if tail:
-            more = known.get(tail)
-            if more is None:
-                more = known[tail] = self._word(tail)
-            out += more
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= LONGEST:
+            self.bytes += 220 + 4 * len(word) + len(out)
+            if self.bytes > self.max_bytes:
+                self.known.clear()
+                self.bytes = 0
+            self.known[word] = out
         return out
 
     def split(self, text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
         """For some rows at a time: number of words in each row, entry of each word, ids of each entry."""
-        for lo, hi, _, _ in W.steps(text):
-            part = pc.ascii_split_whitespace(text.slice(lo, hi - lo))
+        for lo, hi, _, _ in W.steps(text, STEP):
+            part = pc.ascii_split_whitespace(parted(text.slice(lo, hi - lo)))
             sizes = pc.list_value_length(part).to_numpy(zero_copy_only=False)
             flat = part.flatten()
-            coded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
             empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)
             if empty.any():
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 sizes = np.bincount(row[~empty], minlength=len(sizes))
-            yield sizes, coded.indices.to_numpy(), [self.word(w) for w in coded.dictionary.to_pylist()]
+                flat = flat.filter(pa.array(~empty))
+            coded = flat.dictionary_encode()
+            known, word = self.known.get, self.word
+            yield sizes, coded.indices.to_numpy(), [known(w) or word(w) for w in coded.dictionary.to_pylist()]
 
     def counts(self, text: pa.Array) -> np.ndarray:
         out = []
@@ -132,57 +146,56 @@ def encoder_of(tokenizer: str) -> Encoder:
     return kept(f"encoder {tokenizer}", lambda: Encoder(public_tokenizers.path(tokenizer)))
 
 
-def stable(text: str, left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], agree: int = AGREE) -> int | None:
-    """The last position in an overlap at which two encodings may be spliced.
+def stable(text: str, base: int, left, first: int, begin: int, right, end: int, agree: int = AGREE) -> tuple[int, int, int] | None:
+    """The last place in text[begin:end] at which two encodings may be spliced: (position, token of left, token of right).
 
-    ``left`` and ``right`` are (id, start, end) in text positions. The position is the start of a token in both, white
-    space stands before it, and ``agree`` tokens on either side are equal in id and place.
+    ``left`` and ``right`` are the library's encodings of the text from ``base`` and from ``begin`` on; tokens of ``left``
+    before ``first`` are spliced away already. The position is the start of a token in both, white space stands before it,
+    and ``agree`` tokens on either side are equal in id and place.
     """
-    at = {t[1]: i for i, t in enumerate(left)}
-    for j in range(len(right) - agree, agree - 1, -1):
-        i = at.get(right[j][1])
-        if i is None or i < agree or text[right[j][1] - 1] not in BLANK:
+    a, b = left.ids, right.ids
+    for p in range(end - 1, begin, -1):
+        if text[p - 1] not in BLANK or text[p] in BLANK:
+            continue
+        i, j = left.char_to_token(p - base), right.char_to_token(p - begin)
+        if i is None or j is None or i - agree < first or j < agree or i + agree > len(a) or j + agree > len(b):
+            continue
+        if left.token_to_chars(i)[0] + base != p or right.token_to_chars(j)[0] + begin != p or a[i - agree : i + agree] != b[j - agree : j + agree]:
             continue
-        if left[i - agree : i + agree] == right[j - agree : j + agree]:
-            return right[j][1]
+        places = ((left.token_to_chars(i + d), right.token_to_chars(j + d)) for d in range(-agree, agree))
+        if all(x[0] + base == y[0] + begin and x[1] + base == y[1] + begin for x, y in places):
+            return p, i, j
     return None
 
 
-def resync(text: str, encode: Callable[[str], list[tuple[int, int, int]]], chunk: int = CHUNK, overlap: int = OVERLAP, agree: int = AGREE) -> Iterator[list[int]]:
-    """Ids of ``text`` in runs, from chunks that overlap. ``encode`` gives (id, start, end) of a string's tokens.
+def resync(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = OVERLAP, agree: int = AGREE) -> Iterator[list[int]]:
+    """Ids of ``text`` in runs, from chunks that overlap. ``encode`` gives the library's encoding, with offsets, of a string.
 
     A chunk begins and ends anywhere; each begins ``overlap`` before the end of the last one. Only tokens between two
     splices are given out, and one chunk is held at a time.
     """
-
-    def part(a: int, b: int) -> list[tuple[int, int, int]]:
-        return [(i, s + a, e + a) for i, s, e in encode(text[a:b])]
-
     n, done, end = len(text), 0, min(len(text), chunk)
-    held = part(0, end)  # the tokens of text[done:end]
+    base, held, first = 0, encode(text[:end]), 0  # the tokens of text[done:end] are those of ``held`` from ``first`` on
     while end < n:
-        stop, wide, splice = min(n, end + chunk), overlap, None
+        stop, wide = min(n, end + chunk), overlap
         while True:
             begin = max(done, end - wide)
-            right = part(begin, stop)
-            splice = stable(text, held, [t for t in right if t[2] <= end], agree)
+            right = encode(text[begin:stop])
+            splice = stable(text, base, held, first, begin, right, end, agree)
             if splice is not None or begin == done:
                 break
             wide *= 4
         if splice is None:  # ``right`` begins at the last splice: it replaces what was held
-            held, end = right, stop
+            base, held, first, end = begin, right, 0, stop
         else:
-            yield [t[0] for t in held if t[1] < splice]
-            held, done, end = [t for t in right if t[1] >= splice], splice, stop
-    yield [t[0] for t in held]
-
+            done, i, j = splice
+            yield held.ids[first:i]
+            base, held, first, end = begin, right, j, stop
+    yield held.ids[first:]
 
-def encode_with_offsets(tokenizer) -> Callable[[str], list[tuple[int, int, int]]]:
-    def encode(text: str) -> list[tuple[int, int, int]]:
-        e = tokenizer.encode(text, add_special_tokens=False)
-        return [(i, s, t) for i, (s, t) in zip(e.ids, e.offsets, strict=True)]
 
-    return encode
+def encode_with_offsets(tokenizer) -> Callable:
+    return lambda text: tokenizer.encode(text, add_special_tokens=False)
 
 
 def count(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = 2048, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -20,8 +20,8 @@ NOT_SPACE = ~SPACE
 NOT_NEWLINE = BYTES != 0x0A
 
 
-def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, row offsets) of consecutive rows of about STEP bytes. Nulls count as empty."""
+def steps(texts: pa.Array, step: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, row offsets) of consecutive rows of about ``step`` bytes. Nulls count as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -33,7 +33,7 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + STEP, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + step, "right")) - 1)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 
