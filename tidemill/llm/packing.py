@@ -1,484 +1,327 @@
-"""Lexical retrieval packing: neighbours from a BM25 inverted index over the whole corpus fill each seed's window.
-
-Texts are tokenised once and stored. Document frequencies of all token ids and the mean length are counted over the whole
-corpus (a vector as long as the vocabulary). The inverted index is stored in shards, runs of documents of up to
-``shard_tokens`` tokens, which only bound memory: the queries of up to ``SEEDS`` seeds go to every shard, and the best
-``BEST`` unused pieces of all shards together are a seed's candidates, scored by all terms of the seed. The driver fills the windows seed by seed with the
-best candidates that are still unused; a seed whose candidates run out asks again in the next round. A piece that does not
-fit is cut, and its rest is among the next seeds. A document longer than the window first gives whole windows of its own.
-Once what is left fits into one shard, one task packs it in the same way. What remains then, less than one window, is laid
-out in sequences whose lengths are powers of two, which need no padding. So every id lies in exactly one piece and nothing
-is padded.
-
-Every seed meets every unused piece, so the search grows with seeds times rows. Scores are sums in single precision.
-
-A null text is empty and packs its end id alone. Every row is packed, repeated rows too. Memory of a task is bounded by a
-shard (or by one document, if that is larger) and the queries of one round; the driver holds some 13 bytes for each row.
+"""Lexical retrieval packing: the unused neighbours that a sharded BM25 index finds for a seed document fill its window.
+
+Texts are tokenised once and stored, each with a *route*: four min-hashes of the pairs of successive ids of its piece (what
+is left of it beside whole windows). Sorted by route, pieces that agree in the first min-hash lie together, among them
+those that agree in the second, and so on; pieces of near copies meet with about the probability of their overlap. The sorted
+pieces are dealt out by range of (route, row), so that one route of many pieces, such as copies, spreads over as many partitions
+as it needs, and each partition cuts its run into shards of up to ``shard_tokens`` tokens or ``SHARD_DOCS`` pieces.
+
+A shard has an inverted index of its pieces. Every piece is scored for every other with BM25 over all terms of the seed;
+document frequencies and the mean length are those of the whole corpus. Seeds are taken in order; the unused pieces with the best scores
+fill the seed's window, and a piece that does not fit is cut, its rest being the next seed. What is left of a shard, less
+than a window, goes to the next one, and what is left of a partition to the next round, which has some thousand times fewer
+partitions. The last round has one; what remains then, less than one window, is laid out in sequences whose lengths are powers of
+two, which need no padding. So every id lies in exactly one piece and nothing is padded. The work grows with the input, as
+shards have the same size at every size of it; a seed's neighbours are those of its shard, which the route decides.
+
+A null text is empty and packs its end id alone. Every row is packed, repeated rows and rows without a doc_id too. Ties in
+score go to the earlier piece. Memory of a task is bounded by a shard, or by one document if that is larger; the driver
+holds document frequencies, one number for each id of the vocabulary, and nothing for each row. Ids are kept in 16 bits: a
+tokenizer with more than 65,536 ids is an error. Scores are sums in single precision.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import shared_dir, ship, stored, table, texts
+from tidemill.llm import words as W
+from tidemill.llm.common import ship, stored, table, texts
 from tidemill.llm.tokens import TOKENIZER, encoder_of
 
-WINDOW, END_ID, VOCABULARY = 4096, 2, 49_408
-SHARD_TOKENS, SHARD_DOCS = 2_000_000, 8_000
+WINDOW, END_ID = 4096, 2
+#: Tokens and pieces of a shard, and tokens of a partition of shards.
+SHARD_TOKENS, SHARD_DOCS, PART_TOKENS = 1_000_000, 2_048, 8_000_000
 #: BM25 constants.
 K1, B = 1.2, 0.75
-#: Seeds of one round, candidates of a seed in a round, and queries scored at once.
-SEEDS, BEST, QUERIES = 8192, 32, 256
+#: Queries scored at once; ids that so many of 32 pieces have are scored by a matrix product, others by their postings.
+QUERIES, OFTEN = 256, 1
+_A = np.random.default_rng(4096).integers(1, 1 << 62, 4, dtype=np.uint64) * W.U(2) + W.U(1)
+
+
+def routes(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The route of each piece ids[off[i]:off[i + 1]]; equal pieces have equal routes. Pieces must not be empty."""
+    n = len(off) - 1
+    if not n:
+        return np.zeros(0, np.int64)
+    # The last id of a piece pairs with nothing; a piece of one id has just that pair.
+    following = np.concatenate((ids[1:], [0])).astype(W.U)
+    following[off[1:] - 1] = 1 << 16
+    pair = W.mix(ids.astype(W.U) << W.U(20) | following)
+    out = np.zeros(n, W.U)
+    for a in _A:
+        least = np.minimum.reduceat(pair * a, off[:-1])
+        out = out << W.U(16) | W.mix(least) >> W.U(48)
+    return (out >> W.U(1)).astype(np.int64)
+
+
+def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
+    """(row, doc_id, ids, n, route, whole, seen), stored in the shared folder.
+
+    ids are 16-bit little-endian ids of each text with the end id, n their number and ``row`` a key of its own: doc_id may
+    repeat or be null. ``whole`` is the number of the first sequence that the row's whole windows fill. Each partition adds one row in
+    which only ``seen`` stands: how many of its documents have each id of the vocabulary, as 32-bit integers.
+    """
+    from tokenizers import Tokenizer
 
-
-def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """(row, doc_id, ids, n): 16-bit little-endian ids of each text with the end id and their number, stored in the shared
-    folder. ``row`` is a key of its own: doc_id may repeat or be null."""
     ship(docs.sparkSession)
+    vocabulary = Tokenizer.from_file(public_tokenizers.path(tokenizer)).get_vocab_size()
+    if max(vocabulary, end_id + 1) > 1 << 16:
+        raise ValueError(f"{vocabulary} ids do not fit 16 bits")
+    names = ["row", "doc_id", "ids", "n", "route", "whole", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(tokenizer), np.array([end_id], "<u2")
-        row = TaskContext.get().partitionId() << 32
+        row = TaskContext.get().partitionId() << 36
+        whole = 1 << 61 | row
+        seen = np.zeros(vocabulary, "<u4")
         for b in batches:
-            ids = [np.concatenate((x.astype("<u2"), end)).tobytes() for x in encoder.ids(b.column(1))]
-            rows = pa.array(np.arange(row, row + b.num_rows))
-            row += b.num_rows
-            yield pa.RecordBatch.from_arrays([rows, b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["row", "doc_id", "ids", "n"])
-
-    return stored(texts(docs).mapInArrow(run, "row long, doc_id long, ids binary, n long"), "tokens")
-
-
-def frequencies(tokens: DataFrame, vocabulary: int = VOCABULARY) -> tuple[np.ndarray, int, int]:
-    """Document frequency of each id, number of documents and of ids, over all rows."""
+            if not b.num_rows:
+                continue
+            each = [np.concatenate((x.astype("<u2"), end)) for x in encoder.ids(b.column(1))]
+            n = np.array([len(x) for x in each], np.int64)
+            every = np.concatenate(each)
+            owner = np.repeat(np.arange(len(n)), n)
+            for lo in range(0, len(n), 1 << 16):
+                s = slice(int(n[:lo].sum()), int(n[: lo + (1 << 16)].sum()))
+                both = np.sort((owner[s] - lo).astype(np.uint32) << np.uint32(16) | every[s])
+                seen += np.bincount(both[np.concatenate(([True], both[1:] != both[:-1]))] & np.uint32(0xFFFF), minlength=vocabulary).astype("<u4")
+            # Routes are those of the last piece, or of the last window where that is all there is.
+            tail = np.where(n % window, n % window, window)
+            end_at = np.cumsum(n)
+            part = np.arange(len(every)) >= (end_at - tail)[owner]
+            route = routes(every[part], np.concatenate(([0], np.cumsum(tail))))
+            windows = n // window
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), b.column(0), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(n), pa.array(route), pa.array(whole + np.cumsum(windows) - windows), pa.nulls(len(n), pa.binary())], names)
+            row, whole = row + len(n), whole + int(windows.sum())
+        nothing = [pa.nulls(1, pa.binary() if c == "ids" else pa.int64()) for c in names[:-1]]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([seen.tobytes()], pa.binary())], names)
+
+    return stored(texts(docs).mapInArrow(run, "row long, doc_id long, ids binary, n long, route long, whole long, seen binary"), "tokens")
+
+
+def frequencies(tokens: DataFrame) -> np.ndarray:
+    """Document frequency of each id of the vocabulary over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs, total = np.zeros(vocabulary, np.int64), 0, 0
+        total = np.zeros(0, np.int64)
         for b in batches:
             for raw in b.column(0).to_pylist():
-                x = np.frombuffer(raw, "<u2")
-                df[np.unique(x)] += 1
-                docs, total = docs + 1, total + len(x)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, [-1, -2]))), pa.array(np.concatenate((df[at], [docs, total])))], ["term", "n"])
+                seen = np.frombuffer(raw, "<u4")
+                total = seen.astype(np.int64) if not len(total) else total + seen
+        at = np.concatenate((np.flatnonzero(total), [len(total)]))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate((total, [0]))[at])], ["term", "n"])
 
-    got = tokens.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
-    n = dict(zip(got["term"].tolist(), got["n"].tolist(), strict=True))
-    df = np.zeros(vocabulary, np.int64)
-    for t, c in n.items():
-        if t >= 0:
-            df[t] = c
-    return df, n.get(-1, 0), n.get(-2, 0)
+    got = tokens.where("seen IS NOT NULL").select("seen").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    df = np.zeros(int(got["term"].max()) if len(got) else 0, np.int64)
+    got = got[got["n"] > 0]
+    df[got["term"]] = got["n"]
+    return df
 
 
 class Shard:
-    """Pieces of some documents and their inverted index."""
-
-    def __init__(self, docs: list[tuple[int, np.ndarray]], idf: np.ndarray, mean: float, window: int):
-        self.docs, self.window = docs, window
-        self.pieces: list[tuple[int, int, int]] = []  # (document, start, length) of what is still to place
-        self.whole: list[tuple[int, int]] = []  # (document, start) of windows that one document fills alone
-        for d, (_, x) in enumerate(docs):
-            full = len(x) // window * window
-            self.whole += [(d, s) for s in range(0, full, window)]
-            if len(x) > full:
-                self.pieces.append((d, full, len(x) - full))
-        self.unused = np.ones(len(self.pieces), bool)
-        self.idf = idf
-        lengths = np.array([p[2] for p in self.pieces], np.float64)
-        term, piece, tf = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, (d, s, n) in enumerate(self.pieces):
-            t, c = np.unique(docs[d][1][s : s + n], return_counts=True)
-            term.append(t.astype(np.int64))
-            piece.append(np.full(len(t), i, np.int64))
-            tf.append(c)
-        term, piece, tf = map(np.concatenate, (term, piece, tf))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[piece] / max(mean, 1.0))) if len(term) else np.zeros(0)
-        self.own = np.concatenate(([0], np.cumsum(np.bincount(piece, minlength=len(self.pieces))))) if len(self.pieces) else np.zeros(1, np.int64)
-        self.own_terms = term
-        order = np.argsort(term, kind="stable")
-        self.piece, self.weight = piece[order], weight[order]
-        self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
-
-    def neighbours(self, i: int) -> np.ndarray:
-        """Unused pieces by falling score for piece ``i``; ties to the earlier one. Scores of 0 come last."""
-        own = slice(self.own[i], self.own[i + 1])
-        terms = self.own_terms[own]
-        score = np.zeros(len(self.pieces))
-        for t in terms.tolist():
-            post = slice(self.at[t], self.at[t + 1])
-            score[self.piece[post]] += self.weight[post]
-        free = np.flatnonzero(self.unused)
-        return free[np.argsort(-score[free], kind="stable")]
-
-    def pack(self) -> Iterator[list[tuple[int, int, int]]]:
-        """Sequences as lists of (document, start, length)."""
-        for d, s in self.whole:
-            yield [(d, s, self.window)]
-        left = int(sum(p[2] for p in self.pieces))
-        rest: tuple[int, int, int] | None = None  # of the piece that was cut last
-        rest_piece, first = -1, 0
-        while left >= self.window:
-            if rest is None:
-                while not self.unused[first]:
-                    first += 1
-                rest, rest_piece = self.pieces[first], first
-                self.unused[first] = False
-            sequence, room = [], self.window
-            queue = iter([])
-            seed, item = rest_piece, rest
-            asked, rest = False, None
-            while room:
-                if item is None:
-                    if not asked:
-                        queue, asked = iter(self.neighbours(seed).tolist()), True
-                    i = next(queue)
-                    self.unused[i] = False
-                    item, rest_piece = self.pieces[i], i
-                d, s, n = item
-                take = min(n, room)
-                sequence.append((d, s, take))
-                room -= take
-                rest = (d, s + take, n - take) if take < n else None
-                item = None
-            left -= self.window
-            yield sequence
-        tail = [rest] if rest else []
-        tail += [self.pieces[i] for i in np.flatnonzero(self.unused).tolist()]
-        size = self.window
-        while left:
-            while size > left:
-                size //= 2
-            sequence, room = [], size
-            while room:
-                d, s, n = tail[0]
-                take = min(n, room)
-                sequence.append((d, s, take))
-                room -= take
-                tail[0] = (d, s + take, n - take)
-                if take == n:
-                    tail.pop(0)
-            left -= size
-            yield sequence
-
-
-@dataclass
-class Numbers:
-    """Numbers 0, 1, ... for the rows, in their order: runs of successive rows and the number each run begins with."""
-
-    first: np.ndarray
-    at: np.ndarray
-
-    def of(self, rows: np.ndarray) -> np.ndarray:
-        i = np.searchsorted(self.first, rows, "right") - 1
-        return self.at[i] + rows - self.first[i]
-
-    def rows(self, numbers: np.ndarray) -> np.ndarray:
-        i = np.searchsorted(self.at, numbers, "right") - 1
-        return self.first[i] + numbers - self.at[i]
-
-
-def lengths(tokens: DataFrame) -> tuple[Numbers, np.ndarray]:
-    """Numbers of the rows, and the number of ids of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype("<u4")
-            cut = [0, *(np.flatnonzero(np.diff(row) != 1) + 1).tolist(), len(row)] if len(row) else [0]
-            parts = list(zip(cut[:-1], cut[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([int(row[s]) for s, _ in parts], pa.int64()), pa.array([n[s:e].tobytes() for s, e in parts], pa.binary())], ["first", "n"])
-
-    got = sorted((r["first"], bytes(r["n"])) for r in tokens.select("row", "n").mapInArrow(run, "first long, n binary").collect())
-    n = np.frombuffer(b"".join(x for _, x in got), "<u4")
-    size = np.array([len(x) // 4 for _, x in got], np.int64)
-    return Numbers(np.array([f for f, _ in got], np.int64), np.cumsum(size) - size), n
-
+    """Some pieces, and for each of them the scores of all others."""
+
+    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
+        self.pieces = len(ids)
+        size = np.array([len(x) for x in ids], np.int64)
+        both = np.sort(np.concatenate(ids).astype(np.uint32) << np.uint32(16) | np.repeat(np.arange(len(ids), dtype=np.uint32), size))
+        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+        tf = np.diff(np.concatenate((first, [len(both)])))
+        term, piece = (both[first] >> np.uint32(16)).astype(np.int64), (both[first] & np.uint32(0xFFFF)).astype(np.int64)
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[piece] / max(mean, 1.0)))).astype(np.float32)
+        # The inverted index: pieces and weights of a term begin at its ``at``.
+        self.terms, at = np.unique(term, return_index=True)
+        self.at = np.concatenate((at, [len(term)]))
+        self.term, self.piece, self.weight = np.repeat(np.arange(len(at)), np.diff(self.at)), piece, weight
+        self.by_piece = np.argsort(piece, kind="stable")
+        self.own = np.searchsorted(piece[self.by_piece], np.arange(self.pieces + 1))
+        often = np.flatnonzero(np.diff(self.at) * 32 > OFTEN * self.pieces)
+        self.column = np.full(len(at), -1)
+        self.column[often] = np.arange(len(often))
+        column = self.column[self.term]
+        some = column >= 0
+        self.dense = np.zeros((len(often), self.pieces), np.float32)
+        self.dense[column[some], piece[some]] = weight[some]
+        self.scores = np.concatenate([self.scored(np.arange(q, min(q + QUERIES, self.pieces))) for q in range(0, self.pieces, QUERIES)])
+
+    def scored(self, seeds: np.ndarray) -> np.ndarray:
+        """Scores (seeds, pieces): sums over all terms of a seed."""
+        terms = [self.term[self.by_piece[self.own[s] : self.own[s + 1]]] for s in seeds.tolist()]
+        term, query = np.concatenate(terms), np.repeat(np.arange(len(seeds)), [len(t) for t in terms])
+        often = self.column[term] >= 0
+        which = np.zeros((len(seeds), len(self.dense)), np.float32)
+        which[query[often], self.column[term[often]]] = 1
+        term, query = term[~often], query[~often]
+        n = self.at[term + 1] - self.at[term]
+        post = np.repeat(self.at[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        rare = np.bincount(np.repeat(query * self.pieces, n) + self.piece[post], self.weight[post], len(seeds) * self.pieces)
+        return rare.reshape(len(seeds), self.pieces).astype(np.float32) + which @ self.dense
+
+
+def windows(length: list[int], scores: np.ndarray, window: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Full windows, as lists of (piece, first id, number of ids), and what is left."""
+    start, left = np.zeros(len(length), np.int64), np.array(length, np.int64)
+    total, full, rest, first = int(left.sum()), [], -1, 0
+    while total >= window:
+        if rest < 0:
+            while not left[first]:
+                first += 1
+            rest = first
+        seed, items, room = rest, [], window
+        free = np.flatnonzero(left)
+        free = free[free != seed]
+        rest = -1
+        for p in [seed, *free[np.argsort(-scores[seed, free], kind="stable")].tolist()]:
+            take = min(int(left[p]), room)
+            items.append((p, int(start[p]), take))
+            start[p] += take
+            left[p] -= take
+            room -= take
+            if not room:
+                rest = p if left[p] else -1
+                break
+        full.append(items)
+        total -= window
+    # The rest of a cut piece goes on as the first seed.
+    order = ([rest] if rest >= 0 else []) + [p for p in np.flatnonzero(left).tolist() if p != rest]
+    return full, [(p, int(start[p]), int(left[p])) for p in order]
+
+
+def powers(pieces: list[tuple[int, int, int]], window: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Less than a window of (piece, first id, number of ids), as sequences whose lengths are powers of two."""
+    left, size, rest = sum(p[2] for p in pieces), window, list(pieces)
+    while left:
+        while size > left:
+            size //= 2
+        sequence, room = [], size
+        while room:
+            p, s, n = rest.pop(0)
+            take = min(n, room)
+            sequence.append((p, s, take))
+            room -= take
+            if take < n:
+                rest.insert(0, (p, s + take, n - take))
+        left -= size
+        yield sequence
+
+
+PIECE = "row long, doc_id long, n long, route long, start long, ids binary"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
-def _weights(tf: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0)))
 
+def _placed(with_ids: bool):
+    """A function that makes a row of SCHEMA for ids of a document."""
 
-def indexed(tokens: DataFrame, numbers: Numbers, idf: np.ndarray, mean: float, window: int, shard_tokens: int) -> DataFrame:
-    """The inverted index, a row for each shard: numbers of its pieces, and pieces and weights of each term from ``at`` on."""
+    def row(doc, start: int, ids: np.ndarray, n: int, sequence: int, offset: int) -> tuple:
+        raw = ids.astype("<u4").tobytes()
+        return (doc, start, len(ids), zlib.crc32(raw), n, sequence, offset, raw if with_ids else None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shard(rows: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
-            size = np.array([len(x) for x in held], np.int64)
-            both, tf = np.unique(np.concatenate(held).astype(np.uint32) << np.uint32(16) | np.repeat(np.arange(len(held), dtype=np.uint32), size), return_counts=True)
-            term, piece = (both >> np.uint32(16)).astype(np.int64), (both & np.uint32(0xFFFF)).astype("<u2")
-            weight = _weights(tf, size[piece], idf[term], mean).astype("<f4")
-            at = np.searchsorted(term, np.arange(len(idf) + 1)).astype("<u4")
-            cells = (numbers.of(np.array(rows, np.int64)).astype("<u4"), at, piece, weight)
-            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["number", "at", "piece", "weight"])
-
-        rows, held, size = [], [], 0
-        for b in batches:
-            for row, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(raw.as_py(), "<u2")
-                x = x[len(x) // window * window :]
-                if not len(x):
-                    continue
-                if held and (size + len(x) > shard_tokens or len(held) >= SHARD_DOCS):
-                    yield shard(rows, held)
-                    rows, held, size = [], [], 0
-                rows.append(row)
-                held.append(x)
-                size += len(x)
-        if held:
-            yield shard(rows, held)
-
-    return stored(tokens.select("row", "ids").mapInArrow(run, "number binary, at binary, piece binary, weight binary"), "index")
-
-
-def _score(at: np.ndarray, piece: np.ndarray, weight: np.ndarray, pieces: int, queries: list[np.ndarray], dense: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Scores of all pieces for some queries: frequent terms by a matrix product, the others by their postings."""
-    size = np.diff(at)
-    term, query = np.concatenate(queries).astype(np.int64), np.repeat(np.arange(len(queries)), [len(q) for q in queries])
-    often = column[term] >= 0
-    which = np.zeros((len(queries), dense.shape[1]), np.float32)
-    which[query[often], column[term[often]]] = 1
-    term, query = term[~often], query[~often]
-    n = size[term]
-    post = np.repeat(at[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    score = np.bincount(np.repeat(query * pieces, n) + piece[post], weight[post], len(queries) * pieces).astype(np.float32).reshape(len(queries), pieces)
-    return score + which @ dense.T
-
-
-def _search(b: pa.RecordBatch, i: int, unused: np.ndarray, queries: list[np.ndarray], best: np.ndarray) -> None:
-    """Take the unused pieces of the i-th shard of ``b`` into ``best``: of each query its highest keys, score before number."""
-    number, at, piece, weight = (np.frombuffer(b.column(c)[i].as_py(), t) for c, t in enumerate(("<u4", "<u4", "<u2", "<f4")))
-    free = unused[number]
-    if not free.any():
-        return
-    pieces = int(free.sum())
-    keep = free[piece]
-    at = np.concatenate(([0], np.cumsum(keep)))[at]
-    piece, weight = (np.cumsum(free) - 1)[piece[keep]], weight[keep]
-    frequent = np.flatnonzero(np.diff(at) * 32 > pieces)
-    column = np.full(len(at) - 1, -1)
-    column[frequent] = np.arange(len(frequent))
-    dense = np.zeros((pieces, len(frequent)), np.float32)
-    for f, t in enumerate(frequent.tolist()):
-        dense[piece[at[t] : at[t + 1]], f] = weight[at[t] : at[t + 1]]
-    late = np.uint64(0xFFFFFFFF) - number[free].astype(np.uint64)
-    for q in range(0, len(queries), QUERIES):
-        key = _score(at, piece, weight, pieces, queries[q : q + QUERIES], dense, column).view(np.uint32).astype(np.uint64) << np.uint64(32) | late
-        if pieces > BEST:
-            key = np.partition(key, pieces - BEST, axis=1)[:, -BEST:]
-        own = best[q : q + QUERIES]
-        own[:] = np.partition(np.concatenate((own, key), axis=1), key.shape[1], axis=1)[:, -BEST:]
-
-
-def retrieved(index: DataFrame, queries: list[np.ndarray], unused: np.ndarray) -> np.ndarray:
-    """Numbers of each query's best unused pieces over all shards, best first, ties to the smaller number; -1 for none."""
-    context = index.sparkSession.sparkContext
-    sent = context.broadcast((np.packbits(unused), len(unused), queries))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, n, asked = sent.value
-        free = np.unpackbits(bits, count=n).astype(bool)
-        best = np.zeros((len(asked), BEST), np.uint64)
-        for b in batches:
-            for i in range(b.num_rows):
-                _search(b, i, free, asked, best)
-        at = range(0, len(asked), QUERIES)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([best[q : q + QUERIES].tobytes() for q in at], pa.binary())], ["query", "keys"])
+    return row
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for keys in b.column(1).to_pylist():
-                parts = [np.frombuffer(k, np.uint64).reshape(-1, BEST) for k in keys]
-                out.append(np.sort(np.concatenate(parts, axis=1), axis=1)[:, : -BEST - 1 : -1].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["query", "keys"])
 
-    found = index.mapInArrow(search, "query long, keys binary").groupBy("query").agg(F.collect_list("keys").alias("keys")).mapInArrow(merge, "query long, keys binary")
-    got = sorted((r["query"], bytes(r["keys"])) for r in found.collect())
-    sent.destroy()
-    keys = np.frombuffer(b"".join(k for _, k in got), np.uint64).reshape(-1, BEST)
-    return np.where(keys > 0, 0xFFFFFFFF - (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), -1)
+def _columns(rows: list[tuple], types: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [c.split() for c in types.split(", ")]
+    cells = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cells, fields, strict=True)], [f for f, _ in fields])
 
 
-def _queries(tokens: DataFrame, rows: np.ndarray, window: int) -> dict[int, np.ndarray]:
-    """All terms of the piece of each row."""
+def _round(pieces: DataFrame, number: int, parts: int, idf: np.ndarray, mean: float, window: int, shard_tokens: int, with_ids: bool) -> DataFrame:
+    """Rows of SCHEMA for what fits whole windows; what is left of each partition has null sequence_id and, behind SCHEMA,
+    row and route. With one partition nothing is left."""
+    make = _placed(with_ids)
+    sent = pieces.sparkSession.sparkContext.broadcast((idf, mean))  # one number for each id of the vocabulary
+    schema = f"{SCHEMA}, row long, route long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        weights, mean_length = sent.value
+        sequence = number << 58 | TaskContext.get().partitionId() << 32
+        held: list[tuple] = []  # (row, doc_id, n, route, start, ids)
+        size = 0
+
+        def pack() -> list[tuple]:
+            nonlocal held, size, sequence
+            ids = [p[5] for p in held]
+            full, left = windows([len(x) for x in ids], Shard(ids, weights, mean_length).scores, window)
             out = []
-            for raw in b.column(1):
-                x = np.frombuffer(raw.as_py(), "<u2")
-                out.append(np.unique(x[len(x) // window * window :]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["row", "terms"])
-
-    seeds = tokens.sparkSession.createDataFrame(pa.table({"row": rows}))
-    got = tokens.select("row", "ids").join(F.broadcast(seeds), "row").mapInArrow(run, "row long, terms binary").collect()
-    return {r["row"]: np.frombuffer(bytes(r["terms"]), "<u2") for r in got}
-
-
-class Windows:
-    """The pieces still to place and the windows filled with them; kept by the driver."""
-
-    def __init__(self, n: np.ndarray, window: int):
-        self.window = window
-        self.start = (n // window * window).astype(np.uint32)
-        self.length = (n % window).astype(np.uint32)
-        self.unused = self.length > 0
-        self.left = int(self.length.sum(dtype=np.int64))  # ids outside of full windows
-        self.open: list[tuple[int, list[tuple[int, int, int]]]] = []  # seed and its (piece, start, length) so far
-        self.rests: list[int] = []
-        self.next = 0
-
-    def seed(self, most: int) -> list[int]:
-        """Open windows until there are ``most``: rests of cut pieces first, then the first unused pieces."""
-        new = []
-        while len(self.open) < most:
-            while self.rests and not self.unused[self.rests[0]]:
-                self.rests.pop(0)
-            if self.rests:
-                p = self.rests.pop(0)
-            else:
-                while self.next < len(self.unused) and not self.unused[self.next]:
-                    self.next += 1
-                if self.next == len(self.unused):
-                    break
-                p = self.next
-            self.unused[p] = False
-            self.open.append((p, [(p, int(self.start[p]), int(self.length[p]))]))
-            new.append(p)
-        return new
-
-    def fill(self, best: np.ndarray) -> list[list[tuple[int, int, int]]]:
-        """The windows that become full with these candidates of the open ones."""
-        full, still = [], []
-        for (seed, items), numbers in zip(self.open, best.tolist(), strict=True):
-            room = self.window - sum(n for _, _, n in items)
-            for p in numbers:
-                if p < 0 or not room:
-                    break
-                if not self.unused[p]:
-                    continue
-                take = min(int(self.length[p]), room)
-                items.append((p, int(self.start[p]), take))
-                room -= take
-                self.start[p] += take
-                self.length[p] -= take
-                if self.length[p]:
-                    self.rests.append(p)
-                else:
-                    self.unused[p] = False
-            if room:
-                still.append((seed, items))
-            else:
-                full.append(items)
-        self.open = still
-        self.left -= len(full) * self.window
-        return full
-
-    def remaining(self) -> np.ndarray:
-        """(piece, start, length) of all that is outside of full windows."""
-        at = np.flatnonzero(self.unused)
-        free = np.stack((at, self.start[at].astype(np.int64), self.length[at].astype(np.int64)), axis=1)
-        return np.concatenate((free, np.array([i for _, items in self.open for i in items], np.int64).reshape(-1, 3)))
-
-
-PLACED = "row long, start long, length long, sequence_id long, offset long"
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-
-
-def placed(tokens: DataFrame, window: int, shard_tokens: int, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(row, start, length, sequence_id, offset) of all pieces; one of several windows' length fills as many sequences."""
-    spark = tokens.sparkSession
-    df, n_docs, n_ids = frequencies(tokens, vocabulary)
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    mean = min(n_ids / max(n_docs, 1), window)
-    numbers, n = lengths(tokens)
-    path, names = f"{shared_dir(spark)}/tidemill/placed-{uuid.uuid4().hex}", [c.split()[0] for c in PLACED.split(", ")]
-
-    def write(columns: list[np.ndarray]) -> None:
-        spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names)).write.mode("append").parquet(path)
-
-    whole = np.flatnonzero(n >= window)
-    windows = (n[whole] // window).astype(np.int64)
-    nothing = np.zeros(len(whole), np.int64)
-    write([numbers.rows(whole) if len(whole) else nothing, nothing, windows * window, np.cumsum(windows) - windows, nothing])
-    sequence_id = int(windows.sum())
-
-    state, terms = Windows(n, window), {}
-    index = indexed(tokens, numbers, idf, mean, window, shard_tokens) if state.left > shard_tokens else None
-    while state.left > shard_tokens:
-        # At most half of what is left is in open windows, so there is always an unused piece for them.
-        new = state.seed(max(1, min(SEEDS, state.left // window // 2)))
-        if new:
-            rows = numbers.rows(np.array(new))
-            own = _queries(tokens, rows, window)
-            terms |= {p: own[r] for p, r in zip(new, rows.tolist(), strict=True)}
-        full = state.fill(retrieved(index, [terms[p] for p, _ in state.open], state.unused))
-        terms = {p: terms[p] for p, _ in state.open}
-        if full:
-            rows = []
             for items in full:
                 offset = 0
                 for p, s, k in items:
-                    rows.append((p, s, k, sequence_id, offset))
+                    _, doc, n, _, start, x = held[p]
+                    out.append((*make(doc, start + s, x[s : s + k], n, sequence, offset), None, None))
                     offset += k
-                sequence_id += 1
-            columns = list(np.array(rows, np.int64).T)
-            write([numbers.rows(columns[0]), *columns[1:]])
-
-    rest = state.remaining()
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [p for b in batches for p in zip(*(b.column(c).to_pylist() for c in ("row", "start", "ids")), strict=True)]
-        rows, at = [], sequence_id
-        for sequence in Shard([(row, np.frombuffer(raw, "<u2")) for row, _, raw in pieces], idf, mean, window).pack():
-            offset = 0
-            for d, s, k in sequence:
-                rows.append((pieces[d][0], pieces[d][1] + s, k, at, offset))
-                offset += k
-            at += 1
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(len(names))], names)
-
-    if len(rest):
-        last = spark.createDataFrame(pa.table([pa.array(numbers.rows(rest[:, 0])), pa.array(rest[:, 1]), pa.array(rest[:, 2])], ["row", "start", "length"]))
-        one = tokens.select("row", "ids").join(last, "row").select("row", "start", F.expr("substring(ids, cast(2 * start + 1 as int), cast(2 * length as int))").alias("ids"))
-        one.repartition(1).sortWithinPartitions("row", "start").mapInArrow(finish, PLACED).write.mode("append").parquet(path)
-    return spark.read.schema(PLACED).parquet(path)
-
-
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, with_ids: bool = True) -> DataFrame:
-    """One row per piece; ``ids`` holds its ids as little-endian 32-bit integers (null without ``with_ids``)."""
-    tokens = tokenised(docs, tokenizer, end_id)
+                sequence += 1
+            held = [(*held[p][:4], held[p][4] + s, held[p][5][s : s + k]) for p, s, k in left]
+            size = sum(len(p[5]) for p in held)
+            return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], NAMES)
+        for b in batches:
+            for row, doc, n, route, start, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(raw, "<u2")
+                if size >= window and (size + len(x) > shard_tokens or len(held) >= SHARD_DOCS):
+                    yield _columns(pack(), schema)
+                held.append((row, doc, n, route, start, x))
+                size += len(x)
+        if size >= window:
+            yield _columns(pack(), schema)
+        out = []
+        if parts == 1:
+            for items in powers([(p, 0, len(h[5])) for p, h in enumerate(held)], window):
+                offset = 0
+                for p, s, k in items:
+                    _, doc, n, _, start, x = held[p]
+                    out.append((*make(doc, start + s, x[s : s + k], n, sequence, offset), None, None))
+                    offset += k
+                sequence += 1
+        else:
+            out = [(doc, start, len(x), None, n, None, None, x.tobytes(), row, route) for row, doc, n, route, start, x in held]
+        yield _columns(out, schema)
+
+    dealt = pieces.repartition(1) if parts == 1 else pieces.repartitionByRange(parts, "route", "row", "start")
+    return stored(dealt.sortWithinPartitions("route", "row", "start").mapInArrow(run, schema), f"round{number}")
 
-        rows, size = [], 0
+
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, part_tokens: int = PART_TOKENS, with_ids: bool = True) -> DataFrame:
+    """One row per piece; ``ids`` holds its ids as little-endian 32-bit integers (null without ``with_ids``)."""
+    tokens = tokenised(docs, tokenizer, end_id, window)
+    df, rows = frequencies(tokens), tokens.where("row IS NOT NULL")
+    tail = F.col("n") % window
+    n_docs, n_ids, left = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(tail), F.lit(0))).first()
+    idf, mean = np.log1p((n_docs - df + 0.5) / (df + 0.5)), min(n_ids / max(n_docs, 1), window)
+    make = _placed(with_ids)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, doc_tokens, raw, start, length, sequence, offset in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "start", "length", "sequence_id", "offset")), strict=True):
+            for doc, raw, n, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = np.frombuffer(raw, "<u2")
-                for i, s in enumerate(range(start, start + length, window)):
-                    ids = x[s : min(s + window, start + length)].astype("<u4").tobytes()
-                    rows.append((doc, s, len(ids) // 4, zlib.crc32(ids), doc_tokens, sequence + i, offset, ids if with_ids else None))
-                    size += len(ids)
-                    if size > 16 << 20:
-                        yield batch(rows)
-                        rows, size = [], 0
-        if rows:
-            yield batch(rows)
-
-    pieces = tokens.join(placed(tokens, window, shard_tokens), "row").select("doc_id", "n", "ids", "start", "length", "sequence_id", "offset")
-    return pieces.mapInArrow(run, SCHEMA)
+                for lo in range(0, n // window, 1024):
+                    some = range(lo, min(lo + 1024, n // window))
+                    yield _columns([make(doc, i * window, x[i * window : (i + 1) * window], n, first + i, 0) for i in some], SCHEMA)
+
+    out = rows.where(F.col("n") >= window).select("doc_id", "ids", "n", "whole").mapInArrow(whole, SCHEMA)
+    ids = F.when(F.col("n") < window, F.col("ids")).otherwise(F.expr(f"substring(ids, cast(2 * (n - n % {window}) + 1 as int), cast(2 * (n % {window}) as int))"))
+    pieces = rows.where(tail > 0).select("row", "doc_id", "n", "route", (F.col("n") - tail).alias("start"), ids.alias("ids"))
+    number = 1
+    while left:
+        parts = -(-left // part_tokens)
+        done = _round(pieces, number, parts, idf, mean, window, shard_tokens, with_ids)
+        out = out.unionByName(done.where("sequence_id IS NOT NULL").select(*NAMES))
+        if parts == 1:
+            break
+        rest = done.where("sequence_id IS NULL")
+        left = rest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        pieces = rest.select("row", "doc_id", F.col("doc_tokens").alias("n"), "route", "start", "ids")
+        number += 1
+    return out
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
