@@ -13,7 +13,7 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parents[1]
@@ -67,9 +67,11 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset, as in local tests."""
+    """The folder that ``spark.checkpoint.dir`` names. Only a local session, as in tests, gets a temporary one where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tidemill-shared-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
@@ -99,6 +101,21 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
+def meet(left: DataFrame, right: DataFrame, key: str, size: str, spread: str | Column, total: int, most: int = 1024) -> DataFrame:
+    """``left`` joined to ``right`` by ``key``, which is unique in ``right``; ``size`` there is about the rows of ``left`` with
+    that key.
+
+    Keys with more than ``most`` rows and a thousandth of ``total`` are hot: at most a thousand keys are, so they are
+    broadcast. Rows of a hot key are dealt out by the hash of ``spread``, and its row of ``right`` is repeated for each share.
+    """
+    hot = right.where(F.col(size) > max(most, total // 1000)).select(F.col(key).alias("hot_"), F.ceil(F.col(size) / max(most, total // 1000)).alias("shares_"))
+    share = F.pmod(F.xxhash64(spread), F.coalesce("shares_", F.lit(1)).cast("long"))
+    dealt = left.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("hot_")), "left").withColumn("share_", share).drop("hot_", "shares_")
+    shares = F.when(F.col(size) > max(most, total // 1000), F.ceil(F.col(size) / max(most, total // 1000))).otherwise(F.lit(1)).cast("long")
+    repeated = right.withColumn("share_", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    return dealt.join(repeated, [key, "share_"]).drop("share_")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text as string (null: empty) and other named columns; everything else is left in the file."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

@@ -8,12 +8,14 @@ probability J.
 The join runs ``runs`` trees at once. At a node one coordinate, or with the probability that makes 1 / J on average two, is
 chosen from the node's own randomness, and the sets of the node go to children by the token sampled there. Buckets of up to
 ``bucket`` sets are compared by brute force; larger ones are split again, up to ``depth`` times, and buckets that
-are still larger (many near copies) are compared in blocks against blocks. ``runs`` follows from the target recall and
-the probability that a pair at the threshold stays together down to the deepest level.
+are still larger (many near copies) are compared in blocks against blocks. Pairs whose sketches agree in ``least`` of the
+coordinates or more are candidates. ``runs`` follows from the target recall of a pair at the threshold: over all numbers of
+coordinates in which it may agree, it has to be a candidate and to stay together down to the deepest level in one of the runs.
 
 A bucket gives the spanning links of its candidate pairs, so its rows grow with its sets and not with its pairs. Their
-components are small candidate groups (or are cut in blocks), in which all pairs are then compared exactly on whole
-shingle sets. The links found there give each text its number of links, and their components its class. Classes are
+components are small candidate groups, in which all pairs are then compared exactly on whole shingle sets. Groups of more
+than ``block`` sets or ``BLOCK_SHINGLES`` shingles are cut into blocks, and pairs of blocks are compared, so that a task
+holds a bounded part of a group (or two sets, where these alone are larger). The links found there give each text its number of links, and their components its class. Classes are
 chains of links: two texts of a class need not be similar themselves.
 
 Null texts and texts without words are classes of their own, without links. Rows that share a doc_id and a set are copies
@@ -28,35 +30,51 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import words as W
-from tidemill.llm.common import release, ship, stored, table, texts
-from tidemill.llm.components import components
+from tidemill.llm.common import meet, release, ship, stored, table, texts
+from tidemill.llm.components import components, tree
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
 COORDINATES, BUCKET, DEPTH = 128, 512, 4
-#: Sketches that agree in this share of coordinates are candidates: three deviations below the threshold.
-CANDIDATE = SIMILARITY - 3 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
-#: Sets of a candidate group that one task compares, and bytes of tables that may be broadcast.
-BLOCK, BROADCAST_BYTES = 1024, 32 << 20
+#: Sets and shingles of a block of a candidate group, and bytes of tables that may be broadcast.
+BLOCK, BLOCK_SHINGLES, BROADCAST_BYTES = 512, 2_000_000, 32 << 20
 _RNG = np.random.default_rng(1729)
 _A = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
-def survival(depth: int, similarity: float) -> float:
-    """Probability that a pair of this similarity still shares a node after ``depth`` levels of one tree."""
+def least_agreement(similarity: float) -> int:
+    """Coordinates in which the sketches of a candidate pair agree: three deviations below the threshold."""
+    return math.ceil((similarity - 3 * math.sqrt(similarity * (1 - similarity) / COORDINATES)) * COORDINATES)
+
+
+def survival(depth: int, similarity: float, agreement: float | None = None) -> float:
+    """Probability that a pair that agrees in this share of coordinates shares a node after ``depth`` levels of a tree for ``similarity``."""
     two, lost = 1 / similarity - 1, 0.0
     for _ in range(depth):
-        one = 1 - similarity * (1 - lost)
+        one = 1 - (similarity if agreement is None else agreement) * (1 - lost)
         lost = (1 - two) * one + two * one * one
     return 1 - lost
 
 
+def recall_of(runs: int, depth: int, similarity: float, pair: float | None = None) -> float:
+    """Probability that a pair of similarity ``pair`` (the threshold) is found by ``runs`` trees."""
+    j, total = similarity if pair is None else pair, 0.0
+    for m in range(least_agreement(similarity), COORDINATES + 1):
+        there = math.comb(COORDINATES, m) * j**m * (1 - j) ** (COORDINATES - m)
+        total += there * (1 - (1 - survival(depth, similarity, m / COORDINATES)) ** runs)
+    return total
+
+
 def runs_for(recall: float, depth: int, similarity: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(depth, similarity))))
+    """The fewest runs that reach the recall at the threshold."""
+    for runs in range(1, 1000):
+        if recall_of(runs, depth, similarity) >= recall:
+            return runs
+    raise ValueError(f"no number of runs reaches a recall of {recall}")
 
 
 def shingle_sets(text: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -91,14 +109,16 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, nameless, key, sid, sketch): the digest of each row's set and its sampled shingles; null for texts without words."""
+    """(doc_id, nameless, key, sid, sketch, shingles): the digest of each row's set, its sampled shingles and its size; null for
+    texts without words."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            sids, out = [], []
+            sids, out, sizes = [], [], []
             for n, off, sets in shingle_sets(b.column(1)):
+                sizes.append(np.diff(off))
                 full = np.flatnonzero(off[1:] > off[:-1])
                 least = np.empty((len(full), COORDINATES), "<u4")
                 if len(full):
@@ -108,9 +128,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for r in range(n):
                     sids.append(_digest(sets[off[r] : off[r + 1]]) if r in at else None)
                     out.append(least[at[r]].tobytes() if r in at else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sids, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "nameless", "key", "sid", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sids, pa.binary()), pa.array(out, pa.binary()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], ["doc_id", "nameless", "key", "sid", "sketch", "shingles"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, nameless boolean, key long, sid binary, sketch binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, nameless boolean, key long, sid binary, sketch binary, shingles long")
 
 
 def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
@@ -183,13 +203,13 @@ def spanning(n: int, like: Callable[[int], np.ndarray]) -> np.ndarray:
     return label
 
 
-def _in_blocks(rows: DataFrame, size: str, block: int) -> DataFrame:
-    """``rows`` with i, j: of groups larger than ``block`` every row goes to all pairs of blocks that have its own.
+def _in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """``rows`` with i, j: of a group that is cut into several ``blocks`` every row goes to all pairs that have its own.
 
     Groups that fit have the pair (0, 0). Every pair of rows of a group meets in exactly one pair of blocks, up to pairs
     of one block, which meet in (i, i).
     """
-    k = F.ceil(F.col(size) / block)
+    k = F.greatest(F.lit(1), blocks).cast("long")
     own = F.pmod(F.xxhash64("sid"), k)
     return rows.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), k - 1))).withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).drop("o")
 
@@ -202,7 +222,7 @@ def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
 def candidates(reps: DataFrame, similarity: float, recall: float, bucket: int, depth: int) -> DataFrame:
     """Links (a, b) that span the candidate pairs of ``reps`` (sid, sketch)."""
     runs = runs_for(recall, depth, similarity)
-    least = math.ceil((similarity - 3 * math.sqrt(similarity * (1 - similarity) / COORDINATES)) * COORDINATES)
+    least = least_agreement(similarity)
     nodes, leaves = _split(reps.select(F.lit(None).cast("long").alias("key"), "sid", "sketch"), runs, similarity), []
     for level in range(1, depth + 1):
         level_rows = stored(nodes.distinct() if level > 1 else nodes, f"level{level}")
@@ -216,7 +236,7 @@ def candidates(reps: DataFrame, similarity: float, recall: float, bucket: int, d
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
-    rows = _in_blocks(rows.join(reps, "sid"), "size", bucket)
+    rows = _in_blocks(rows.join(reps, "sid"), F.ceil(F.col("size") / bucket))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -227,13 +247,13 @@ def candidates(reps: DataFrame, similarity: float, recall: float, bucket: int, d
                 label = np.zeros(2, int) if int((low[0] == low[1]).sum()) >= least else np.arange(2)
             else:
                 label = spanning(len(sids), lambda i, low=low: np.count_nonzero(low == low[i], axis=1) >= least)
-            root: dict[int, bytes] = {}
-            for s, x in zip(sids, label.tolist(), strict=True):
-                root[x] = min(s, root.get(x, s))
+            parts: dict[int, list[bytes]] = {}
             for s, x in zip(sids, label.tolist(), strict=True):
-                if root[x] != s:
-                    a.append(root[x])
-                    b.append(s)
+                parts.setdefault(x, []).append(s)
+            for part in parts.values():
+                for one, other in tree(sorted(part)):
+                    a.append(one)
+                    b.append(other)
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
                 a, b = [], []
@@ -275,14 +295,18 @@ def exact(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def verified(docs: DataFrame, grouped: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(sid, n_text_links, n_links, root, blocks) from all pairs within the groups of ``grouped``.
+    """(sid, n_text_links, n_links, root, parent, blocks) from all pairs within the groups of ``grouped``.
 
-    ``grouped`` has (sid, label, copies, at): at is (nameless, key) of a row with the set. n_links counts copies.
+    ``grouped`` has (sid, label, copies, shingles, at): at is (nameless, key) of a row with the set. n_links counts copies.
+    root is the same for all sets that are connected within a pair of blocks, and links to parents connect them.
     """
-    spark = docs.sparkSession
-    size = grouped.groupBy("label").agg(F.count("*").alias("size"))
-    wanted = stored(grouped.join(size, "label").select("at.nameless", "at.key", F.col("sid").alias("want"), "label", "copies", "size"), "wanted")
-    small = wanted.count() * 80 <= BROADCAST_BYTES
+    grouped = stored(grouped, "grouped")
+    rows = grouped.count()
+    size = grouped.groupBy("label").agg(F.count("*").alias("size"), F.sum("shingles").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    wanted = meet(grouped.drop("shingles"), size, "label", "size", "sid", rows).select("at.nameless", "at.key", F.col("sid").alias("want"), "label", "copies", blocks.alias("blocks"))
+    wanted = stored(wanted, "wanted")
+    small = rows * 80 <= BROADCAST_BYTES
     found = _keyed(docs).join(F.broadcast(wanted) if small else wanted, ["nameless", "key"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,9 +321,9 @@ def verified(docs: DataFrame, grouped: DataFrame, similarity: float, block: int)
                         out.append(own.tobytes())
                     r += 1
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("label", "want", "copies", "size")), pa.array(out, pa.binary())], ["label", "sid", "copies", "size", "set"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("label", "want", "copies", "blocks")), pa.array(out, pa.binary())], ["label", "sid", "copies", "blocks", "set"])
 
-    rows = _in_blocks(found.select("text", "want", "label", "copies", "size").mapInArrow(sets, "label binary, sid binary, copies long, size long, set binary"), "size", block)
+    rows = _in_blocks(found.select("text", "want", "label", "copies", "blocks").mapInArrow(sets, "label binary, sid binary, copies long, blocks long, set binary"), F.col("blocks"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
@@ -314,14 +338,15 @@ def verified(docs: DataFrame, grouped: DataFrame, similarity: float, block: int)
                 link &= part[:, None] != part[None, :]
             copies = np.array([own[s][0] for s in sids], np.int64)
             label = spanning(len(sids), lambda x, link=link: link[x] | (np.arange(len(link)) == x))
-            root: dict[int, bytes] = {}
+            members: dict[int, list[bytes]] = {}
             for s, x in zip(sids, label.tolist(), strict=True):
-                root.setdefault(x, s)
-            n = g.column("size")[0].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(link.sum(1)), pa.array(link @ copies), pa.array([root[x] for x in label.tolist()], pa.binary()), pa.array([n > block] * len(sids))], ["sid", "n_text_links", "n_links", "root", "blocks"])
+                members.setdefault(x, []).append(s)
+            parent = {b: a for part in members.values() for a, b in tree(part)}
+            cut = g.column("blocks")[0].as_py() > 1
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(link.sum(1)), pa.array(link @ copies), pa.array([members[x][0] for x in label.tolist()], pa.binary()), pa.array([parent.get(s, s) for s in sids], pa.binary()), pa.array([cut] * len(sids))], ["sid", "n_text_links", "n_links", "root", "parent", "blocks"])
 
-    by = _sorted(rows.select("label", "i", "j", "sid", "copies", "own", "size", "set"), "label", "i", "j")
-    return by.mapInArrow(compare, "sid binary, n_text_links long, n_links long, root binary, blocks boolean")
+    by = _sorted(rows.select("label", "i", "j", "sid", "copies", "own", "blocks", "set"), "label", "i", "j")
+    return by.mapInArrow(compare, "sid binary, n_text_links long, n_links long, root binary, parent binary, blocks boolean")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
@@ -331,22 +356,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     n_text_links the different sets, n_copies the rows with the same set, itself included.
     """
     members = stored(sketches(docs), "sketches")
-    reps = stored(members.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("carrier"), F.min(F.struct("nameless", "key")).alias("at"), F.count("*").alias("copies")), "sets")
+    reps = stored(members.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"), F.min("doc_id").alias("carrier"), F.min(F.struct("nameless", "key")).alias("at"), F.count("*").alias("copies")), "sets")
     narrow = reps.select("sid", "carrier", "copies")
-    located = reps.select("sid", "at", "copies")
+    located = reps.select("sid", "at", "copies", "shingles")
     labels = components(candidates(reps.select("sid", "sketch"), similarity, recall, bucket, depth))
-    grouped = labels.join(located, labels.v == located.sid).select("sid", "label", "copies", "at")
+    grouped = labels.join(located, labels.v == located.sid).select("sid", "label", "copies", "shingles", "at")
     parts = stored(verified(docs, grouped, similarity, block), "verified")
     linked = parts.groupBy("sid").agg(F.sum("n_text_links").alias("n_text_links"), F.sum("n_links").alias("n_links"), F.min("root").alias("root"))
     cut = parts.where("blocks")
     if not cut.isEmpty():
-        over = components(cut.select(F.col("root").alias("a"), F.col("sid").alias("b")))
+        over = components(cut.select(F.col("parent").alias("a"), F.col("sid").alias("b")))
         linked = linked.join(over, linked.sid == over.v, "left").select("sid", "n_text_links", "n_links", F.coalesce("label", "root").alias("root"))
-    first = linked.join(narrow, "sid").groupBy("root").agg(F.min("carrier").alias("class_id"))
-    known = linked.join(first, "root").select("sid", "class_id", "n_text_links", "n_links")
+    linked = stored(linked, "linked")
+    first = linked.join(narrow, "sid").groupBy("root").agg(F.min("carrier").alias("class_id"), F.count("*").alias("size"))
+    known = meet(linked, first, "root", "size", "sid", linked.count()).select("sid", "class_id", "n_text_links", "n_links")
     per_set = narrow.join(known, "sid", "left").select("sid", F.coalesce("class_id", "carrier").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"), F.col("copies").alias("n_copies"))
     names = ("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
-    with_words = members.where("sid IS NOT NULL").select("doc_id", "sid").join(per_set, "sid").select(*names)
+    # A set with very many copies would be one task of this join.
+    with_words = meet(members.where("sid IS NOT NULL").select("doc_id", "sid"), stored(per_set, "classes"), "sid", "n_copies", F.monotonically_increasing_id(), members.count()).select(*names)
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     return with_words.unionByName(members.where("sid IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_text_links"), one.alias("n_copies")))
 
