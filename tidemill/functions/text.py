@@ -103,6 +103,27 @@ def mask_home(path: Column, home: str) -> Column:
     return F.when(path.startswith(home), F.concat(F.lit("~"), F.substring(path, len(home) + 1, 1 << 30))).otherwise(path)
 
 
+def expand_home(path: Column, home: str) -> Column:
+    """With the home folder in place of a leading ``~``."""
+    return F.when((path == "~") | path.startswith("~/"), F.concat(F.lit(home), F.substring(path, 2, 1 << 30))).otherwise(path)
+
+
+def join_path(folder: Column, name: Column) -> Column:
+    """A name within a folder; an absolute name stands for itself, an empty folder adds nothing."""
+    inside = F.when((folder == "") | folder.endswith("/"), F.concat(folder, name)).otherwise(F.concat(folder, F.lit("/"), name))
+    return F.when(name.startswith("/"), name).otherwise(inside)
+
+
+def same_state(one: Column, other: Column) -> Column:
+    """Whether two structs are the same as JSON text; null counts as a state."""
+    return F.to_json(one).eqNullSafe(F.to_json(other))
+
+
+def first_usable(elements: Column, value: str) -> Column:
+    """``value`` of the first element (a struct with width and height) with both sides positive, else null."""
+    return F.try_element_at(F.filter(elements, lambda e: (e["width"] > 0) & (e["height"] > 0)), F.lit(1)).getField(value)
+
+
 def delay_range(low: Column, high: Column) -> tuple[Column, Column]:
     """Swapped where they are the wrong way round."""
     return F.least(low, high), F.greatest(low, high)
@@ -120,6 +141,13 @@ def limit_typed(c: Column, default: int = 10) -> Column:
     return F.greatest(F.lit(1), F.coalesce(strip(c).try_cast("int"), F.lit(default)))
 
 
+def limit_menu(c: Column, default: int = 5) -> Column:
+    """Digits above 0, else the default."""
+    v = strip(c)
+    n = v.try_cast("int")
+    return F.when(v.rlike(r"^[0-9]+$") & (n > 0), n).otherwise(F.lit(default))
+
+
 def page_cap(limit: Column) -> Column:
     return F.greatest(F.lit(10), F.floor((limit + 39) / 40).cast("int") + 5)
 
@@ -136,6 +164,11 @@ def batches(n: Column, size: int) -> Column:
     return F.ceil(n / size)
 
 
+def document_timeout(n: Column, size: int = 8, page_timeout: int = 120) -> Column:
+    """Seconds for a whole document: a page's time for each batch, for one batch at least."""
+    return F.greatest(F.lit(1).cast("long"), batches(n, size)) * page_timeout
+
+
 def milliseconds(seconds: Column) -> Column:
     return (seconds * 1000).cast("long")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators.hits import not_held
-
 
 def repeats(items: DataFrame, target: str, ok: str, order: str) -> DataFrame:
     """With ``status``: skipped where an earlier item made the same target, else success or failed."""
@@ -34,10 +35,12 @@ def counters(outcomes: DataFrame, by: str, order: str = "ord") -> DataFrame:
     )
 
 
-def overall(stats: DataFrame) -> DataFrame:
-    """One row over all keywords."""
-    zero = F.lit(0).cast("long")
-    return stats.agg(F.count("*").alias("total_keywords"), F.coalesce(F.sum("success"), zero).alias("total_downloaded"), F.coalesce(F.sum("skipped"), zero).alias("total_skipped"), F.coalesce(F.sum("failed"), zero).alias("total_failed"))
+def overall(stats: DataFrame, order: str = "ord", stopped: str = "stopped") -> DataFrame:
+    """One row over all keywords, in their order: the keyword at which the run was stopped still counts as processed, those behind it do not."""
+    first = stats.agg(F.min(F.when(F.col(stopped), F.col(order)))).first()[0]
+    done = F.lit(True) if first is None else F.col(order) <= F.lit(first)
+    total = {f"total_{name}": F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("long") for name, c in (("downloaded", "success"), ("skipped", "skipped"), ("failed", "failed"))}
+    return stats.agg(F.count("*").alias("total_keywords"), F.count_if(done).alias("processed_keywords"), *(c.alias(k) for k, c in total.items()), F.lit(first is not None).alias("stopped"))
 
 
 def before_stop(rows: DataFrame, by: str, order: str, stop: str) -> DataFrame:
@@ -46,19 +49,32 @@ def before_stop(rows: DataFrame, by: str, order: str, stop: str) -> DataFrame:
     return rows.withColumn("seen_", seen).where("seen_ = 0").drop("seen_")
 
 
-def fold(keywords: list[str], held: DataFrame, step: Callable[[str, DataFrame], DataFrame], every: int = 5) -> DataFrame:
+def fold(keywords: list[str], held: DataFrame, step: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
     """Keywords one after another over a shared folder: what one takes is held for the next.
 
-    ``step(keyword, held)`` gives rows with an id. The result depends on the order of the keywords, by design. The
-    lineage of the held ids is cut every few steps with a checkpoint in the shared folder.
+    ``step(keyword, held)`` gives rows with an id. The result depends on the order of the keywords, by design: what a keyword
+    may take, and where its pages end, depends on all before it. Each step's rows are written to the checkpoint folder
+    once, so held ids are files, and a step's plan grows by one scan for each keyword before it.
     """
-    out = None
-    for i, k in enumerate(keywords, 1):
-        got = step(k, held)
-        if i % every == 0:
-            got = got.checkpoint()
-        out = got if out is None else out.unionByName(got)
-        held = held.select("id").union(not_held(got, held).select("id").distinct())
-    if out is None:
+    if not keywords:
         raise ValueError("no keywords")
+    out, held = None, held.select("id")
+    for k in keywords:
+        got = checkpointed(step(k, held))
+        out = got if out is None else out.unionByName(got)
+        held = held.unionByName(got.select("id"))
     return out
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the folder that spark.checkpoint.dir names; a local session without one gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if named is None:
+            named = tempfile.mkdtemp(prefix="tidemill-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return df.checkpoint()

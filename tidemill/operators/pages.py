@@ -57,6 +57,12 @@ def without_pages(documents: DataFrame, pages: DataFrame, by: list[str]) -> Data
     return documents.join(pages.select(*by), by, "left_anti").withColumn("reason", F.lit("no pages"))
 
 
+def without_exports(documents: DataFrame, pages: DataFrame, by: list[str], exported: str = "exported") -> DataFrame:
+    """Documents none of whose pages was exported, which is an error of the document too."""
+    done = pages.where(F.col(exported)).select(*by)
+    return documents.join(done, by, "left_anti").withColumn("reason", F.lit("no valid document pages"))
+
+
 def pending(images: Column) -> Column:
     """Whether any of a page's images is not done."""
     return F.coalesce(F.exists(images, lambda done: ~done), F.lit(False))

@@ -40,11 +40,6 @@ def routed(messages: DataFrame, registry: DataFrame, key: str, default: str) ->
     return messages.join(registry.select(key, "sink"), key, "left").withColumn("sink", F.coalesce("sink", F.lit(default)))
 
 
-def first_match(tasks: DataFrame, name: Column, order: str) -> DataFrame:
-    """The first task for which the condition holds; no row if none."""
-    return tasks.where(name).orderBy(order).limit(1)
-
-
 def colour(status: Column, default: str = "gray") -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in COLOURS.items() for x in kv)), status), F.lit(default))
 

@@ -20,7 +20,7 @@ from tidemill.sources.sinks import result_lines
 
 PATTERN = r"^https?://[^/?#]+/(en|fr|de|es)/(\d+)"
 PREFIX = "https://www.example.org/document"
-LIMIT, CAP = 15, 10
+LIMIT, CAP = 5, 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -48,6 +48,13 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     return got.select("page_id", F.regexp_extract("href", PATTERN, 1).alias("keyword"), "id", "url")
 
 
+def _paged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(keyword, g, page) and the hits as (keyword, page, pos, id): two stored pages make one page of a search."""
+    got = _hits(spark, d).withColumn("g", F.expr("page_id div 2"))
+    pages = got.select("keyword", "g").distinct().withColumn("page", F.row_number().over(Window.partitionBy("keyword").orderBy("g")))
+    return pages, got.join(pages, ["keyword", "g"]).select("keyword", "page", F.col("page_id").alias("pos"), "id")
+
+
 def _held(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"))
 
@@ -57,10 +64,75 @@ def link_extract(spark, d):
     return _hits(spark, d)
 
 
-@query(r"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM
-(SELECT page_id, regexp_extract_all(html, '<a\b[^>]*?href="([^"]*)"[^>]*>', 1) AS h FROM pages))""")
+# Pages of the table with some anchors written in other ways: single quotes and a title, or a prefixed attribute, no text.
+_SHAPES = (r'<a href="(/[^"]*)">([^<]*)</a>', r"""<a class='x' title="About \1" HREF='\1'> </a>""", r"""<a data-href="/zz" href="\1"><b></b></a><a name="q">no link</a>""")
+_HTML = "CASE page_id % 3 WHEN 1 THEN regexp_replace(html, '{0}', '{1}', 'g') WHEN 2 THEN regexp_replace(html, '{0}', '{2}', 'g') ELSE html END".format(*(x.replace("'", "''") for x in _SHAPES))
+_VALUE = r"""(?i)(?:^|[\s"''])%s\s*=\s*(?:"([^"]*)"|''([^'']*)'')"""
+
+
+def _unescaped(sql: str) -> str:
+    for entity, character in R.ENTITIES:
+        sql = f"replace({sql}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
+    return sql
+
+
+def _attribute(name: str) -> str:
+    v = _VALUE % name
+    return f"CASE WHEN regexp_matches(tag, '{v}') THEN {_unescaped(f"regexp_extract(tag, '{v}', 1) || regexp_extract(tag, '{v}', 2)")} END"
+
+
+_INNER = "string_split(substr(part, len(tag) + 1), '</a>')[1]"
+_TEXT = _unescaped(f"regexp_replace({_INNER}, '<[^>]*>', '', 'g')")
+_ANCHORS = rf"""pieces AS (SELECT page_id, url AS page_url, string_split_regex({_HTML}, '<[aA]\s')[2:] AS h FROM pages),
+parts AS (SELECT page_id, page_url, CAST(unnest(range(0, len(h))) AS INTEGER) AS pos, unnest(h) AS part FROM pieces),
+tags AS (SELECT *, regexp_extract(part, '{R.TAG_END.replace("'", "''")}', 0) AS tag FROM parts),
+anchors AS (SELECT page_id, page_url, pos, {_attribute("href")} AS href, trim({_TEXT}) AS text, {_attribute("title")} AS title FROM tags),
+found AS (SELECT * FROM anchors WHERE href IS NOT NULL)"""
+
+
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    html, i = F.col("html"), F.col("page_id")
+    other = [F.regexp_replace(html, _SHAPES[0], x.replace(r"\1", "$1")) for x in _SHAPES[1:]]
+    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("page_url"), F.when(i % 3 == 1, other[0]).when(i % 3 == 2, other[1]).otherwise(html).alias("html"))
+    return R.anchors(pages, "html", "page_id", "page_url")
+
+
+@query(f"WITH {_ANCHORS} SELECT page_id, pos, href, text, title FROM found")
 def anchor_scan(spark, d):
-    return R.anchors(table(spark, d, "pages"), "html", "page_id")
+    return _anchors(spark, d).drop("page_url")
+
+
+# Links of the pages' anchors: two characters stand for the id, the rest for the slug.
+SHORT = r"^/([^/?#]{2})([^/?#]+)?"
+_SHORT = f"""short AS (SELECT page_id, pos, regexp_extract(page_url, '{PATTERN}', 1) AS keyword, page_id AS page, regexp_extract(href, '{SHORT}', 1) AS id, regexp_extract(href, '{SHORT}', 2) AS slug, text, title
+FROM found WHERE regexp_matches(href, '{SHORT}') AND regexp_matches(page_url, '{PATTERN}'))"""
+
+
+def _short(spark: SparkSession, d: str) -> DataFrame:
+    links = H.extracted(_anchors(spark, d).where(F.col("page_url").rlike(PATTERN)), SHORT, PREFIX)
+    return links.select("page_id", "pos", F.regexp_extract("page_url", PATTERN, 1).alias("keyword"), F.col("page_id").alias("page"), "id", "slug", "url", T.title(F.col("text"), F.col("title"), F.col("slug"), F.col("id")).alias("title"))
+
+
+_TITLE = "coalesce(nullif(text, ''), nullif(title, ''), nullif(replace(slug, '-', ' '), ''), 'Document ' || id)"
+
+
+@query(f"WITH {_ANCHORS}, {_SHORT} SELECT page_id, pos, keyword, id, '{PREFIX}/' || id || CASE WHEN slug = '' THEN '' ELSE '/' || slug END AS url, {_TITLE} AS title FROM short")
+def page_hits(spark, d):
+    return _short(spark, d).select("page_id", "pos", "keyword", "id", "url", "title")
+
+
+@query(f"""WITH {_ANCHORS}, {_SHORT}, fresh AS (SELECT * FROM short WHERE id NOT IN (SELECT lower(substr(n_name, 1, 2)) FROM nation) QUALIFY row_number() OVER (PARTITION BY keyword, id ORDER BY page, pos) = 1),
+ranked AS (SELECT keyword, page, pos, id, {_TITLE} AS title, CAST(row_number() OVER (PARTITION BY keyword ORDER BY page, pos) AS INTEGER) AS n FROM fresh)
+SELECT lim, keyword, page, pos, id, title, n FROM ranked JOIN (VALUES (-1), (0), (3), (20)) v(lim) ON n <= lim""")
+def limits(spark, d):
+    short, held = _short(spark, d), table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 2)).alias("id"))
+    # One page, so that only the limit ends the search.
+    one = short.select("keyword").distinct().withColumn("page", F.lit(1))
+    found = [H.search(one, short.withColumn("pos", F.struct("page", "pos")).withColumn("page", F.lit(1)), held, n, CAP).withColumn("lim", F.lit(n)) for n in (-1, 0, 3, 20)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("lim", "keyword", "pos.page", "pos.pos", "id", "title", "n")
 
 
 @query(f"WITH {_LINKS} SELECT keyword, id, min(page_id) AS page_id FROM links GROUP BY ALL")
@@ -87,9 +159,7 @@ s AS (SELECT keyword, min(CASE WHEN NOT EXISTS (SELECT 1 FROM f WHERE f.keyword
 k AS (SELECT f.keyword, page, pos, id, CAST(row_number() OVER (PARTITION BY f.keyword ORDER BY page, pos) AS INTEGER) AS n FROM f JOIN s ON f.keyword = s.keyword WHERE stop IS NULL OR page < stop)
 SELECT keyword, page, pos, id, n FROM k WHERE n <= {LIMIT}""")
 def page_stop_limit(spark, d):
-    got = _hits(spark, d).withColumn("g", F.expr("page_id div 2"))
-    pages = got.select("keyword", "g").distinct().withColumn("page", F.row_number().over(Window.partitionBy("keyword").orderBy("g")))
-    links = got.join(pages, ["keyword", "g"]).select("keyword", "page", F.col("page_id").alias("pos"), "id")
+    pages, links = _paged(spark, d)
     return H.search(pages.select("keyword", "page"), links, _held(spark, d), LIMIT, CAP)
 
 
@@ -137,13 +207,13 @@ def content_link(spark, d):
 
 
 def _outcomes(spark, d):
-    e = table(spark, d, "events").where("event_type IN ('purchase', 'view', 'error')")
-    return e.select("user_id", F.col("event_id").alias("ord"), F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "skipped").otherwise("failed").alias("status"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), F.col("event_type").alias("reason"))
+    kind = F.col("event_type")
+    return table(spark, d, "events").select("user_id", F.col("event_id").alias("ord"), F.when(kind.isin("purchase", "signup"), "success").when(kind.isin("view", "click"), "skipped").otherwise("failed").alias("status"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), F.col("event_type").alias("reason"))
 
 
-_COUNTS = """c AS (SELECT user_id, count(*) AS total, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS success, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS skipped,
+_COUNTS = """c AS (SELECT user_id, count(*) AS total, CAST(count(*) FILTER (event_type IN ('purchase', 'signup')) AS BIGINT) AS success, CAST(count(*) FILTER (event_type IN ('view', 'click')) AS BIGINT) AS skipped,
 CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS failed, coalesce(string_agg('u' || event_id || ':' || event_type, ',' ORDER BY event_id) FILTER (event_type = 'error'), '') AS failed_urls
-FROM events WHERE event_type IN ('purchase', 'view', 'error') GROUP BY 1)"""
+FROM events GROUP BY 1)"""
 
 
 @query(f"WITH {_COUNTS} SELECT * FROM c")
@@ -152,9 +222,12 @@ def outcomes(spark, d):
     return c.withColumn("failed_urls", F.array_join(F.transform("failed_urls", lambda f: F.concat(f["url"], F.lit(":"), f["reason"])), ","))
 
 
-@query(f"WITH {_COUNTS} SELECT count(*) AS total_keywords, CAST(sum(success) AS BIGINT) AS total_downloaded, CAST(sum(skipped) AS BIGINT) AS total_skipped, CAST(sum(failed) AS BIGINT) AS total_failed FROM c")
+@query(f"""WITH {_COUNTS}, k AS (SELECT *, coalesce(user_id <= (SELECT min(user_id) FROM c WHERE failed > success + 4), true) AS done FROM c)
+SELECT count(*) AS total_keywords, CAST(count(*) FILTER (done) AS BIGINT) AS processed_keywords, CAST(coalesce(sum(success) FILTER (done), 0) AS BIGINT) AS total_downloaded, CAST(coalesce(sum(skipped) FILTER (done), 0) AS BIGINT) AS total_skipped,
+CAST(coalesce(sum(failed) FILTER (done), 0) AS BIGINT) AS total_failed, EXISTS (SELECT 1 FROM c WHERE failed > success + 4) AS stopped FROM k""")
 def overall(spark, d):
-    return O.overall(O.counters(_outcomes(spark, d), "user_id"))
+    stats = O.counters(_outcomes(spark, d), "user_id").withColumn("stopped", F.col("failed") > F.col("success") + 4)
+    return O.overall(stats, "user_id")
 
 
 @query(f"""WITH {_LINKS}, i AS (SELECT page_id, id, page_id % 2 = 0 AS ok FROM links)
@@ -287,13 +360,13 @@ def chunk_join(spark, d):
 CASE WHEN p_partkey % 3 = 0 THEN 1.0::DOUBLE ELSE greatest(0.5, p_size / 20.0::DOUBLE) END AS typed_low, CASE WHEN p_partkey % 3 = 0 THEN 5.0::DOUBLE ELSE greatest(greatest(0.5, p_size / 20.0::DOUBLE), 1.0) END AS typed_high,
 CASE WHEN p_partkey % 2 = 0 THEN greatest(1, p_size - 20) ELSE 10 END AS lim, greatest(10, (p_size * 30 + 39) // 40 + 5) AS cap, greatest(1.0, round(p_retailprice / 96.0::DOUBLE, 3)) AS paper,
 CAST(ceil(p_size / 8.0::DOUBLE) AS BIGINT) AS batches, CAST(trunc(p_retailprice * 1000) AS BIGINT) AS ms, CASE WHEN p_size % 5 = 0 THEN 0.0::DOUBLE ELSE CAST(p_size AS DOUBLE) / (p_size % 5) END AS fraction,
-p_partkey % 4 <> 1 AS flag FROM part""")
+p_partkey % 4 <> 1 AS flag, CASE WHEN p_partkey % 3 = 0 OR p_size <= 20 THEN 5 ELSE p_size - 20 END AS menu, CAST(greatest(1, ceil((p_size - 10) / 8.0::DOUBLE)) * 120 AS BIGINT) AS patience FROM part""")
 def scalar_rules(spark, d):
     p, n = table(spark, d, "part"), F.col("p_size")
     low, high = T.delay_range(n, F.lit(25))
     t_low, t_high = T.delay_range_typed(F.when(F.col("p_partkey") % 3 == 0, "x").otherwise((n / 20).cast("string")), F.lit("1.0"))
     typed = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), (n - 20).cast("string"))).otherwise("many")
-    return p.select("p_partkey", low.alias("low"), high.alias("high"), t_low.alias("typed_low"), t_high.alias("typed_high"), T.limit_typed(typed).alias("lim"), T.page_cap(n * 30).alias("cap"), T.paper_inches(F.col("p_retailprice"), 7.25).alias("paper"), T.batches(n, 8).alias("batches"), T.milliseconds(F.col("p_retailprice")).alias("ms"), T.progress(n, n % 5).alias("fraction"), T.truthy(F.when(F.col("p_partkey") % 4 == 1, " No ").otherwise("yes")).alias("flag"))
+    return p.select("p_partkey", low.alias("low"), high.alias("high"), t_low.alias("typed_low"), t_high.alias("typed_high"), T.limit_typed(typed).alias("lim"), T.page_cap(n * 30).alias("cap"), T.paper_inches(F.col("p_retailprice"), 7.25).alias("paper"), T.batches(n, 8).alias("batches"), T.milliseconds(F.col("p_retailprice")).alias("ms"), T.progress(n, n % 5).alias("fraction"), T.truthy(F.when(F.col("p_partkey") % 4 == 1, " No ").otherwise("yes")).alias("flag"), T.limit_menu(F.when(F.col("p_partkey") % 3 == 0, F.concat(n.cast("string"), F.lit("x"))).otherwise(F.concat(F.lit(" "), (n - 20).cast("string")))).alias("menu"), T.document_timeout(n - 10).alias("patience"))
 
 
 @query("""WITH k AS (SELECT p_partkey, trim(substr(trim(p_name), 1, 24)) AS s FROM part)
@@ -322,7 +395,7 @@ def page_progress(spark, d):
 
 
 @query("""SELECT user_id, format('Mengunduh {}/{} (Sukses: {})', s + f, s + f + k, s) AS line, format('UNDUH ({}/{})', s + f, s + f + k) AS badge, CASE WHEN f > s THEN 'Dihentikan oleh pengguna.' ELSE format('Selesai! {} PDF tersimpan', s) END AS closing
-FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS s, count(*) FILTER (event_type = 'error') AS f, count(*) FILTER (event_type = 'view') AS k FROM events WHERE event_type IN ('purchase', 'view', 'error') GROUP BY 1)""")
+FROM (SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'signup')) AS s, count(*) FILTER (event_type = 'error') AS f, count(*) FILTER (event_type IN ('view', 'click')) AS k FROM events GROUP BY 1)""")
 def status_lines(spark, d):
     c = O.counters(_outcomes(spark, d), "user_id")
     done = F.col("success") + F.col("failed")
@@ -357,6 +430,63 @@ def failed_pages_text(spark, d):
     return failed.select("l_orderkey", T.joined(F.col("f")).alias("failed"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_slice(regexp_extract_all(html, '<a\b[^>]*?href="([^"]*)"[^>]*>', 1), 1, 12), ' ') AS links FROM pages""")
+@query(f"WITH {_ANCHORS} SELECT page_id, array_to_string(list_slice(list(href ORDER BY pos), 1, 3), ' ') AS links FROM found GROUP BY 1")
 def head_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.array_join(T.head(F.regexp_extract_all("html", F.lit(R.HREF), F.lit(1))), " ").alias("links"))
+    hrefs = _anchors(spark, d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "href"))).alias("h"))
+    return hrefs.select("page_id", F.array_join(T.head(F.col("h.href"), 3), " ").alias("links"))
+
+
+_TURNS = ("en", "de", "fr", "es")
+
+
+def _turns() -> str:
+    """Keywords in turn: what one takes is held for all after it."""
+    out = [_LINKS, "pl AS (SELECT DISTINCT keyword, page_id // 2 AS g FROM links)", "pn AS (SELECT keyword, g, CAST(row_number() OVER (PARTITION BY keyword ORDER BY g) AS INTEGER) AS page FROM pl)"]
+    out.append(f"h AS (SELECT l.keyword, page, page_id AS pos, id FROM links l JOIN pn ON l.keyword = pn.keyword AND l.page_id // 2 = pn.g WHERE page <= {CAP})")
+    held = "SELECT CAST(item_id AS VARCHAR) FROM benchmark"
+    for i, k in enumerate(_TURNS):
+        out.append(f"f{i} AS (SELECT * FROM h WHERE keyword = '{k}' AND id NOT IN ({held}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY page, pos) = 1)")
+        out.append(f"s{i} AS (SELECT min(page) AS stop FROM pn WHERE keyword = '{k}' AND page <= {CAP} AND page NOT IN (SELECT page FROM f{i}))")
+        out.append(f"t{i} AS (SELECT * FROM (SELECT f.*, CAST(row_number() OVER (ORDER BY page, pos) AS INTEGER) AS n FROM f{i} f, s{i} WHERE stop IS NULL OR page < stop) WHERE n <= {LIMIT})")
+        held += f" UNION ALL SELECT id FROM t{i}"
+    return "WITH " + ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT keyword, page, pos, id, n FROM t{i}" for i in range(len(_TURNS)))
+
+
+@query(_turns())
+def keyword_turns(spark, d):
+    pages, links = _paged(spark, d)
+
+    def step(k, held):
+        return H.search(pages.where(F.col("keyword") == k).select("keyword", "page"), links.where(F.col("keyword") == k), held, LIMIT, CAP)
+
+    return O.fold(list(_TURNS), _held(spark, d), step)
+
+
+@query("SELECT doc_id, 'no valid document pages' AS reason FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def without_exports(spark, d):
+    pages = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("exported"))
+    return P.without_exports(table(spark, d, "documents").select("doc_id"), pages, ["doc_id"])
+
+
+@query(r"""SELECT page_id, CASE WHEN starts_with(f, '~/') THEN '/home/me' || substr(f, 2) ELSE f END || '/' || url AS path, CASE WHEN page_id % 2 = 0 THEN '/' || url ELSE '/tmp/' || url END AS absolute
+FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS url, CASE page_id % 2 WHEN 0 THEN '~/' || regexp_extract(url, '//([^/]*)', 1) ELSE '/d~x' END AS f FROM pages)""")
+def page_paths(spark, d):
+    name, i = F.regexp_replace("url", "^https?://", ""), F.col("page_id")
+    folder = F.when(i % 2 == 0, F.concat(F.lit("~/"), F.regexp_extract("url", "//([^/]*)", 1))).otherwise("/d~x")
+    absolute = F.when(i % 2 == 0, F.concat(F.lit("/"), name)).otherwise(name)
+    return table(spark, d, "pages").select("page_id", T.join_path(T.expand_home(folder, "/home/me"), name).alias("path"), T.join_path(F.lit("/tmp/"), absolute).alias("absolute"))
+
+
+@query("SELECT user_id, event_id, coalesce(event_type = lag(event_type) OVER w AND value = lag(value) OVER w, false) AS same FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def state_changes(spark, d):
+    now, w = F.struct("event_type", "value"), Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, d, "events").withColumn("now", now)
+    return e.withColumn("before", F.lag("now").over(w)).select("user_id", "event_id", T.same_state(F.col("now"), F.col("before")).alias("same"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 AND p_retailprice > 1000 THEN 'a' WHEN p_size > 10 THEN 'b' WHEN p_retailprice > 1200 THEN 'c' END AS selector FROM part")
+def usable_selector(spark, d):
+    n, price = F.col("p_size"), F.col("p_retailprice")
+    size = lambda name, w, h: F.struct(F.lit(name).alias("name"), w.cast("double").alias("width"), h.cast("double").alias("height"))
+    elements = F.array(size("a", n - 25, price - 1000), size("b", n - 10, F.lit(1)), size("c", F.lit(1), price - 1200))
+    return table(spark, d, "part").select("p_partkey", T.first_usable(elements, "name").alias("selector"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import id_from_name, none_if_empty, strip
 
-HREF = r'<a\b[^>]*?href="([^"]*)"[^>]*>'
+#: Files of a folder that the driver lists.
+MAX_NAMES = 1_000_000
+#: Where an anchor begins; its attributes and its text, up to the next anchor's beginning, come behind it.
+ANCHOR = r"<[aA]\s"
+TAG_END = r"""^[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
+# The entities that link texts and links commonly hold.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 
 def urls_from_lines(lines: DataFrame, line: str = "line", ordinal: str = "line_no") -> DataFrame:
@@ -45,23 +51,43 @@ def held_ids(names: DataFrame, name: str = "name") -> DataFrame:
 def held_names(spark: SparkSession, folder: str) -> DataFrame:
     """(name, size) of the files of a folder, empty files too; no rows where it is missing.
 
-    The listing is one directory's metadata, read by the driver as Spark's own file index does.
+    The listing is one directory's metadata, read by the driver as Spark's own file index does; at most ``MAX_NAMES`` files.
     """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(path) if s.isFile()] if fs.exists(path) else []
+    listed = fs.listStatus(path) if fs.exists(path) else []
+    if len(listed) > MAX_NAMES:
+        raise ValueError(f"{folder} has {len(listed)} entries, at most {MAX_NAMES} are listed on the driver")
+    found = [(s.getPath().getName(), s.getLen()) for s in listed if s.isFile()]
     return spark.createDataFrame(found, "name string, size long")
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The quoted value of an attribute of a start tag; null where there is none. A prefixed name is another attribute."""
+    value = rf"""(?i)(?:^|[\s"'])%s\s*=\s*(?:"([^"]*)"|'([^']*)')""" % name
+    there = F.regexp_instr(tag, F.lit(value)) > 0
+    return F.when(there, unescaped(F.concat(F.regexp_extract(tag, value, 1), F.regexp_extract(tag, value, 2))))
+
+
+def unescaped(c: Column) -> Column:
+    for entity, character in ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(character))
+    return c
+
+
 def anchors(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame:
-    """(keys, pos, href) of every anchor, in document order."""
-    return pages.select(*keys, F.posexplode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("pos", "href"))
+    """(keys, pos, href, text, title) of every anchor with a link, in document order; pos counts all anchors.
+
+    Text is that of the anchor without tags, up to its end or the next anchor. Each part of a page is read once, so time is
+    linear in the page however its tags are broken.
+    """
+    parts = pages.select(*keys, F.posexplode(F.slice(F.split(html, ANCHOR), 2, 1 << 30)).alias("pos", "part_"))
+    tag = F.regexp_extract("part_", TAG_END, 0)
+    inner = F.substring_index(F.substring("part_", F.length(tag) + 1, 1 << 30), "</a>", 1)
+    text = unescaped(F.regexp_replace(inner, "<[^>]*>", ""))
+    return parts.select(*keys, "pos", attribute(tag, "href").alias("href"), strip(text).alias("text"), attribute(tag, "title").alias("title")).where("href IS NOT NULL")
 
 
 def joined_chunks(chunks: DataFrame, key: str, seq: str = "seq", data: str = "data") -> DataFrame:
     """The texts of ordered chunks put together."""
     return chunks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, data))), lambda c: c[data]), "").alias("content"))
-
-
-def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "ord") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
