@@ -1,5 +1,7 @@
 import hashlib
 import re
+import sys
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -119,6 +121,29 @@ def test_resync_widens_and_joins():
             assert [i for run in tokens.resync(text, encode, chunk, overlap) for i in run] == want
 
 
+def test_word_table_is_bounded_by_bytes():
+    rng = np.random.default_rng(2)
+    e = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER), max_bytes=1 << 20)
+    runs = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 3000))) for _ in range(40)]  # words without blanks
+    words = [" ".join("".join(rng.choice(list("abcdefgh"), 9)) for _ in range(20_000))]
+    e.counts(pa.array(runs + words))
+    assert all(len(w) <= tokens.LONGEST for w in e.known) and e.bytes <= 1 << 20
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in e.known.items()) <= 1 << 20
+
+
+def test_long_texts_without_blanks(spark):
+    text = "\u4e2d\u6587" * 20_000 + "x" * 100_000
+    got = tokens.count(spark.createDataFrame([(1, text), (2, "a" * 1_000_000)], "doc_id long, text string")).orderBy("doc_id").collect()
+    t = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    assert got[0].n_tokens == len(t.encode(text, add_special_tokens=False).ids) and got[0].resynchronised
+    assert got[1].n_bytes == 1_000_000 and got[1].resynchronised and got[1].over_limit
+
+
+def test_resynchronisation_serves_rows_of_the_corpus(spark):
+    d = tokens.count(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert d.where("resynchronised").count() > 0
+
+
 # quality
 
 
@@ -247,3 +272,26 @@ def test_language_accuracy_and_edges(spark, docs, no_docs):
     nothing = langid.train(no_docs)
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
     assert {r.doc_id for r in langid.identified(docs, model).collect()}.isdisjoint({1, 2, 3, 8})
+
+
+def test_many_languages_stay_within_bounds(spark):
+    rng = np.random.default_rng(3)
+    langs = [f"l{i:03}" for i in range(200)]
+    stems = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)] for x in langs}
+    rows = [(i, " ".join(rng.choice(stems[langs[i % 200]], 30)), langs[i % 200]) for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d.where("doc_id < 800"))
+    assert len(model.langs) == 200
+    tracemalloc.start()
+    labels, _ = langid._judge(pa.array([r[1] for r in rows[800:]] * 20), model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * langid.TABLE_BYTES
+    assert np.mean([x == r[2] for x, r in zip(labels, rows[800:], strict=False)]) > 0.9
+    with pytest.raises(ValueError, match="more than 100"):
+        langid.train(d, max_langs=100)
+
+
+def test_null_ids_are_held_out(spark):
+    d = langid.fold(spark.createDataFrame([(None, "a"), (1, "a")], "doc_id long, text string")).collect()
+    assert d[0].held_out is True and d[1].held_out is not None

@@ -11,7 +11,8 @@ Words are the runs between ASCII white space without ASCII digits and punctuatio
 without a letter do not count, and words of over ``PART`` characters are segmented in parts of that length, so whole
 texts of any length count. A text that is null or has no letter is ``und`` with score 0. Ties go to the language first
 in code point order. Rows with null lang or text do not train; without any training row every text is ``und``. Every row
-gives one row. Languages are collected to the driver (at most ``MAX_LANGS``), with the vocabulary's size for each.
+gives one row. Languages are collected to the driver (at most ``MAX_LANGS``), with the vocabulary's size for each. Tables
+that have a column for each language are cut by bytes, so that more languages make them shorter and not larger.
 """
 
 from __future__ import annotations
@@ -31,16 +32,22 @@ from tidemill.llm import words as W
 from tidemill.llm.common import kept, release, ship, table, texts
 
 VOCABULARY = "piece_bpe_32k.model"
-PART, MAX_LANGS, UND = 32, 1000, "und"
+PART, MAX_LANGS, UND = 32, 300, "und"
 #: Weight of the vocabulary's own ranks in a language's probabilities, and the probability of a character without a piece.
 SMOOTHING, UNKNOWN = 0.05, 1e-9
-#: Distinct words that are counted before they go through lattices, words of one lattice, and words whose scores are kept.
-FLUSH, LATTICE, KNOWN = 200_000, 25_000, 400_000
+#: Distinct words that are counted before they go through lattices, words of one lattice, and words whose scores are kept;
+#: fewer where a table of them with a column for each language would have more bytes than TABLE_BYTES.
+FLUSH, LATTICE, KNOWN, TABLE_BYTES = 200_000, 25_000, 400_000, 32 << 20
 _STRIP = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MARK = ord("▁")  # begins a word in the vocabulary
 
 
+def fitting(most: int, cells: int) -> int:
+    """Words of a table with so many 64-bit cells for each, at most ``most``."""
+    return max(1, min(most, TABLE_BYTES // (8 * max(1, cells))))
+
+
 class Pieces:
     """The vocabulary as a hash table over code points."""
 
@@ -175,8 +182,12 @@ class Lattice:
                 q = p[at[hit]] * beta[j][hit]
                 beta[j - k][hit] += q
                 g = alpha[j - k][hit] * q / total[hit]
-                for c in range(w.shape[1]):
-                    out[:, c] += np.bincount(at[hit], g * w[hit, c], len(p))
+                if w.shape[1] <= 16:
+                    for c in range(w.shape[1]):
+                        out[:, c] += np.bincount(at[hit], g * w[hit, c], len(p))
+                else:  # few of many languages have a word
+                    r, c = np.nonzero(w[hit])
+                    np.add.at(out, (at[hit][r], c), g[r] * w[hit[r], c])
                 if k == 1:
                     miss = np.flatnonzero(at < 0)
                     beta[j - 1][miss] += UNKNOWN * beta[j][miss]
@@ -212,21 +223,30 @@ class Model:
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
-    """log probability of each word in each language. Scores are kept over the tasks of a worker, at most KNOWN at once."""
-    number, table_ = kept(f"scores {model.name}", lambda: ({}, np.zeros((KNOWN, len(model.langs)))))
-    if len(number) + len(words) > KNOWN:
+    """log probability of each word in each language, for at most as many words as are kept over the tasks of a worker."""
+    k = len(model.langs)
+    most, lattice = fitting(KNOWN, k), fitting(LATTICE, k * (PART + 2))
+    number, table_ = kept(f"scores {model.name}", lambda: ({}, np.zeros((most, k))))
+    if len(number) + len(words) > most:
         number.clear()
-    if len(words) > KNOWN:  # one huge text: its scores are not kept
-        number, table_ = {}, np.zeros((len(words), len(model.langs)))
     new = [w for w in words if w not in number]
-    for i in range(0, len(new), LATTICE):
-        part = new[i : i + LATTICE]
+    for i in range(0, len(new), lattice):
+        part = new[i : i + lattice]
         table_[len(number) : len(number) + len(part)] = Lattice(part, pieces_of(model.vocabulary)).score(model.p, len(part))
         for w in part:
             number[w] = len(number)
     return table_[[number[w] for w in words]]
 
 
+def _tally(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values below n, sorted, and their numbers."""
+    if n * 8 > TABLE_BYTES:
+        return np.unique(values, return_counts=True)
+    times = np.bincount(values, minlength=n)
+    some = np.flatnonzero(times)
+    return some, times[some]
+
+
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_langs: int = MAX_LANGS) -> Model:
     """A model from all rows of ``docs`` with text and lang."""
     spark = docs.sparkSession
@@ -242,24 +262,28 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_langs: int = MAX_LA
         pieces, k = pieces_of(vocabulary), len(langs)
         total = np.zeros((pieces.size, k))
         number: dict[str, int] = {}
-        weight = np.zeros((FLUSH, k))
+        most = fitting(FLUSH, k)
+        weight = np.zeros((most, k))
 
         def flush() -> None:
             todo = list(number)
-            for i in range(0, len(todo), LATTICE):
-                total[:] += Lattice(todo[i : i + LATTICE], pieces).expected(pieces.prior, weight[i : i + LATTICE][: len(todo) - i])
+            lattice = fitting(LATTICE, k)
+            for i in range(0, len(todo), lattice):
+                total[:] += Lattice(todo[i : i + lattice], pieces).expected(pieces.prior, weight[i : i + lattice][: len(todo) - i])
             number.clear()
             weight[:] = 0
 
         for b in batches:
             lang = np.array([place[x] for x in b.column(1).to_pylist()], np.int64)
             for lo, hi, row, index, words in distinct(b.column(0)):
-                times = np.bincount(index * k + lang[lo:hi][row], minlength=len(words) * k).reshape(-1, k)
-                for i in range(0, len(words), FLUSH):
-                    part = words[i : i + FLUSH]
-                    if len(number) + len(part) > FLUSH:
+                pair, times = _tally(index * k + lang[lo:hi][row], len(words) * k)
+                for i in range(0, len(words), most):
+                    part = words[i : i + most]
+                    if len(number) + len(part) > most:
                         flush()
-                    weight[[number.setdefault(w, len(number)) for w in part]] += times[i : i + FLUSH]
+                    at = np.array([number.setdefault(w, len(number)) for w in part], np.int64)
+                    here = slice(*np.searchsorted(pair, [i * k, (i + most) * k]))
+                    weight[at[pair[here] // k - i], pair[here] % k] += times[here]
         flush()
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
@@ -278,10 +302,12 @@ def _judge(text: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     labels, scores = [], []
     for lo, hi, row, index, words in distinct(text):
         n, k = hi - lo, len(model.langs)
-        total = np.zeros((n, k))
-        per = word_scores(words, model)[index]
-        for c in range(k):
-            total[:, c] = np.bincount(row, per[:, c], n)
+        total, step = np.zeros((n, k)), fitting(KNOWN, k)
+        for i in range(0, len(words), step):
+            here = slice(None) if len(words) <= step else (index >= i) & (index < i + step)
+            own, at, per = row[here], index[here] - i, word_scores(words[i : i + step], model)
+            for c in range(k):
+                total[:, c] += np.bincount(own, per[at, c], n)
         some = np.bincount(row, minlength=n) > 0
         if not k:
             labels += [UND] * n

@@ -33,7 +33,7 @@ from tidemill.llm.common import kept, ship, table, texts
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of the word table, by estimate, and characters of the longest word in it.
-MAX_BYTES, LONGEST = 192 << 20, 64
+MAX_BYTES, LONGEST = 128 << 20, 64
 #: Bytes of text whose words are looked up at once.
 STEP = 8 << 20
 #: Characters: texts above HUGE take overlap resynchronisation with these chunks and first overlaps.
@@ -177,7 +177,8 @@ def resync(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = OVERL
     n, done, end = len(text), 0, min(len(text), chunk)
     base, held, first = 0, encode(text[:end]), 0  # the tokens of text[done:end] are those of ``held`` from ``first`` on
     while end < n:
-        stop, wide = min(n, end + chunk), overlap
+        # Where no splice was found the next chunk is as long as all that is held, so that the work stays in proportion.
+        stop, wide = min(n, end + max(chunk, end - done - chunk)), overlap
         while True:
             begin = max(done, end - wide)
             right = encode(text[begin:stop])
