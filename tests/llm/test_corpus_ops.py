@@ -164,10 +164,11 @@ def test_scores_equal_brute_force_bm25(spark, sf):
         t, c = np.unique(x, return_counts=True)
         weights[i, t] = idf[t] * c * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))
     want = np.array([weights[:, np.unique(x)].sum(1) for x in ids])
-    got = packing.Shard(ids, idf, mean).scores
+    shard = packing.Shard(ids, idf, mean)
+    got = np.array([shard.scores(i) for i in range(len(ids))])
     assert got == pytest.approx(want, rel=1e-4, abs=1e-3)
     # The first window holds the first piece and then those of the highest scores that fit.
-    full, left = packing.windows([len(x) for x in ids], got, 4096)
+    full, left = packing.windows([len(x) for x in ids], shard.scores, 4096)
     order = [0, *(p for p in np.argsort(-got[0], kind="stable").tolist() if p)]
     assert [p for p, _, _ in full[0]] == order[: len(full[0])]
     assert sum(n for w in full for _, _, n in w) + sum(n for _, _, n in left) == sum(map(len, ids))

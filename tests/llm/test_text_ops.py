@@ -1,12 +1,14 @@
 import hashlib
 import re
 import sys
+import time
 import tracemalloc
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemill.llm import langid, licenses, pii, quality, tokens
@@ -88,6 +90,28 @@ def test_pii_cues_of_any_case_and_long_userinfo():
     assert [text[s:e] for k in ("userinfo", "ssn") for s, e in found[k]] == [f"{token}:{token}", "123-45-6789"]
 
 
+@pytest.mark.parametrize("run", ["mailto:", "a@", "+1(", "1.", "12 ", "token=", "token ", "://a:", "ssn ", "account ", "a.b@c.", 'api key="a1b2c3d4e5f6g7h8" '])
+def test_scan_time_is_linear(run):
+    automaton = pii.anchors()
+    began = time.time()
+    pii.redact(text := (run * 1_000_000)[:1_000_000], pii.find(text, automaton))
+    assert time.time() - began < 15
+
+
+def test_secrets_and_overlapping_addresses():
+    automaton = pii.anchors()
+    text = 'token = "cf1d64a9a4cd9723e1f4" tokens are fine, password: hunter mailto:mailto:q@r.s API_KEY=abcdEFGH12345678 Social Security number: 123-45-6789'
+    found = pii.find(text, automaton)
+    cut = {k: [text[s:e] for s, e in v] for k, v in found.items() if v}
+    assert cut == {"email": ["q@r.s"], "secret": ["cf1d64a9a4cd9723e1f4", "abcdEFGH12345678"], "mailto": ["mailto:q@r.s"], "ssn": ["123-45-6789"]}
+
+
+def test_scan_of_nothing_and_clashing_columns(spark, no_docs, docs):
+    assert pii.scan(no_docs).count() == 0 and pii.redacted(no_docs).count() == 0
+    clash = docs.select("doc_id", "text", F.lit(1).alias("spans"), F.lit(2).alias("n_email"), F.lit(3).alias("redacted"))
+    assert _sorted(pii.scan(clash).collect()) == _sorted(pii.scan(docs).collect())
+
+
 # tokens
 
 
@@ -222,6 +246,63 @@ def test_license_base(spark, docs, real, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def _license_labels(text, phrases=licenses.PHRASES, templates=licenses.TEMPLATES):
+    """(labels, score) by brute force: diagonals of equal two-word windows, neighbours merged, distinct windows counted."""
+    low = (text or "").translate({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    labels, score = set(), 0.0
+    for t, (words, label) in enumerate((*phrases, *templates)):
+        v, diagonals = words.split(), {}
+        for p in range(len(w) - 1):
+            for q in range(len(v) - 1):
+                if w[p : p + 2] == v[q : q + 2]:
+                    diagonals.setdefault(p - q, set()).add(q)
+        spans, last = [], None
+        for d in sorted(diagonals):
+            if last is None or d - last > licenses.SLACK:
+                spans.append(set())
+            spans[-1] |= diagonals[d]
+            last = d
+        if t < len(phrases):
+            if any(len(q) == len(v) - 1 for q in diagonals.values()):
+                labels.add(label)
+                score = 1.0
+        else:
+            for share in (len(q) / (len(v) - 1) for q in spans):
+                if share >= licenses.MIN_SHARE:
+                    labels.add(label)
+                    score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_equal_brute_force(spark, docs, real):
+    rng = np.random.default_rng(6)
+    texts = ["of charge " * 15, "the terms of " * 15, "Permission is hereby granted, free of charge, " * 3, "ÄCC BY all rights reserved", "redistribution and use in source and in binary forms with or without modification are " * 2]
+    for words, _ in licenses.TEMPLATES:
+        for _ in range(6):
+            v = words.split()
+            for _ in range(rng.integers(0, 4)):
+                at = int(rng.integers(0, len(v)))
+                v[at : at + int(rng.integers(0, 2))] = ["and"] * int(rng.integers(0, 3))
+            texts.append("x " + " ".join(v) + " y " + " ".join(v[: len(v) // 2]))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = 0
+    for d in (made, docs, real):
+        want = [(r.doc_id, *_license_labels(r.text)) for r in d.select("doc_id", "text").collect()]
+        assert _sorted(licenses.scan(d).select("doc_id", "labels", "score").collect()) == _sorted(want)
+        found += sum(1 for _, labels, _ in want if labels)
+    assert found > 30
+    got = {r.doc_id: r.labels for r in licenses.scan(made).collect()}
+    assert got[0] == got[1] == ""
+
+
+def test_long_templates_take_several_marks(spark):
+    v = [f"w{i}" for i in range(150)]
+    d = spark.createDataFrame([(1, " ".join(v)), (2, " ".join(v[:100])), (3, " ".join(v[:120]))], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 6)) for r in licenses.scan(d, phrases=(), templates=((" ".join(v), "long"),)).collect()}
+    assert got == {1: ("long", 1.0), 2: ("", 0.0), 3: ("long", round(119 / 149, 6))}
+
+
 def test_license_spans_merge(spark):
     d = spark.createDataFrame([(1, "x licensed under the really apache license version 2 0 y"), (2, "licensed under the sun")], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(d).collect()}
