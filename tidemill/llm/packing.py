@@ -6,7 +6,7 @@ those that agree in the second, and so on; pieces of near copies meet with about
 pieces are dealt out by range of (route, row), so that one route of many pieces, such as copies, spreads over as many partitions
 as it needs, and each partition cuts its run into shards of up to ``shard_tokens`` tokens or ``SHARD_DOCS`` pieces.
 
-A shard has an inverted index of its pieces. Every piece is scored for every other with BM25 over all terms of the seed;
+A shard has an inverted index of its pieces. The pieces of a shard are scored for a seed with BM25 over all its terms;
 document frequencies and the mean length are those of the whole corpus. Seeds are taken in order; the unused pieces with the best scores
 fill the seed's window, and a piece that does not fit is cut, its rest being the next seed. What is left of a shard, less
 than a window, goes to the next one, and what is left of a partition to the next round, which has some thousand times fewer
@@ -23,7 +23,7 @@ tokenizer with more than 65,536 ids is an error. Scores are sums in single preci
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -33,16 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import words as W
-from tidemill.llm.common import ship, stored, table, texts
+from tidemill.llm.common import release, ship, stored, table, texts
 from tidemill.llm.tokens import TOKENIZER, encoder_of
 
 WINDOW, END_ID = 4096, 2
 #: Tokens and pieces of a shard, and tokens of a partition of shards.
-SHARD_TOKENS, SHARD_DOCS, PART_TOKENS = 1_000_000, 2_048, 8_000_000
+SHARD_TOKENS, SHARD_DOCS, PART_TOKENS = 2_000_000, 4_096, 8_000_000
 #: BM25 constants.
 K1, B = 1.2, 0.75
-#: Queries scored at once; ids that so many of 32 pieces have are scored by a matrix product, others by their postings.
-QUERIES, OFTEN = 256, 1
+#: Ids that more than so many of 32 pieces have keep their weights for all pieces, others in postings.
+OFTEN = 1
 _A = np.random.default_rng(4096).integers(1, 1 << 62, 4, dtype=np.uint64) * W.U(2) + W.U(1)
 
 
@@ -127,7 +127,7 @@ def frequencies(tokens: DataFrame) -> np.ndarray:
 
 
 class Shard:
-    """Some pieces, and for each of them the scores of all others."""
+    """Some pieces and their inverted index."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         self.pieces = len(ids)
@@ -150,24 +150,19 @@ class Shard:
         some = column >= 0
         self.dense = np.zeros((len(often), self.pieces), np.float32)
         self.dense[column[some], piece[some]] = weight[some]
-        self.scores = np.concatenate([self.scored(np.arange(q, min(q + QUERIES, self.pieces))) for q in range(0, self.pieces, QUERIES)])
-
-    def scored(self, seeds: np.ndarray) -> np.ndarray:
-        """Scores (seeds, pieces): sums over all terms of a seed."""
-        terms = [self.term[self.by_piece[self.own[s] : self.own[s + 1]]] for s in seeds.tolist()]
-        term, query = np.concatenate(terms), np.repeat(np.arange(len(seeds)), [len(t) for t in terms])
-        often = self.column[term] >= 0
-        which = np.zeros((len(seeds), len(self.dense)), np.float32)
-        which[query[often], self.column[term[often]]] = 1
-        term, query = term[~often], query[~often]
-        n = self.at[term + 1] - self.at[term]
-        post = np.repeat(self.at[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        rare = np.bincount(np.repeat(query * self.pieces, n) + self.piece[post], self.weight[post], len(seeds) * self.pieces)
-        return rare.reshape(len(seeds), self.pieces).astype(np.float32) + which @ self.dense
-
-
-def windows(length: list[int], scores: np.ndarray, window: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Full windows, as lists of (piece, first id, number of ids), and what is left."""
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Scores of all pieces: sums over all terms of the seed."""
+        term = self.term[self.by_piece[self.own[seed] : self.own[seed + 1]]]
+        column = self.column[term]
+        rare = term[column < 0]
+        n = self.at[rare + 1] - self.at[rare]
+        post = np.repeat(self.at[rare] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.piece[post], self.weight[post], self.pieces).astype(np.float32) + self.dense[column[column >= 0]].sum(0)
+
+
+def windows(length: list[int], scores: Callable[[int], np.ndarray], window: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Full windows, as lists of (piece, first id, number of ids), and what is left. ``scores`` gives those of a seed."""
     start, left = np.zeros(len(length), np.int64), np.array(length, np.int64)
     total, full, rest, first = int(left.sum()), [], -1, 0
     while total >= window:
@@ -179,7 +174,7 @@ def windows(length: list[int], scores: np.ndarray, window: int) -> tuple[list[li
         free = np.flatnonzero(left)
         free = free[free != seed]
         rest = -1
-        for p in [seed, *free[np.argsort(-scores[seed, free], kind="stable")].tolist()]:
+        for p in [seed, *free[np.argsort(-scores(seed)[free], kind="stable")].tolist()]:
             take = min(int(left[p]), room)
             items.append((p, int(start[p]), take))
             start[p] += take
@@ -243,6 +238,7 @@ def _round(pieces: DataFrame, number: int, parts: int, idf: np.ndarray, mean: fl
     schema = f"{SCHEMA}, row long, route long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         weights, mean_length = sent.value
         sequence = number << 58 | TaskContext.get().partitionId() << 32
         held: list[tuple] = []  # (row, doc_id, n, route, start, ids)
