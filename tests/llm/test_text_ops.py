@@ -342,6 +342,42 @@ def test_language_forward_equals_enumeration():
     assert np.isclose(n[i, 0], 2 * p[i, 0] / brute("▁the")[0])
 
 
+def test_long_words_are_summed_over_all_segmentations():
+    pieces = langid.pieces_of(langid.VOCABULARY)
+    rng = np.random.default_rng(4)
+    p = rng.random((pieces.size, 3)) * 0.01
+    words = ["".join(rng.choice(list("theandofßñ日x"), n)) for n in (1, 5, 12, 31, 32)]
+    weight = rng.integers(0, 3, (len(words), 3)).astype(float)
+    short, long = langid.Lattice(words, pieces), langid.LongWords(words, pieces)
+    assert np.allclose(short.score(p, 5), long.score(p, 5))
+    assert np.allclose(short.expected(p[:, 0], weight), long.expected(p[:, 0], weight))
+    # A long run by the plain sum over all pieces at each place, in logarithms.
+    run = "".join(rng.choice(list("theandof"), 700))
+    ids = [pieces.find(np.array([langid.Pieces.key(np.array([ord(c) for c in x], np.uint64))]))[0] for x in (("▁" + run)[:1],)]
+    assert ids[0] >= 0
+    text, alpha = "▁" + run, [np.zeros(3)]
+    for j in range(1, len(text) + 1):
+        terms = []
+        for k in range(1, min(j, pieces.longest) + 1):
+            i = pieces.find(np.array([langid.Pieces.key(np.array([ord(c) for c in text[j - k : j]], np.uint64))]))[0]
+            if i >= 0:
+                terms.append(alpha[j - k] + np.log(p[i]))
+            elif k == 1:
+                terms.append(alpha[j - 1] + np.log(langid.UNKNOWN))
+        alpha.append(np.logaddexp.reduce(terms, axis=0))
+    assert np.allclose(langid.LongWords([run, "b" * 40], pieces).score(p, 2)[0], alpha[-1])
+
+
+def test_texts_without_blanks_have_a_language(spark):
+    rng = np.random.default_rng(5)
+    letters = {"x": "abcdefgh", "y": "stuvwxyz"}
+    rows = [(i, "".join(rng.choice(list(letters["xy"[i % 2]]), 200 + 3000 * (i == 38))), "xy"[i % 2]) for i in range(40)]
+    rows.append((40, "ab" * 50_000, "x"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(d, langid.train(d.where("doc_id < 30"))).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_language_accuracy_and_edges(spark, docs, no_docs):
     d = langid.fold(table(spark, "/root/testdata/sf0.01", "documents"))
     model = langid.train(d.where("NOT held_out"))

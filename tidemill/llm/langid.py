@@ -32,7 +32,7 @@ from tidemill.llm import words as W
 from tidemill.llm.common import kept, release, ship, table, texts
 
 VOCABULARY = "piece_bpe_32k.model"
-PART, MAX_LANGS, UND = 32, 300, "und"
+PART, LONG, MAX_LANGS, UND = 32, 4096, 300, "und"
 #: Weight of the vocabulary's own ranks in a language's probabilities, and the probability of a character without a piece.
 SMOOTHING, UNKNOWN = 0.05, 1e-9
 #: Distinct words that are counted before they go through lattices, words of one lattice, and words whose scores are kept;
@@ -110,19 +110,14 @@ def pieces_of(name: str) -> Pieces:
 
 
 class Lattice:
-    """All pieces at all places of some words."""
+    """All pieces at all places of some words of up to PART characters."""
 
     def __init__(self, words: list[str], pieces: Pieces):
-        parts = [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
-        self.owner = np.repeat(np.arange(len(words)), [-(-len(w) // PART) for w in words])
-        heads = np.concatenate(([0], np.flatnonzero(np.diff(self.owner)) + 1)) if len(parts) else np.zeros(0, np.int64)
-        is_head = np.zeros(len(parts), bool)
-        is_head[heads] = True
         # Longest first, so that the words still running at a place are a prefix.
-        self.length = np.array([len(p) for p in parts], np.int64) + is_head
-        order = np.argsort(-self.length, kind="stable")
-        self.owner, self.length = self.owner[order], self.length[order]
-        text = "".join(("▁" if is_head[i] else "") + parts[i] for i in order.tolist())
+        self.length = np.array([len(w) + 1 for w in words], np.int64)
+        self.owner = np.argsort(-self.length, kind="stable")
+        self.length = self.length[self.owner]
+        text = "".join("▁" + words[i] for i in self.owner.tolist())
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         self.start = np.concatenate(([0], np.cumsum(self.length)))[:-1].astype(np.int64)
         room = np.repeat(self.start + self.length, self.length) - np.arange(len(points))
@@ -194,6 +189,105 @@ class Lattice:
         return out
 
 
+class LongWords:
+    """The pieces that end at each place of some long words, found place by place. Parts run side by side, longest first."""
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.pieces = pieces
+        marked = ["▁" + w for w in words]
+        parts = [w[i : i + LONG] for w in marked for i in range(0, len(w), LONG)]
+        owner = np.repeat(np.arange(len(words)), [-(-len(w) // LONG) for w in marked])
+        order = np.argsort([-len(p) for p in parts], kind="stable")
+        self.owner, self.length = owner[order], np.array([len(parts[i]) for i in order], np.int64)
+        self.points = np.frombuffer("".join(parts[i] for i in order).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.start = np.concatenate(([0], np.cumsum(self.length)))[:-1].astype(np.int64)
+
+    def places(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(place j, parts still running, pieces ending at j): row s % longest of the pieces has the one that begins at s, -1 for none."""
+        longest = self.pieces.longest
+        h = np.zeros((longest, len(self.length)), np.uint64)
+        for j in range(1, int(self.length[0]) + 1):
+            live = int(np.searchsorted(-self.length, -j, "right"))
+            h[(j - 1) % longest] = 0
+            h[:, :live] = h[:, :live] * _K + self.points[self.start[:live] + j - 1] + np.uint64(1)
+            found = self.pieces.find(W.mix(h[:, :live].ravel())).reshape(longest, live)
+            if j < longest:
+                found[j:] = -1
+            yield j, live, found
+
+    def score(self, p: np.ndarray, n_words: int) -> np.ndarray:
+        """log probability of each word in each language."""
+        longest, k = self.pieces.longest, p.shape[1]
+        alpha, shift = np.zeros((longest, len(self.length), k)), np.zeros(len(self.length))
+        alpha[0], ends = 1.0, np.zeros((len(self.length), k))
+        for j, live, found in self.places():
+            new = np.zeros((live, k))
+            row, part = np.nonzero(found >= 0)
+            np.add.at(new, part, alpha[row, part] * p[found[row, part]])
+            alone = np.flatnonzero(found[(j - 1) % longest] < 0)
+            new[alone] += alpha[(j - 1) % longest, alone] * UNKNOWN
+            alpha[j % longest, :live] = new
+            done = slice(int(np.searchsorted(-self.length, -j, "left")), live)
+            ends[done] = np.log(new[done]) + shift[done, None]
+            if j % 8 == 0:  # long products leave the range of doubles
+                top = alpha[:, :live].max((0, 2))
+                alpha[:, :live] /= top[None, :, None]
+                shift[:live] += np.log(top)
+        out = np.zeros((n_words, k))
+        np.add.at(out, self.owner, ends)
+        return out
+
+    def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected counts (pieces, languages) as :meth:`Lattice.expected` gives them, in logarithms."""
+        longest, n, parts = self.pieces.longest, int(self.length[0]), len(self.length)
+        with np.errstate(divide="ignore"):
+            logp = np.log(np.concatenate((p, [0.0])))  # -1 finds the last: no piece
+        alpha, beta = np.full((n + 1, parts), -np.inf), np.full((n + longest + 1, parts), -np.inf)
+        alpha[0] = 0.0
+        ids = np.full((n + 1, longest, parts), -1, np.int32)  # of the piece of k characters that begins at s: [s, k - 1]
+        alone = np.zeros((n + 1, parts), bool)
+        for j, live, found in self.places():
+            s = np.arange(max(0, j - longest), j)
+            step = logp[found[s % longest]]
+            ids[s, j - s - 1, :live] = found[s % longest]
+            alone[j - 1, :live] = found[(j - 1) % longest] < 0
+            step[-1, alone[j - 1, :live]] = np.log(UNKNOWN)
+            alpha[j, :live] = np.logaddexp.reduce(alpha[s, :live] + step, axis=0)
+        beta[self.length, np.arange(parts)] = 0.0
+        total, out = alpha[self.length, np.arange(parts)], np.zeros((len(p), weight.shape[1]))
+        w = weight[self.owner]
+        for s in range(n - 1, -1, -1):
+            step = logp[ids[s]] + beta[s + 1 : s + 1 + longest]
+            whole = np.where(alone[s], np.log(UNKNOWN) + beta[s + 1], -np.inf)
+            own = np.logaddexp(np.logaddexp.reduce(step, axis=0), whole)
+            running = self.length > s
+            beta[s, running] = own[running]
+            k, part = np.nonzero((ids[s] >= 0) & np.isfinite(step))
+            g = np.exp(alpha[s, part] + step[k, part] - total[part])
+            r, c = np.nonzero(w[part])
+            np.add.at(out, (ids[s, k[r], part[r]], c), g[r] * w[part[r], c])
+        return out
+
+
+def _batches(words: list[str], cells: int) -> Iterator[tuple[type, list[int]]]:
+    """Numbers of words to go through one lattice together, with its class; ``cells`` are the 64-bit cells of a character's place."""
+    short = [i for i, w in enumerate(words) if len(w) <= PART]
+    most = fitting(LATTICE, cells * (PART + 2))
+    for i in range(0, len(short), most):
+        yield Lattice, short[i : i + most]
+    held, parts = [], 0
+    for i, w in enumerate(words):
+        if len(w) > PART:
+            more = -(-(len(w) + 1) // LONG)
+            if held and parts + more > max(1, TABLE_BYTES // (8 * LONG * 17)):  # ids of ``expected``, 32 bits for each length of a piece
+                yield LongWords, held
+                held, parts = [], 0
+            held.append(i)
+            parts += more
+    if held:
+        yield LongWords, held
+
+
 def core(word: str) -> str:
     return word.strip(_STRIP).lower()
 
@@ -225,14 +319,14 @@ class Model:
 def word_scores(words: list[str], model: Model) -> np.ndarray:
     """log probability of each word in each language, for at most as many words as are kept over the tasks of a worker."""
     k = len(model.langs)
-    most, lattice = fitting(KNOWN, k), fitting(LATTICE, k * (PART + 2))
+    most = fitting(KNOWN, k)
     number, table_ = kept(f"scores {model.name}", lambda: ({}, np.zeros((most, k))))
     if len(number) + len(words) > most:
         number.clear()
     new = [w for w in words if w not in number]
-    for i in range(0, len(new), lattice):
-        part = new[i : i + lattice]
-        table_[len(number) : len(number) + len(part)] = Lattice(part, pieces_of(model.vocabulary)).score(model.p, len(part))
+    for kind, at in _batches(new, k):
+        part = [new[i] for i in at]
+        table_[len(number) : len(number) + len(part)] = kind(part, pieces_of(model.vocabulary)).score(model.p, len(part))
         for w in part:
             number[w] = len(number)
     return table_[[number[w] for w in words]]
@@ -267,9 +361,8 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_langs: int = MAX_LA
 
         def flush() -> None:
             todo = list(number)
-            lattice = fitting(LATTICE, k)
-            for i in range(0, len(todo), lattice):
-                total[:] += Lattice(todo[i : i + lattice], pieces).expected(pieces.prior, weight[i : i + lattice][: len(todo) - i])
+            for kind, at in _batches(todo, max(1, k // PART)):
+                total[:] += kind([todo[i] for i in at], pieces).expected(pieces.prior, weight[at])
             number.clear()
             weight[:] = 0
 
