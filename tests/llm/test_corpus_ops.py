@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemill.llm import components, mixing, packing, simjoin, tokens, topk, urlfilter
-from tidemill.llm.common import table
+from tidemill.llm.common import meet, table
 
 
 def test_shares():
@@ -82,7 +82,8 @@ def test_seed_and_shards_change_the_mix(spark, sf):
 
 
 def test_mixed_texts(docs):
-    unique = docs.dropDuplicates(["doc_id", "text"]).where("doc_id IS NOT NULL")
+    unique = docs.dropDuplicates(["doc_id", "text"])
+    assert unique.where("doc_id IS NULL").count() == 1
     want = {r.doc_id: r.taken for r in mixing.taken(unique).collect()}
     got = defaultdict(list)
     for r in mixing.mixed(unique).collect():
@@ -255,6 +256,61 @@ def test_top_k_equals_brute_force(spark):
     assert topk.search(d.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_filter_takes_clashing_columns_and_long_hosts(spark):
+    d = spark.createDataFrame([(1, "http://a.b.example.org/es/x", "x"), (2, "x://" + "a." * 100_000 + "org/q", "y")], "page_id long, url string, host string")
+    d = d.selectExpr("*", "1 AS path", "2 AS rule", "3 AS verdict", "4 AS html")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(d, urlfilter.RULES).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: ("org/", "allow")}
+    assert urlfilter.judge(d, []).where("verdict = 'allow' AND rule IS NULL").count() == 2
+
+
+def test_join_finds_links_of_every_band(spark):
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    sets = {}
+    for r in d.select("doc_id", "text").collect():
+        w = (r.text or "").split()
+        sets[r.doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    ids, having = sorted(sets), defaultdict(set)
+    for i in ids:
+        for g in sets[i]:
+            having[g].add(i)
+    got = {r.doc_id: r.class_id for r in simjoin.classes(d).collect()}
+    bands = defaultdict(list)
+    for i in ids:
+        for j in {j for g in sets[i] for j in having[g] if j > i}:
+            both = len(sets[i] & sets[j])
+            similarity = both / (len(sets[i]) + len(sets[j]) - both)
+            if 0.8 <= similarity < 1:
+                bands[min(int(similarity * 20), 19)].append(got[i] == got[j])
+    assert sum(map(len, bands.values())) > 10
+    assert all(np.mean(found) >= 0.97 for found in bands.values())
+    print({b / 20: (len(found), float(np.mean(found))) for b, found in sorted(bands.items())})
+    assert simjoin.recall_of(simjoin.runs_for(0.99, 4, 0.8), 4, 0.8) >= 0.99
+    assert simjoin.recall_of(6, 4, 0.8, 0.9) > 0.999
+
+
+def test_large_groups_are_cut_by_shingles(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(400)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, simjoin.classes(d).collect()))
+    assert {r[1] for r in want} == {0} and {r[2] for r in want} == {59}
+    monkeypatch.setattr(simjoin, "BLOCK_SHINGLES", 3000)
+    assert sorted(map(tuple, simjoin.classes(d, bucket=16, block=512).collect())) == want
+
+
+def test_hot_keys_meet_in_shares(spark):
+    left = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    got = meet(left, right, "k", "n", "id", 5000, most=100)
+    assert got.count() == 5000 and got.where("k = 7").agg(F.min("n")).first()[0] == left.where("k = 7").count()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(80)]

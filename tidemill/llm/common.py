@@ -29,8 +29,13 @@ BATCH_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application: functions sent to them are found by import."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Give the executors this package, once per application: functions sent to them are found by import.
+
+    The session's Arrow batches are made smaller where they are larger; plans read that setting when they run.
+    """
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
