@@ -222,6 +222,18 @@ def test_quality_without_labels(spark, docs):
     assert out.count() == docs.count() and out.where("kept = base_failed").count() == 0
 
 
+def test_doubled_and_null_labels(spark, no_docs):
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    labels = table(spark, "/root/testdata/sf0.01", "labels")
+    more = labels.select("doc_id", F.lit(0).alias("quality"), "toxic").union(spark.createDataFrame([(1, None, 0), (None, 0, 0), (10**9, 0, 1)], labels.schema))
+    # Of several labels the largest counts, so a second 0 for each document changes nothing; nor do nulls and unknown ids.
+    names = ("doc_id", "base_failed", "kept", "rule")
+    assert _sorted(quality.judge(d, labels.union(more)).select(*names).collect()) == _sorted(quality.judge(d, labels).select(*names).collect())
+    assert quality.judge(no_docs, labels).count() == 0
+    bare = quality.judge(d, labels.limit(0))
+    assert bare.where("kept = base_failed").count() == 0 and bare.where("rule > 0").count() == 0
+
+
 # licenses
 
 
