@@ -38,7 +38,9 @@ SMOOTHING, UNKNOWN = 0.05, 1e-9
 #: Distinct words that are counted before they go through lattices, words of one lattice, and words whose scores are kept;
 #: fewer where a table of them with a column for each language would have more bytes than TABLE_BYTES.
 FLUSH, LATTICE, KNOWN, TABLE_BYTES = 200_000, 25_000, 400_000, 32 << 20
-_STRIP = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text whose words are made distinct at once.
+STEP = 8 << 20
+_STRIP = np.array([c < 128 and not chr(c).isalpha() and chr(c).isprintable() and c != 0x20 for c in range(256)])
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MARK = ord("▁")  # begins a word in the vocabulary
 
@@ -288,24 +290,40 @@ def _batches(words: list[str], cells: int) -> Iterator[tuple[type, list[int]]]:
         yield LongWords, held
 
 
-def core(word: str) -> str:
-    return word.strip(_STRIP).lower()
-
-
 def distinct(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str]]]:
     """For some rows at a time: first row, row after the last, row and number of each counted word, the distinct words."""
-    for lo, hi, _, _ in W.steps(text):
-        part = pc.ascii_split_whitespace(text.slice(lo, hi - lo).fill_null(""))
+    for lo, hi, _, _ in W.steps(text, STEP):
+        low = pc.utf8_lower(text.slice(lo, hi - lo).cast(pa.large_string()).fill_null(""))
+        part = pc.ascii_split_whitespace(_bare(low))
         row = np.repeat(np.arange(hi - lo), pc.list_value_length(part).to_numpy(zero_copy_only=False))
         coded = part.flatten().dictionary_encode()
-        number: dict[str, int] = {}
-        to = np.empty(len(coded.dictionary), np.int64)
-        for i, w in enumerate(coded.dictionary.to_pylist()):
-            c = core(w)
-            to[i] = number.setdefault(c, len(number)) if c and (c.isalpha() or any(map(str.isalpha, c))) else -1
+        letters = pc.utf8_is_alpha(coded.dictionary).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(~letters)  # parted words, digits inside, and the empty word
+        letters[other] = pc.match_substring_regex(coded.dictionary.take(pa.array(other)), r"\p{L}").to_numpy(zero_copy_only=False)
+        to = np.where(letters, np.cumsum(letters) - 1, -1)
         index = to[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         keep = index >= 0
-        yield lo, hi, row[keep], index[keep], list(number)
+        yield lo, hi, row[keep], index[keep], coded.dictionary.filter(pa.array(letters)).to_pylist()
+
+
+def _bare(text: pa.Array) -> pa.Array:
+    """Texts with blanks in place of ASCII digits and punctuation at the ends of words."""
+    _, off, data = text.buffers()
+    if not len(text) or data is None:
+        return text
+    off = np.frombuffer(off, np.int64)[text.offset : text.offset + len(text) + 1]
+    buf = np.frombuffer(data, np.uint8)[off[0] : off[-1]].copy()
+    off = off - off[0]
+    _, start, end = W.spans(buf, off, _STRIP)
+    if not len(start):
+        return text
+    edge = np.zeros(len(buf) + 1, bool)  # in front of these bytes a row begins or ends
+    edge[off] = True
+    blank = W.SPACE[buf]
+    drop = edge[start] | edge[end] | blank[np.maximum(start, 1) - 1] | blank[np.minimum(end, len(buf) - 1)]
+    start, size = start[drop], (end - start)[drop]
+    buf[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = 0x20
+    return pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(off), pa.py_buffer(buf))
 
 
 @dataclass
@@ -323,13 +341,14 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
     number, table_ = kept(f"scores {model.name}", lambda: ({}, np.zeros((most, k))))
     if len(number) + len(words) > most:
         number.clear()
-    new = [w for w in words if w not in number]
-    for kind, at in _batches(new, k):
-        part = [new[i] for i in at]
+    at = list(map(number.get, words))
+    new = [w for w, i in zip(words, at, strict=True) if i is None]
+    for kind, some in _batches(new, k):
+        part = [new[i] for i in some]
         table_[len(number) : len(number) + len(part)] = kind(part, pieces_of(model.vocabulary)).score(model.p, len(part))
         for w in part:
             number[w] = len(number)
-    return table_[[number[w] for w in words]]
+    return table_[[number[w] if i is None else i for w, i in zip(words, at, strict=True)] if new else at]
 
 
 def _tally(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
