@@ -121,6 +121,19 @@ def meet(left: DataFrame, right: DataFrame, key: str, size: str, spread: str | C
     return dealt.join(repeated, [key, "share_"]).drop("share_")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where it is a plain scan of fewer parts, as of one small file; else as it is.
+
+    Where rows are much work and files few, cores would idle. A larger input has more parts than cores and is not moved.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in plan.toString() or not df.inputFiles():
+        return df
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if parts >= cores else df.repartition(cores)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text as string (null: empty) and other named columns; everything else is left in the file."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

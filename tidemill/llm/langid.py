@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import words as W
-from tidemill.llm.common import kept, release, ship, table, texts
+from tidemill.llm.common import kept, release, ship, spread, table, texts
 
 VOCABULARY = "piece_bpe_32k.model"
 PART, LONG, MAX_LANGS, UND = 32, 4096, 300, "und"
@@ -403,7 +403,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, max_langs: int = MAX_LA
     pieces = pieces_of(vocabulary)
     n = np.zeros((pieces.size, len(langs)))
     if langs:
-        got = docs.mapInArrow(run, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary for each language
+        got = spread(docs).mapInArrow(run, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary for each language
         n[got["piece"], got["lang"]] = got["n"]
     n = np.round(n, 3)  # the order of summing must not matter
     p = (n / np.maximum(n.sum(0), 1e-9)) * (1 - SMOOTHING) + SMOOTHING * pieces.prior[:, None]
@@ -443,7 +443,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             labels, scores = _judge(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return spread(texts(docs)).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -457,7 +457,7 @@ def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             labels, scores = _judge(b.column(names.index("text")), shared.value)
             yield b.filter(pa.array([x != UND and s >= least for x, s in zip(labels, scores.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def fold(docs: DataFrame) -> DataFrame:

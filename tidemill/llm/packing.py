@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import words as W
-from tidemill.llm.common import release, ship, stored, table, texts
+from tidemill.llm.common import release, ship, spread, stored, table, texts
 from tidemill.llm.tokens import TOKENIZER, encoder_of
 
 WINDOW, END_ID = 4096, 2
@@ -104,7 +104,7 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
         nothing = [pa.nulls(1, pa.binary() if c == "ids" else pa.int64()) for c in names[:-1]]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array([seen.tobytes()], pa.binary())], names)
 
-    return stored(texts(docs).mapInArrow(run, "row long, doc_id long, ids binary, n long, route long, whole long, seen binary"), "tokens")
+    return stored(spread(texts(docs)).mapInArrow(run, "row long, doc_id long, ids binary, n long, route long, whole long, seen binary"), "tokens")
 
 
 def frequencies(tokens: DataFrame) -> np.ndarray:

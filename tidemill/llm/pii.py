@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemill.llm.common import release, ship, texts
+from tidemill.llm.common import release, ship, spread, texts
 
 # Kinds in the order of the digest, patterns and cue words.
 BASE = ("email", "ip", "card", "phone")
@@ -189,7 +189,7 @@ def scan(docs: DataFrame, with_text: bool = True) -> DataFrame:
             types = {"long": pa.int64(), "string": pa.string()}
             yield pa.RecordBatch.from_arrays([rows[n.split()[0]] if n.startswith("doc_id") else pa.array(rows[n.split()[0]], types[n.split()[1]]) for n in SCHEMA.split(", ")], [n.split()[0] for n in SCHEMA.split(", ")])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return spread(texts(docs)).mapInArrow(run, SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 cols[j] = pa.array([old if t is None else len(t) for t, old in zip(new, b.column(j).to_pylist(), strict=True)], b.schema.field(j).type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import words as W
-from tidemill.llm.common import ship, stored, table, texts
+from tidemill.llm.common import ship, spread, stored, table, texts
 
 MAX_LABELLED = 20_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct_words", "n_chars_all")
@@ -99,7 +99,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             s = _stats(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[k]) for k in STATS)], ["doc_id", *STATS])
 
-    return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} long" for s in STATS))
+    return spread(texts(docs)).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} long" for s in STATS))
 
 
 @dataclass(frozen=True)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import words as W
-from tidemill.llm.common import meet, release, ship, stored, table, texts
+from tidemill.llm.common import meet, release, ship, spread, stored, table, texts
 from tidemill.llm.components import components, tree
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     out.append(least[at[r]].tobytes() if r in at else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sids, pa.binary()), pa.array(out, pa.binary()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], ["doc_id", "nameless", "key", "sid", "sketch", "shingles"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, nameless boolean, key long, sid binary, sketch binary, shingles long")
+    return spread(_keyed(docs)).mapInArrow(run, "doc_id long, nameless boolean, key long, sid binary, sketch binary, shingles long")
 
 
 def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:

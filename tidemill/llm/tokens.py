@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import words as W
-from tidemill.llm.common import kept, ship, table, texts
+from tidemill.llm.common import kept, ship, spread, table, texts
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of the word table, by estimate, and characters of the longest word in it.
@@ -214,7 +214,7 @@ def count(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = 2048, huge:
                 n[i] = sum(map(len, resync(text[int(i)].as_py(), encode, chunk, overlap)))
             yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(text).cast(pa.int64()), pa.array(n), pa.array(n > limit), long], ["doc_id", "n_bytes", "n_tokens", "over_limit", "resynchronised"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, resynchronised boolean")
+    return spread(texts(docs)).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, resynchronised boolean")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
