@@ -39,6 +39,8 @@ from tidemill.llm.tokens import TOKENIZER, encoder_of
 WINDOW, END_ID = 4096, 2
 #: Tokens and pieces of a shard, and tokens of a partition of shards.
 SHARD_TOKENS, SHARD_DOCS, PART_TOKENS = 2_000_000, 4_096, 8_000_000
+#: Ids of the vocabulary whose document frequencies one row holds.
+SEEN = 4096
 #: BM25 constants.
 K1, B = 1.2, 0.75
 #: Ids that more than so many of 32 pieces have keep their weights for all pieces, others in postings.
@@ -66,8 +68,8 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
     """(row, doc_id, ids, n, route, whole, seen), stored in the shared folder.
 
     ids are 16-bit little-endian ids of each text with the end id, n their number and ``row`` a key of its own: doc_id may
-    repeat or be null. ``whole`` is the number of the first sequence that the row's whole windows fill. Each partition adds one row in
-    which only ``seen`` stands: how many of its documents have each id of the vocabulary, as 32-bit integers.
+    repeat or be null. ``whole`` is the number of the first sequence that the row's whole windows fill. Each partition adds rows in
+    which only ``n`` and ``seen`` stand: how many of its documents have each of SEEN ids from ``n`` on, as 32-bit integers.
     """
     from tokenizers import Tokenizer
 
@@ -101,8 +103,9 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
             windows = n // window
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), b.column(0), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(n), pa.array(route), pa.array(whole + np.cumsum(windows) - windows), pa.nulls(len(n), pa.binary())], names)
             row, whole = row + len(n), whole + int(windows.sum())
-        nothing = [pa.nulls(1, pa.binary() if c == "ids" else pa.int64()) for c in names[:-1]]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array([seen.tobytes()], pa.binary())], names)
+        first = np.arange(0, vocabulary, SEEN)
+        nothing = {c: pa.nulls(len(first), pa.binary() if c == "ids" else pa.int64()) for c in names} | {"n": pa.array(first)}
+        yield pa.RecordBatch.from_arrays([*(nothing[c] for c in names[:-1]), pa.array([seen[i : i + SEEN].tobytes() for i in first.tolist()], pa.binary())], names)
 
     return stored(spread(texts(docs)).mapInArrow(run, "row long, doc_id long, ids binary, n long, route long, whole long, seen binary"), "tokens")
 
@@ -111,15 +114,19 @@ def frequencies(tokens: DataFrame) -> np.ndarray:
     """Document frequency of each id of the vocabulary over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total = np.zeros(1 << 16, np.int64)
+        end = 0
         for b in batches:
-            for raw in b.column(0).to_pylist():
+            for first, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen = np.frombuffer(raw, "<u4")
-                total = seen.astype(np.int64) if not len(total) else total + seen
-        at = np.concatenate((np.flatnonzero(total), [len(total)]))
+                total[first : first + len(seen)] += seen
+                end = max(end, first + len(seen))
+        at = np.concatenate((np.flatnonzero(total), [end]))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate((total, [0]))[at])], ["term", "n"])
 
-    got = tokens.where("seen IS NOT NULL").select("seen").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    # As many sums as cores go through the shuffle, however many partitions wrote one.
+    each = tokens.where("seen IS NOT NULL").select("n", "seen").coalesce(max(1, tokens.sparkSession.sparkContext.defaultParallelism))
+    got = each.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     df = np.zeros(int(got["term"].max()) if len(got) else 0, np.int64)
     got = got[got["n"] > 0]
     df[got["term"]] = got["n"]
