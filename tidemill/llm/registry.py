@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemill.llm import langid, licenses, mixing, packing, pii, quality, simjoin, tokens, topk, urlfilter
+from tidemill.llm import langid, licenses, mixing, packing, pii, quality, simjoin, tokens, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_jaccard_join": simjoin.op10_jaccard_join,
+    "op11_toxicity": toxicity.op11_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op6_top_k": topk.OP6_SQL, "op7_url_filter": urlfilter.OP7_SQL}
