@@ -380,6 +380,48 @@ def test_long_words_are_summed_over_all_segmentations():
     assert np.allclose(langid.LongWords([run, "b" * 40], pieces).score(p, 2)[0], alpha[-1])
 
 
+def _forward(word, p, pieces):
+    """log probability of a word in each language, by the plain sum over all pieces at each place, in logarithms."""
+    text, alpha = "▁" + word, [np.zeros(p.shape[1])]
+    for j in range(1, len(text) + 1):
+        terms = []
+        for k in range(1, min(j, pieces.longest) + 1):
+            i = pieces.find(np.array([langid.Pieces.key(np.array([ord(c) for c in text[j - k : j]], np.uint64))]))[0]
+            if i >= 0:
+                terms.append(alpha[j - k] + np.log(p[i]))
+            elif k == 1:
+                terms.append(alpha[j - 1] + np.log(langid.UNKNOWN))
+        alpha.append(np.logaddexp.reduce(terms, axis=0))
+    return alpha[-1]
+
+
+def test_long_words_of_several_languages(spark):
+    """A text of long words of different languages, each far likelier in its own: every score is a number, and right."""
+    docs = langid.fold(table(spark, "/root/testdata/sf0.01", "documents"))
+    model = langid.train(docs.where("NOT held_out"))
+    pieces = langid.pieces_of(model.vocabulary)
+    own = {r.lang: r.t for r in docs.where("n_chars > 500").groupBy("lang").agg(F.array_join(F.collect_list("text"), " ").alias("t")).collect()}
+    own = {k: re.sub(r"[^a-zäöüßéèñó]", "", v.lower()) for k, v in own.items()}
+    texts, want = [], []
+    for n in (300, 800, 4000):
+        for langs in (("fr", "de"), ("de", "es", "fr"), ("es", "en")):
+            words = [own[x][: n + 37 * i] for i, x in enumerate(langs)]
+            texts.append(" ".join(words))
+            if n < 4000:
+                total = sum(_forward(w, model.p, pieces) for w in words)
+                assert np.allclose(sum(langid.LongWords([w], pieces).score(model.p, 1)[0] for w in words), total)
+                want.append(model.langs[int(total.argmax())])
+            else:
+                want.append(None)
+    texts += [" ".join(own[x][:10_000] for x in ("fr", "de", "es")), "日" * 3000 + " " + "ж" * 3000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(d, model).collect()}
+    assert all(0 <= r.score <= 1 and r.lang_pred in model.langs for r in got.values())
+    assert all(got[i].lang_pred == w for i, w in enumerate(want) if w)
+    kept = {r.doc_id for r in langid.identified(d, model).collect()}
+    assert kept == {i for i, r in got.items() if r.score >= 0.5} and len(kept) >= len(texts) - 1
+
+
 def test_texts_without_blanks_have_a_language(spark):
     rng = np.random.default_rng(5)
     letters = {"x": "abcdefgh", "y": "stuvwxyz"}

@@ -220,7 +220,7 @@ class LongWords:
     def score(self, p: np.ndarray, n_words: int) -> np.ndarray:
         """log probability of each word in each language."""
         longest, k = self.pieces.longest, p.shape[1]
-        alpha, shift = np.zeros((longest, len(self.length), k)), np.zeros(len(self.length))
+        alpha, shift = np.zeros((longest, len(self.length), k)), np.zeros((len(self.length), k))
         alpha[0], ends = 1.0, np.zeros((len(self.length), k))
         for j, live, found in self.places():
             new = np.zeros((live, k))
@@ -230,10 +230,10 @@ class LongWords:
             new[alone] += alpha[(j - 1) % longest, alone] * UNKNOWN
             alpha[j % longest, :live] = new
             done = slice(int(np.searchsorted(-self.length, -j, "left")), live)
-            ends[done] = np.log(new[done]) + shift[done, None]
-            if j % 8 == 0:  # long products leave the range of doubles
-                top = alpha[:, :live].max((0, 2))
-                alpha[:, :live] /= top[None, :, None]
+            ends[done] = np.log(new[done]) + shift[done]
+            if j % 8 == 0:  # long products leave the range of doubles, of each language at its own pace
+                top = alpha[:, :live].max(0)
+                alpha[:, :live] /= top
                 shift[:live] += np.log(top)
         out = np.zeros((n_words, k))
         np.add.at(out, self.owner, ends)
