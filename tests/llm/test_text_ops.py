@@ -106,6 +106,18 @@ def test_secrets_and_overlapping_addresses():
     assert cut == {"email": ["q@r.s"], "secret": ["cf1d64a9a4cd9723e1f4", "abcdEFGH12345678"], "mailto": ["mailto:q@r.s"], "ssn": ["123-45-6789"]}
 
 
+def test_secrets_of_any_length(spark):
+    automaton = pii.anchors()
+    for n in (16, 512, 513, 1200, 1_000_000):
+        key = ("aB3" * n)[:n]
+        for text in (f"Bearer {key}", f'x api_key="{key}", rest', f"token: {key}\nmore words"):
+            found = pii.find(text, automaton)
+            assert [text[a:b] for a, b in found["secret"]] == [key]
+            assert key[:16] not in pii.redact(text, found)
+    d = spark.createDataFrame([(1, "Bearer " + "aB3" * 400, 1)], "doc_id long, text string, n_chars long")
+    assert [tuple(r) for r in pii.redacted(d).collect()] == [(1, "Bearer [SECRET]", 15)]
+
+
 def test_scan_of_nothing_and_clashing_columns(spark, no_docs, docs):
     assert pii.scan(no_docs).count() == 0 and pii.redacted(no_docs).count() == 0
     clash = docs.select("doc_id", "text", F.lit(1).alias("spans"), F.lit(2).alias("n_email"), F.lit(3).alias("redacted"))

@@ -6,8 +6,8 @@ identifier cues. A deterministic parser for each kind expands an anchor to its b
 Base kinds are leftmost and do not overlap within a kind: ``email``, ``ip``, ``card`` (16 to 19 digits passing Luhn)
 and ``phone`` (8 to 15 digits). A run of characters that fails validation is used up and not tried again. The method
 adds ``userinfo`` (name and password in a URL), ``mailto``, ``ssn``, ``iban`` and ``account`` (an identifier behind a cue),
-and ``secret`` (a key or token of 16 to 512 characters, letters and digits mixed, behind a cue). Each parser reads a bounded stretch, or
-none that an earlier anchor of its kind has read, so time is linear in the text.
+and ``secret`` (a key or token of 16 characters or more, letters and digits mixed, behind a cue). Each parser reads a bounded stretch, or
+none that an earlier anchor of its kind has read (no cue for a secret stands within a secret), so time is linear in the text.
 
 Nulls and empty texts give no spans. Every input row gives one row, repeated rows too. Columns besides ``doc_id`` and
 ``text`` are not read. Memory is bounded by one Arrow batch and the spans of one text.
@@ -40,7 +40,7 @@ _MAILTO = re.compile(r"[^\s@?<>\"']++")
 _SSN = re.compile(r"[\s:#]{0,12}(?:number|no\.?)?[\s:#]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I)
 _IBAN = re.compile(r"[\s:#]{0,12}(?:number|no\.?)?[\s:#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"[\s:#]{0,4}(?:number|no\.?|num|id)?[\s:#=]{1,4}([A-Z]{0,2}[0-9][0-9-]{5,18}[0-9])(?![0-9A-Za-z-])", re.I)
-_SECRET = re.compile(r"[\"']?(?:\s{0,4}[:=]\s{0,4}|\s{1,4})[\"']?([A-Za-z0-9_./+-]{16,512}+)(?![A-Za-z0-9_./+-])")
+_SECRET = re.compile(r"[\"']?(?:\s{0,4}[:=]\s{0,4}|\s{1,4})[\"']?([A-Za-z0-9_./+-]{16,}+)")
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
