@@ -142,6 +142,38 @@ href="/4"> &lt;</a><a title="1 > 0" href="/5">five</a><a href="/6">open"""
     assert got == [(1, 0, "/1?a&b", "one two", 'T"t'), (1, 1, "/2", "a", None), (1, 3, "/4", "<", None), (1, 4, "/5", "five", "1 > 0"), (1, 5, "/6", "open", None)]
 
 
+def test_anchors_as_a_browser_reads_them(spark):
+    cases = [
+        ('<a href="/x">Link</A> tail <b>more</b>', [("/x", "Link", None)]),
+        ('<A HREF=/x>Link</a > tail', [("/x", "Link", None)]),
+        ("""<a title="use href='/bad' here" href="/good">t</a>""", [("/good", "t", "use href='/bad' here")]),
+        ("<a title=x' href=/q?a=b&amp;c >t</a\n>z", [("/q?a=b&c", "t", "x'")]),
+        ('<a href = "/1" href="/2">t</a>', [("/1", "t", None)]),
+        ('<a\nhref="/1"title="T">t</a>', [("/1", "t", "T")]),
+        ("<a/href='/1'/>t</a>", [("/1", "t", None)]),
+        ("<a href>t</a><a href=>u</a>", [("", "t", None), ("", "u", None)]),
+        ('<!-- <a href="/c">c</a> --><a href="/1">t<!-- > --></a>', [("/1", "t", None)]),
+        ("""<script>x = '<a href="/s">'</script ><STYLE><a href="/s"></style><a href="/1">t</a><!-- <a href="/n">""", [("/1", "t", None)]),
+        ('<a href="/never><b>t</b>', []),
+        ("<a href='&#x2F;&#49;&eacute;&nosuch;&amp;#39;&#38;lt;&#0;&#xD800;&#x1F600;'>&lt;&#x27;&gt; &</a>", [("/1é&nosuch;&#39;&lt;\ufffd\ufffd\U0001f600", "<'> &", None)]),
+        ("<abbr href=/no>x</abbr><area href=/no>", []),
+    ]
+    d = spark.createDataFrame([(i, html) for i, (html, _) in enumerate(cases)], "k int, html string")
+    got = [[] for _ in cases]
+    for r in readers.anchors(d, "html", "k").orderBy("k", "pos").collect():
+        got[r.k].append((r.href, r.text, r.title))
+    assert got == [want for _, want in cases]
+
+
+def test_a_tag_of_a_million_attributes(spark):
+    began = time.time()
+    many = {1: "x='1' " * 1_000_000, 2: 'y="2"' * 1_000_000, 3: "z " * 1_000_000, 4: "=" * 1_000_000, 5: "a=b" * 1_000_000, 6: "'" * 1_000_001, 7: "<!--" * 300_000, 8: "&#" * 500_000}
+    d = spark.createDataFrame([(k, f"<a {v} href='/end'>t</a>") for k, v in many.items()], "k int, html string")
+    got = {r.k: r.href for r in readers.anchors(d, "html", "k").collect()}
+    assert {k: got.get(k) for k in (1, 2, 3)} == {1: "/end", 2: "/end", 3: "/end"}
+    assert time.time() - began < 60
+
+
 def test_links_with_and_without_slug(spark):
     pattern = T.LinkPattern(host="h\\.org")
     hrefs = ["https://www.h.org/document/12/My-Doc?x", "https://www.h.org/doc/12", "http://www.h.org/doc/12", "https://h.org/doc/1", "https://www.h.org/book/1", "", None]

@@ -64,37 +64,53 @@ def link_extract(spark, d):
     return _hits(spark, d)
 
 
-# Pages of the table with some anchors written in other ways: single quotes and a title, or a prefixed attribute, no text.
-_SHAPES = (r'<a href="(/[^"]*)">([^<]*)</a>', r"""<a class='x' title="About \1" HREF='\1'> </a>""", r"""<a data-href="/zz" href="\1"><b></b></a><a name="q">no link</a>""")
-_HTML = "CASE page_id % 3 WHEN 1 THEN regexp_replace(html, '{0}', '{1}', 'g') WHEN 2 THEN regexp_replace(html, '{0}', '{2}', 'g') ELSE html END".format(*(x.replace("'", "''") for x in _SHAPES))
-_VALUE = r"""(?i)(?:^|[\s"''])%s\s*=\s*(?:"([^"]*)"|''([^'']*)'')"""
+# Pages of the table with their anchors written in other ways, by page_id modulo 8; 0 and those without a shape stay.
+_PLAIN = r'<a href="(/[^"]*)">([^<]*)</a>'
+_SHAPES = {
+    1: r"""<a class='x' title="About \1" HREF='\1'> </a>""",
+    2: r"""<a data-href="/zz" href="\1"><b></b></a><a name="q">no link</a>""",
+    3: r"""<a href="\1">\2</A> tail <b>x</b>""",
+    4: r"""<a title="use href='/bad' here" href="\1">\2</a >""",
+    5: r"""<A id=q HREF = \1 >\2</a""" + "\n>",
+    6: r"""<!-- <a href="/hidden">h</a> --><a href='\1'>&#x27;\2&#39;&eacute;&amp;lt;</a>""",
+    7: r"""<script>s = '<a href="/js">x</a>'</script><a href>e</a><a href="/never>\2</a>""",
+}
+_HTML = "CASE page_id % 8 {} ELSE html END".format(" ".join(f"WHEN {k} THEN regexp_replace(html, '{_PLAIN}', '{v.replace(chr(39), chr(39) * 2)}', 'g')" for k, v in _SHAPES.items()))
 
 
 def _unescaped(sql: str) -> str:
-    for entity, character in R.ENTITIES:
-        sql = f"replace({sql}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
-    return sql
+    names = {"lt": "<", "gt": ">", "quot": '"', "nbsp": " ", "amp": "&", "eacute": "é", "copy": "©", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—"}
+    cases = [f"WHEN starts_with(x, '{k};') THEN '{v}' || substr(x, {len(k) + 2})" for k, v in names.items()]
+    cases.append(r"WHEN regexp_matches(x, '^#[xX][0-9a-fA-F]{1,6};') THEN chr(CAST('0x' || regexp_extract(x, '^#[xX]([^;]*);', 1) AS INTEGER)) || regexp_replace(x, '^[^;]*;', '')")
+    cases.append(r"WHEN regexp_matches(x, '^#[0-9]{1,7};') THEN chr(CAST(regexp_extract(x, '^#([^;]*);', 1) AS INTEGER)) || regexp_replace(x, '^[^;]*;', '')")
+    return f"array_to_string(list_transform(string_split({sql}, '&'), lambda x, i: CASE WHEN i = 1 THEN x {' '.join(cases)} ELSE '&' || x END), '')"
 
 
 def _attribute(name: str) -> str:
-    v = _VALUE % name
-    return f"CASE WHEN regexp_matches(tag, '{v}') THEN {_unescaped(f"regexp_extract(tag, '{v}', 1) || regexp_extract(tag, '{v}', 2)")} END"
+    own = f"list_filter(attributes, lambda a: lower(trim(string_split(a, '=')[1], blank)) = '{name}')[1]"
+    raw = f"trim(substr({own}, len(string_split({own}, '=')[1]) + 2), blank)"
+    bare = f"CASE WHEN left({raw}, 1) IN (chr(39), chr(34)) THEN substr({raw}, 2, len({raw}) - 2) ELSE {raw} END"
+    return f"CASE WHEN {own} IS NOT NULL THEN {_unescaped(bare)} END"
 
 
-_INNER = "string_split(substr(part, len(tag) + 1), '</a>')[1]"
+_WS = r"\t\n\f\r "
+_ONE = rf"""[^{_WS}/>=]+(?:[{_WS}]*=[{_WS}]*(?:"[^"]*"|''[^'']*''|[^{_WS}>"''][^{_WS}>]*))?"""
+_SHOWN = rf"regexp_replace({_HTML}, '(?is)<!--.*?(?:-->|\z)|<script[{_WS}/>].*?(?:</script[{_WS}/>]|\z)|<style[{_WS}/>].*?(?:</style[{_WS}/>]|\z)', '', 'g')"
+_INNER = rf"string_split_regex(substr(part, len(tag) + 1), '</[aA](?:[{_WS}/][^>]*)?>')[1]"
 _TEXT = _unescaped(f"regexp_replace({_INNER}, '<[^>]*>', '', 'g')")
-_ANCHORS = rf"""pieces AS (SELECT page_id, url AS page_url, string_split_regex({_HTML}, '<[aA]\s')[2:] AS h FROM pages),
+_ANCHORS = rf"""pieces AS (SELECT page_id, url AS page_url, string_split_regex({_SHOWN}, '<[aA][{_WS}/]')[2:] AS h FROM pages),
 parts AS (SELECT page_id, page_url, CAST(unnest(range(0, len(h))) AS INTEGER) AS pos, unnest(h) AS part FROM pieces),
-tags AS (SELECT *, regexp_extract(part, '{R.TAG_END.replace("'", "''")}', 0) AS tag FROM parts),
-anchors AS (SELECT page_id, page_url, pos, {_attribute("href")} AS href, trim({_TEXT}) AS text, {_attribute("title")} AS title FROM tags),
+tags AS (SELECT *, regexp_extract(part, '^(?:[{_WS}/]*{_ONE})*[{_WS}/]*(?:[^{_WS}/>=]+[{_WS}]*=[{_WS}]*)?>', 0) AS tag FROM parts),
+lists AS (SELECT *, regexp_extract_all(tag, '{_ONE}') AS attributes, ' ' || chr(9) || chr(10) || chr(12) || chr(13) AS blank FROM tags),
+anchors AS (SELECT page_id, page_url, pos, {_attribute("href")} AS href, trim({_TEXT}, blank) AS text, {_attribute("title")} AS title FROM lists),
 found AS (SELECT * FROM anchors WHERE href IS NOT NULL)"""
 
 
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
     html, i = F.col("html"), F.col("page_id")
-    other = [F.regexp_replace(html, _SHAPES[0], x.replace(r"\1", "$1")) for x in _SHAPES[1:]]
-    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("page_url"), F.when(i % 3 == 1, other[0]).when(i % 3 == 2, other[1]).otherwise(html).alias("html"))
-    return R.anchors(pages, "html", "page_id", "page_url")
+    for k, shape in _SHAPES.items():
+        html = F.when(i % 8 == k, F.regexp_replace("html", _PLAIN, shape.replace(r"\1", "$1").replace(r"\2", "$2"))).otherwise(html)
+    return R.anchors(table(spark, d, "pages").select("page_id", F.col("url").alias("page_url"), html.alias("html")), "html", "page_id", "page_url")
 
 
 @query(f"WITH {_ANCHORS} SELECT page_id, pos, href, text, title FROM found")
