@@ -24,8 +24,31 @@ def rejects(links: DataFrame, pattern: str, href: str = "url") -> DataFrame:
 
 
 def first_wins(hits: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row of each key in an explicit order."""
-    return hits.withColumn("rn_", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("rn_ = 1").drop("rn_")
+    """The first row of each key in an explicit order, by an aggregate: however many rows a key has, each task sends one of them."""
+    keys = [F.col(c) for c in by]
+    rest = [c for c in hits.columns if c not in by]
+    first = hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first_"))
+    return first.select(*by, "first_.*").select(*hits.columns)
+
+
+def ranked(rows: DataFrame, by: str, page: str, order: list[str | Column], name: str = "n") -> DataFrame:
+    """``rows`` with their running number within ``by``, over pages and within each page in ``order``.
+
+    Rows are counted by page and pages are added up in chunks, so a task sorts one page's rows, one chunk's pages or one
+    key's chunks, never a key's rows.
+    """
+    before = running(rows.groupBy(by, page).agg(F.count("*").alias("rows_")), by, page, "rows_", "upto_").select(by, page, (F.col("upto_") - F.col("rows_")).alias("before_"))
+    own = F.row_number().over(Window.partitionBy(by, page).orderBy(*order))
+    return rows.withColumn("own_", own).join(before, [by, page]).withColumn(name, (F.col("before_") + F.col("own_")).cast("int")).drop("own_", "before_")
+
+
+def running(pages: DataFrame, by: str, page: str, value: str, name: str, chunk: int = 1024) -> DataFrame:
+    """``pages`` (one row for each page of a key) with the running total of ``value`` over the pages, in chunks of page numbers."""
+    split = pages.withColumn("chunk_", F.floor(F.col(page) / chunk))
+    sums = split.groupBy(by, "chunk_").agg(F.sum(value).alias("sum_"))
+    base = sums.withColumn("base_", F.sum("sum_").over(Window.partitionBy(by).orderBy("chunk_")) - F.col("sum_")).drop("sum_")
+    own = F.sum(value).over(Window.partitionBy(by, "chunk_").orderBy(page))
+    return split.withColumn("own_", own).join(base, [by, "chunk_"]).withColumn(name, F.col("base_") + F.col("own_")).drop("chunk_", "own_", "base_")
 
 
 def not_held(hits: DataFrame, held: DataFrame) -> DataFrame:
@@ -55,13 +78,15 @@ def search(pages: DataFrame, hits: DataFrame, held: DataFrame, limit: int, cap:
     fresh = first_wins(not_held(seen, held), ["keyword", "id"], ["page", "pos"])
     stop = stop_pages(pages.where(F.col("page") <= cap), fresh)
     kept = fresh.join(stop, "keyword").where(F.col("stop").isNull() | (F.col("page") < F.col("stop"))).drop("stop")
-    return kept.withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy("page", "pos"))).where(F.col("n") <= limit)
+    return ranked(kept, "keyword", "page", ["pos"]).where(F.col("n") <= limit)
 
 
 def page_progress(hits: DataFrame, held: DataFrame) -> DataFrame:
     """(keyword, page, n_links, n_held, n_new, total): total is the number of new ids up to the page, itself included."""
     mark = held.select("id").distinct().withColumn("h_", F.lit(True))
-    rank = F.row_number().over(Window.partitionBy("keyword", "id").orderBy("page", "pos"))
-    seen = hits.withColumn("first_", rank == 1).join(mark, "id", "left").withColumn("h_", F.coalesce("h_", F.lit(False)))
-    pages = seen.groupBy("keyword", "page").agg(F.count("*").alias("n_links"), F.count_if("h_").alias("n_held"), F.count_if(F.col("first_") & ~F.col("h_")).alias("n_new"))
-    return pages.withColumn("total", F.sum("n_new").over(Window.partitionBy("keyword").orderBy("page")))
+    seen = hits.join(mark, "id", "left").withColumn("h_", F.coalesce("h_", F.lit(False)))
+    links = seen.groupBy("keyword", "page").agg(F.count("*").alias("n_links"), F.count_if("h_").alias("n_held"))
+    first = seen.where(~F.col("h_")).groupBy("keyword", "id").agg(F.min("page").alias("page"))
+    new = first.groupBy("keyword", "page").agg(F.count("*").alias("n_new"))
+    pages = links.join(new, ["keyword", "page"], "left").withColumn("n_new", F.coalesce("n_new", F.lit(0).cast("long")))
+    return running(pages, "keyword", "page", "n_new", "total")

@@ -15,6 +15,7 @@ from tidemill.operators import hits as H
 from tidemill.operators import outcomes as O
 from tidemill.operators import pages as P
 from tidemill.operators import status as S
+from tidemill.operators import turns as U
 from tidemill.sources import readers as R
 from tidemill.sources.sinks import result_lines
 
@@ -142,13 +143,10 @@ ranked AS (SELECT keyword, page, pos, id, {_TITLE} AS title, CAST(row_number() O
 SELECT lim, keyword, page, pos, id, title, n FROM ranked JOIN (VALUES (-1), (0), (3), (20)) v(lim) ON n <= lim""")
 def limits(spark, d):
     short, held = _short(spark, d), table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 2)).alias("id"))
-    # One page, so that only the limit ends the search.
-    one = short.select("keyword").distinct().withColumn("page", F.lit(1))
-    found = [H.search(one, short.withColumn("pos", F.struct("page", "pos")).withColumn("page", F.lit(1)), held, n, CAP).withColumn("lim", F.lit(n)) for n in (-1, 0, 3, 20)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select("lim", "keyword", "pos.page", "pos.pos", "id", "title", "n")
+    # Without a page cap or page stop only the limit ends the search; it is ranked once for all limits.
+    fresh = H.first_wins(H.not_held(short, held), ["keyword", "id"], ["page", "pos"])
+    n = H.ranked(fresh, "keyword", "page", ["pos"]).withColumn("lim", F.explode(F.array(*map(F.lit, (-1, 0, 3, 20)))))
+    return n.where(F.col("n") <= F.col("lim")).select("lim", "keyword", "page", "pos", "id", "title", "n")
 
 
 @query(f"WITH {_LINKS} SELECT keyword, id, min(page_id) AS page_id FROM links GROUP BY ALL")
@@ -471,11 +469,8 @@ def _turns() -> str:
 @query(_turns())
 def keyword_turns(spark, d):
     pages, links = _paged(spark, d)
-
-    def step(k, held):
-        return H.search(pages.where(F.col("keyword") == k).select("keyword", "page"), links.where(F.col("keyword") == k), held, LIMIT, CAP)
-
-    return O.fold(list(_TURNS), _held(spark, d), step)
+    turns = spark.createDataFrame(list(enumerate(_TURNS)), "turn long, keyword string")
+    return U.in_turn(pages.select("keyword", "page"), links, _held(spark, d), turns, LIMIT, CAP).select("keyword", F.col("page").cast("int").alias("page"), "pos", "id", "n")
 
 
 @query("SELECT doc_id, 'no valid document pages' AS reason FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
