@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +51,22 @@ def in_ranges(rows: DataFrame, order: list[str | Column], rows_each: int, name:
     n = max(1, -(-(rows.count() if n_rows is None else n_rows) // rows_each))
     dealt = rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)
     return stored(dealt.withColumn(number, F.spark_partition_id().cast("long")), name), n
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: classes that run there are found by import."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="tidemill-"))
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    zipped = made / f"tidemill_{uuid.uuid4().hex[:12]}.zip"
+    with zipfile.ZipFile(zipped, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(zipped))
+    _shipped.add(app)

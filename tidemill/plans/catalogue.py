@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import text as T
 from tidemill.operators import hits as H
+from tidemill.operators import machine as M
 from tidemill.operators import outcomes as O
 from tidemill.operators import pages as P
 from tidemill.operators import status as S
@@ -501,3 +502,26 @@ def usable_selector(spark, d):
     size = lambda name, w, h: F.struct(F.lit(name).alias("name"), w.cast("double").alias("width"), h.cast("double").alias("height"))
     elements = F.array(size("a", n - 25, price - 1000), size("b", n - 10, F.lit(1)), size("c", F.lit(1), price - 1200))
     return table(spark, d, "part").select("p_partkey", T.first_usable(elements, "name").alias("selector"))
+
+
+def _tasks(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", "ts", F.expr(_ASKED).alias("status"))
+
+
+_ASKED = "CASE event_type WHEN 'view' THEN 'searching' WHEN 'click' THEN 'downloading' WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'stopped' ELSE event_type END"
+_MAY = " OR ".join(f"(s = '{a}' AND t IN ({', '.join(map(repr, to))}))" for a, to in M.LEGAL.items())
+_MACHINE = f"""RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, {_ASKED} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w(user_id, i, event_id, before, after, rejected) AS (
+SELECT user_id, 0, CAST(NULL AS BIGINT), '', 'ready', false FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.i, e.event_id, w.after, CASE WHEN {_MAY.replace("s =", "w.after =").replace("t IN", "e.status IN")} THEN e.status ELSE w.after END, NOT coalesce({_MAY.replace("s =", "w.after =").replace("t IN", "e.status IN")}, false)
+FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)"""
+
+
+@query(f"WITH {_MACHINE} SELECT user_id, arg_max(after, i) AS state, CAST(count(*) FILTER (rejected) AS BIGINT) AS n_rejected FROM w GROUP BY 1")
+def task_machine(spark, d):
+    return M.final_states(_tasks(spark, d), "user_id", ["ts", "event_id"], "status")
+
+
+@query(f"WITH {_MACHINE} SELECT user_id, event_id, before, after, rejected FROM w WHERE i > 0")
+def task_transitions(spark, d):
+    return M.transitions(_tasks(spark, d), "user_id", ["ts", "event_id"], "status").select("user_id", "event_id", "before", "after", "rejected")
