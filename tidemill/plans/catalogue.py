@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as T
+from tidemill.operators import asof as A
 from tidemill.operators import hits as H
 from tidemill.operators import machine as M
 from tidemill.operators import outcomes as O
 from tidemill.operators import pages as P
 from tidemill.operators import status as S
+from tidemill.operators import summaries as Z
 from tidemill.operators import turns as U
 from tidemill.sources import readers as R
 from tidemill.sources.sinks import result_lines
+from tidemill.streaming import tasks as K
 
 PATTERN = r"^https?://[^/?#]+/(en|fr|de|es)/(\d+)"
 PREFIX = "https://www.example.org/document"
@@ -525,3 +528,56 @@ def task_machine(spark, d):
 @query(f"WITH {_MACHINE} SELECT user_id, event_id, before, after, rejected FROM w WHERE i > 0")
 def task_transitions(spark, d):
     return M.transitions(_tasks(spark, d), "user_id", ["ts", "event_id"], "status").select("user_id", "event_id", "before", "after", "rejected")
+
+
+# Messages of tasks: conversations have no times, so that of a message is a second of January 2024 by its numbers.
+_SECOND = "(conv_id * 7919 + turn * 61) % 2592000"
+_MESSAGES = f"m AS (SELECT DISTINCT conv_id, turn, conv_id % 150 AS user_id, make_timestamp(2024, 1, 1, 0, 0, 0) + INTERVAL 1 SECOND * CAST({_SECOND} AS INTEGER) AS ts FROM conversations)"
+
+
+def _messages(spark, d):
+    m = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    return m.withColumn("user_id", F.col("conv_id") % 150).withColumn("ts", F.timestamp_seconds(F.expr(f"unix_timestamp(timestamp '2024-01-01 00:00:00') + {_SECOND}")).cast("timestamp_ntz"))
+
+
+@query(f"""WITH {_MESSAGES}, e AS (SELECT user_id, ts, max({_ASKED}) AS status FROM events GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.user_id, e.status FROM m ASOF LEFT JOIN e ON m.user_id = e.user_id AND m.ts >= e.ts""")
+def state_at_message(spark, d):
+    states = _tasks(spark, d).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status")
+    return A.as_of(_messages(spark, d), states, "user_id", "ts", "status").select("conv_id", "turn", "user_id", "status")
+
+
+@query(f"""WITH {_MESSAGES}, r AS (SELECT event_id, user_id % 100 AS team, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60) AS BIGINT) * 1000000 AS e FROM events WHERE event_type = 'purchase')
+SELECT m.conv_id, m.turn, r.event_id FROM m JOIN r ON m.user_id % 100 = r.team AND r.s <= epoch_us(m.ts) AND epoch_us(m.ts) < r.e""")
+def messages_in_runs(spark, d):
+    """A run lasts as many minutes from its event as the event's value says; messages meet the runs of their team."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    points = _messages(spark, d).select("conv_id", "turn", (F.col("user_id") % 100).alias("team"), micros("ts").alias("at"))
+    runs = table(spark, d, "events").where("event_type = 'purchase'").select("event_id", (F.col("user_id") % 100).alias("team"), micros("ts").alias("s"), (micros("ts") + F.floor(F.col("value") * 60) * 1_000_000).alias("e"))
+    return A.inside_intervals(points, runs, "team", "at", "s", "e").select("conv_id", "turn", "event_id")
+
+
+@query("""WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), b AS (SELECT user_id, ts FROM events WHERE event_type = 'click')
+SELECT event_id, b.ts AS loaded_at, b.ts IS NULL AS timed_out FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR""")
+def page_loads(spark, d):
+    e = table(spark, d, "events")
+    asked = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("asked_at"), "event_id")
+    loaded = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("loaded_at"))
+    return K.page_loads(asked, loaded, ["user_id"], "6 hours").select("event_id", "loaded_at", "timed_out")
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM b GROUP BY user_id, k""")
+def task_sessions(spark, d):
+    return K.sessions(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", gap="12 hours")
+
+
+@query(f"""WITH {_LINKS}, h AS (SELECT CAST(item_id AS VARCHAR) AS id FROM benchmark)
+SELECT keyword, count(DISTINCT id) AS n_seen, count(DISTINCT id) FILTER (id IN (SELECT id FROM h)) AS n_held, count(DISTINCT id) FILTER (id NOT IN (SELECT id FROM h)) AS n_new FROM links GROUP BY 1""")
+def seen_summaries(spark, d):
+    """Summaries of seven days put together; exact up to 4096 ids of a keyword, estimates beyond."""
+    days = Z.summarised(_hits(spark, d).withColumn("day", F.col("page_id") % 7), ["keyword", "day"])
+    seen = Z.added_up(days, ["keyword"])
+    s, h = F.col("summary"), Z.summarised(_held(spark, d), []).scalar()
+    return seen.select("keyword", Z.counted(s).alias("n_seen"), Z.shared(s, h).alias("n_held"), Z.missing(s, h).alias("n_new"))

@@ -82,13 +82,13 @@ def with_state_store(spark: SparkSession) -> SparkSession:
 
 
 def page_loads(asked: DataFrame, loaded: DataFrame, by: list[str], patience: str = "120 seconds", late: str = "10 minutes") -> DataFrame:
-    """Each asked page with the time of the load that came within ``patience``; null, and ``timed_out``, where none came.
+    """Each row of ``asked`` with the time of the load that came within ``patience``; null, and ``timed_out``, where none came.
 
-    ``asked`` has ``by`` and asked_at, ``loaded`` ``by`` and loaded_at. On streams a page that never loads is told once, as soon as
+    ``asked`` has ``by``, asked_at and more, ``loaded`` ``by`` and loaded_at. On streams a page that never loads is told once, as soon as
     both watermarks have passed its deadline; write in append mode. State holds what lies within patience and lateness. On
     tables the same join gives the same rows. Of several loads in time each gives a row.
     """
-    a = asked.select(*by, "asked_at")
+    a = asked
     b = loaded.select(*(F.col(c).alias(f"{c}_") for c in by), "loaded_at")
     if asked.isStreaming:
         a, b = a.withWatermark("asked_at", late), b.withWatermark("loaded_at", late)
@@ -96,7 +96,7 @@ def page_loads(asked: DataFrame, loaded: DataFrame, by: list[str], patience: str
     for c in by:
         same = same & (F.col(c) == F.col(f"{c}_"))
     inside = (F.col("loaded_at") >= F.col("asked_at")) & (F.col("loaded_at") <= F.col("asked_at") + F.expr(f"INTERVAL {patience}"))
-    return a.join(b, same & inside, "left_outer").select(*by, "asked_at", "loaded_at", F.col("loaded_at").isNull().alias("timed_out"))
+    return a.join(b, same & inside, "left_outer").select(*asked.columns, "loaded_at", F.col("loaded_at").isNull().alias("timed_out"))
 
 
 def sessions(events: DataFrame, by: str, ts: str = "ts", number: str = "event_id", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
