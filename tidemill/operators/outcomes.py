@@ -37,10 +37,12 @@ def counters(outcomes: DataFrame, by: str, order: str = "ord") -> DataFrame:
 
 def overall(stats: DataFrame, order: str = "ord", stopped: str = "stopped") -> DataFrame:
     """One row over all keywords, in their order: the keyword at which the run was stopped still counts as processed, those behind it do not."""
-    first = stats.agg(F.min(F.when(F.col(stopped), F.col(order)))).first()[0]
-    done = F.lit(True) if first is None else F.col(order) <= F.lit(first)
+    # One number, found by a subquery of the same plan.
+    first = stats.agg(F.min(F.when(F.col(stopped), F.col(order)))).scalar()
+    rows = stats.withColumn("first_", first)
+    done = F.coalesce(F.col(order) <= F.col("first_"), F.lit(True))
     total = {f"total_{name}": F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("long") for name, c in (("downloaded", "success"), ("skipped", "skipped"), ("failed", "failed"))}
-    return stats.agg(F.count("*").alias("total_keywords"), F.count_if(done).alias("processed_keywords"), *(c.alias(k) for k, c in total.items()), F.lit(first is not None).alias("stopped"))
+    return rows.agg(F.count("*").alias("total_keywords"), F.count_if(done).alias("processed_keywords"), *(c.alias(k) for k, c in total.items()), F.coalesce(F.bool_or(F.col(stopped)), F.lit(False)).alias("stopped"))
 
 
 def before_stop(rows: DataFrame, by: str, order: str, stop: str) -> DataFrame:
@@ -53,7 +55,8 @@ def fold(keywords: list[str], held: DataFrame, step: Callable[[str, DataFrame],
     """Keywords one after another over a shared folder: what one takes is held for the next.
 
     ``step(keyword, held)`` gives rows with an id. The result depends on the order of the keywords, by design: what a keyword
-    may take, and where its pages end, depends on all before it. Each step's rows are written to the checkpoint folder
+    may take, and where its pages end, depends on all before it. For searches of many keywords see ``turns.in_turn``, which
+    needs no job for each; this is for any other ``step``. Each step's rows are written to the checkpoint folder
     once, so held ids are files, and a step's plan grows by one scan for each keyword before it.
     """
     if not keywords:

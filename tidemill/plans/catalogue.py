@@ -5,11 +5,13 @@ The tables have no search pages or outcomes of their own; each query binds the o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.cluster import shared_dir
 from tidemill.functions import text as T
 from tidemill.operators import asof as A
 from tidemill.operators import hits as H
@@ -21,6 +23,7 @@ from tidemill.operators import summaries as Z
 from tidemill.operators import turns as U
 from tidemill.sources import readers as R
 from tidemill.sources.sinks import result_lines
+from tidemill.streaming import events as E
 from tidemill.streaming import tasks as K
 
 PATTERN = r"^https?://[^/?#]+/(en|fr|de|es)/(\d+)"
@@ -581,3 +584,14 @@ def seen_summaries(spark, d):
     seen = Z.added_up(days, ["keyword"])
     s, h = F.col("summary"), Z.summarised(_held(spark, d), []).scalar()
     return seen.select("keyword", Z.counted(s).alias("n_seen"), Z.shared(s, h).alias("n_held"), Z.missing(s, h).alias("n_new"))
+
+
+@query("SELECT conv_id, turn, role, text, CASE WHEN turn % 5 = 3 THEN 'fallback' ELSE 'sink' || CAST(turn % 5 AS VARCHAR) END AS sink FROM conversations")
+def drained(spark, d):
+    """The table as a stream of messages, drained into a folder for each sink, and what lies there then."""
+    rows = table(spark, d, "conversations")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{d}/conversations.parquet*").withColumn("thread", F.col("turn") % 5)
+    registry = spark.range(5).where("id <> 3").select(F.col("id").alias("thread"), F.concat(F.lit("sink"), F.col("id").cast("string")).alias("sink"))
+    at = f"{shared_dir(spark)}/tidemill/drained-{uuid.uuid4().hex}"
+    E.drain(stream, registry, "thread", "fallback", f"{at}/out", f"{at}/checkpoint", every=None).awaitTermination()
+    return spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in rows.dtypes)}, thread long, sink string").json(f"{at}/out").select("conv_id", "turn", "role", "text", "sink")

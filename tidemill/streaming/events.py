@@ -19,7 +19,8 @@ def counted(events: DataFrame, by: str, ts: str = "ts", width: str = "1 minute",
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
-def drain(messages: DataFrame, registry: DataFrame, key: str, default: str, path: str, checkpoint: str, every: str = "50 milliseconds") -> StreamingQuery:
-    """Route a stream of messages to a folder for each sink, in micro-batches."""
+def drain(messages: DataFrame, registry: DataFrame, key: str, default: str, path: str, checkpoint: str, every: str | None = "50 milliseconds") -> StreamingQuery:
+    """Route a stream of messages to a folder for each sink, in micro-batches; without ``every`` until what is there now is drained."""
     out = routed(messages, registry, key, default)
-    return out.writeStream.partitionBy("sink").format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return out.writeStream.partitionBy("sink").format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
