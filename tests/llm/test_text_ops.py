@@ -270,35 +270,59 @@ def test_license_base(spark, docs, real, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def _chain(hits):
+    """The longest chain of (place in the text, place in the template), rising in both."""
+    best = []
+    for p, q in sorted(hits, key=lambda h: (h[1], h[0])):
+        best.append((1 + max((n for n, a, b in best if a < p and b < q), default=0), p, q))
+    return max((n for n, _, _ in best), default=0)
+
+
 def _license_labels(text, phrases=licenses.PHRASES, templates=licenses.TEMPLATES):
-    """(labels, score) by brute force: diagonals of equal two-word windows, neighbours merged, distinct windows counted."""
+    """(labels, score) by alignment: of all stretches of the text that are near a diagonal the one with the longest chain of equal windows."""
     low = (text or "").translate({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     labels, score = set(), 0.0
     for t, (words, label) in enumerate((*phrases, *templates)):
-        v, diagonals = words.split(), {}
-        for p in range(len(w) - 1):
-            for q in range(len(v) - 1):
-                if w[p : p + 2] == v[q : q + 2]:
-                    diagonals.setdefault(p - q, set()).add(q)
-        spans, last = [], None
-        for d in sorted(diagonals):
-            if last is None or d - last > licenses.SLACK:
-                spans.append(set())
-            spans[-1] |= diagonals[d]
-            last = d
+        v, places = words.split(), {}
+        for q in range(len(v) - 1):
+            places.setdefault(tuple(v[q : q + 2]), []).append(q)
+        hits = [(p, q) for p in range(len(w) - 1) for q in places.get(tuple(w[p : p + 2]), ())]
         if t < len(phrases):
-            if any(len(q) == len(v) - 1 for q in diagonals.values()):
-                labels.add(label)
-                score = 1.0
+            share = float(any(w[p : p + len(v)] == v for p in range(len(w))))
         else:
-            for share in (len(q) / (len(v) - 1) for q in spans):
-                if share >= licenses.MIN_SHARE:
-                    labels.add(label)
-                    score = max(score, share)
+            starts = sorted({p - q for p, q in hits})
+            share = max((_chain([(p, q) for p, q in hits if d <= p - q <= d + licenses.SLACK]) for d in starts), default=0) / (len(v) - 1)
+            share = share if share >= licenses.MIN_SHARE else 0.0
+        if share:
+            labels.add(label)
+            score = max(score, share)
     return ",".join(sorted(labels)), score
 
 
+def test_license_windows_out_of_order(spark):
+    """A template's windows backward, shuffled, apart or mixed with another's give no label; the template does, with words put in or left out."""
+    rng = np.random.default_rng(3)
+    plain = [t for t in licenses.TEMPLATES if len(t[0].split()) > 8]
+    bad, good = [], []
+    for words, label in plain:
+        v = words.split()
+        windows = [" ".join(v[i : i + 2]) for i in range(len(v) - 1)]
+        bad += [" ".join(windows[::-1]), " ".join(f"{x} and" for x in windows)]
+        bad += [" ".join(rng.permutation(windows)) for _ in range(5)]
+        other = plain[(plain.index((words, label)) + 1) % len(plain)][0].split()
+        bad.append(" ".join(x for p in zip(windows, [" ".join(other[i : i + 2]) for i in range(len(other) - 1)]) for x in p))
+        for at in (4, 7):
+            good += [(label, " ".join(v[:at] + ["really"] + v[at:])), (label, " ".join(v[:at] + v[at + 1 :])), (label, words), (label, " ".join(windows[::-1]) + " so " + words)]
+    made = spark.createDataFrame(list(enumerate(bad + [x for _, x in good])), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(made).collect()}
+    assert all(got[i].labels == "" and got[i].score == 0 for i in range(len(bad)))
+    for i, (label, text) in enumerate(good, len(bad)):
+        assert label in got[i].labels.split(",") and got[i].score >= licenses.MIN_SHARE
+        size = len(dict((b, a) for a, b in licenses.TEMPLATES)[label].split())
+        assert all(x.hi - x.lo <= size + licenses.SLACK for x in got[i].spans if x.label == label)
+
+
 def test_license_labels_equal_brute_force(spark, docs, real):
     rng = np.random.default_rng(6)
     texts = ["of charge " * 15, "the terms of " * 15, "Permission is hereby granted, free of charge, " * 3, "ÄCC BY all rights reserved", "redistribution and use in source and in binary forms with or without modification are " * 2]
@@ -330,7 +354,7 @@ def test_long_templates_take_several_marks(spark):
 def test_license_spans_merge(spark):
     d = spark.createDataFrame([(1, "x licensed under the really apache license version 2 0 y"), (2, "licensed under the sun")], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(d).collect()}
-    assert got[1].labels == "apache-2.0" and 0.7 < got[1].score < 1 and got[1].spans[0].lo == 1
+    assert got[1].labels == "apache-2.0" and 0.7 < got[1].score < 1 and [(x.lo, x.hi) for x in got[1].spans] == [(1, 9)]
     assert got[2].labels == "" and got[2].score == 0.0
 
 
