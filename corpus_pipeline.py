@@ -32,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = simjoin.classes(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "class_id").distinct()
     ids = docs.select(key.alias("key"), id_.alias("id")).distinct()
     first = classes.join(ids, "key").groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("first.key")
-    rows = docs.select(key.alias("key"), row.alias("row")).join(first, "key", "left_semi")
-    return rows.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    # Documents whose 64-bit keys happen to be equal are told apart by their ids and the digests of their texts.
+    rows = docs.select(key.alias("key"), id_.alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), row.alias("row")).join(first, "key", "left_semi")
+    return rows.groupBy("key", "id", "digest").agg(F.first("row").alias("row")).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
