@@ -228,7 +228,7 @@ def _topk(rows, k):
     v = {}
     out = []
     for i, x in rows:
-        if i is not None and x and all(c is not None and np.isfinite(c) and np.isfinite(256 * c) for c in x):
+        if i is not None and x is not None and all(c is not None and np.isfinite(c) and np.isfinite(256 * c) for c in x):
             v.setdefault(i, []).append([int(np.floor(256 * c)) for c in x])
     for q in sorted(v):
         if q % 50 == 0:
@@ -241,7 +241,7 @@ def _topk(rows, k):
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 0.2, 8).round(2 if i % 2 else 6).tolist()) for i in range(300)]
-    rows += [(300 + i, rows[0][1]) for i in range(20)] + [(350, [0.5, -1.0]), (351, None), (352, []), (353, [1.0, None]), (354, [float("nan")] * 8), (355, [float("inf")] * 8), (356, [1e300] * 8), (357, [1e6, 0.0]), (358, [-1e6] * 8), (359, [1.7e308] * 8), (360, [3e5] * 8), (500, [1e7] * 3), (550, [-1e7, 2e6]), (361, [1e9, 1e-3]), (400, [0.0] * 8), (None, [1.0] * 8), (7, rows[7][1]), (450, [30.0, -2.0])]
+    rows += [(300 + i, rows[0][1]) for i in range(20)] + [(350, [0.5, -1.0]), (351, None), (352, []), (353, [1.0, None]), (354, [float("nan")] * 8), (355, [float("inf")] * 8), (356, [1e300] * 8), (357, [1e6, 0.0]), (358, [-1e6] * 8), (359, [1.7e308] * 8), (360, [3e5] * 8), (500, [1e7] * 3), (550, [-1e7, 2e6]), (361, [1e9, 1e-3]), (400, [0.0] * 8), (600, []), (None, [1.0] * 8), (7, rows[7][1]), (450, [30.0, -2.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     want = _topk(rows, 5)
     for block in (16_384, 40):

@@ -201,10 +201,10 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, k_positive: int =
     rows = stored(whole(vectors, scale, key, vector, label), "negatives-rows")
     n = rows.count()
     parts = max(1, -(-n // tile_rows), min(spark.sparkContext.defaultParallelism, -(-n // 512)))
-    held = stored(_numbered(tiles(rows.repartition(parts), tile_rows), "part"), "negatives-tiles")
+    held = stored(numbered(tiles(rows.repartition(parts), tile_rows), "part"), "negatives-tiles")
     asked = rows.where(is_anchor).dropDuplicates(["id", "label", "v"])
     n_asked = asked.count()
-    anchors = stored(_numbered(tiles(asked.repartition(max(1, -(-n_asked // anchor_rows))), anchor_rows), "tile"), "negatives-anchors")
+    anchors = stored(numbered(tiles(asked.repartition(max(1, -(-n_asked // anchor_rows))), anchor_rows), "tile"), "negatives-anchors")
     n_rows, n_anchors = held.count(), anchors.count()
     empty = spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     if not n_rows or not n_anchors:
@@ -229,7 +229,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, k_positive: int =
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k_negative).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
-def _numbered(found: DataFrame, name: str) -> DataFrame:
+def numbered(found: DataFrame, name: str) -> DataFrame:
     """With a running number over all rows, a few thousand components each: as many rows as tiles."""
     kept = stored(found.withColumn("at_", F.monotonically_increasing_id()), "negatives-numbered")
     places = kept.select("at_").withColumn(name, (F.row_number().over(Window.orderBy("at_")) - 1).cast("long"))

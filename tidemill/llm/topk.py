@@ -8,15 +8,16 @@ among the k best. Quantising both sides leaves an error below a bound that is kn
 within it of the k-th are boundary rows, and these alone are scored with whole integers. No row that belongs in the result
 can be lost.
 
-The index is stored once, a row for each block. Queries go to it in portions of at most ``SENT_BYTES``, which are
-broadcast; no block is shuffled. Only where there are fewer blocks than cores is a block dealt out to several tasks, each
-with its share of the queries. Each block gives at most k rows a query.
+The index is stored once, a row for each block, and so are the queries. Every block of the index meets every block of queries in a
+group of its own, which holds these two blocks and nothing else; no query passes through the driver, and none is broadcast.
+Each pair gives at most k rows a query. Where blocks are fewer than cores, queries lie in smaller blocks.
 
-Vectors that are null, empty, or hold null or non-finite components (before or after scaling) take no part, nor does a
-null id. Components of any size are exact: rows or queries with one beyond 2**26 after scaling (``wide``) are kept in
+Vectors that are null or hold null or non-finite components (before or after scaling) take no part, nor does a null id; an
+empty vector scores 0. Components of any size are exact: rows or queries with one beyond 2**26 after scaling (``wide``) are kept in
 blocks of their own and scored in Python integers. Ranks are by the exact score; a score beyond a long is returned as the
 nearest long. Shorter vectors count as padded with zeros. Candidates of a query are all rows with another id; repeated rows
-are candidates each, and equal queries are answered once. Ties go to the smaller id.
+are candidates each, and equal queries are answered once. Ties go to the smaller id. An empty table gives no rows; columns other than
+id and vector are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import ship, stored, table
+from tidemill.llm.negatives import MOST_PARTITIONS, numbered
 
-#: Rows of a block (bounded by bytes too, for long vectors), and bytes of queries that are broadcast at once.
-BLOCK_ROWS, BLOCK_BYTES, SENT_BYTES = 32_768, 32 << 20, 32 << 20
+#: Rows of a block and of one of queries (bounded by bytes too, for long vectors).
+BLOCK_ROWS, BLOCK_BYTES, QUERY_ROWS, SENT_BYTES = 32_768, 32 << 20, 1024, 8 << 20
 SLICES, WEIGHT_BITS, MOST = 6, 4, 1 << 26
 #: Slack for the rounding of the error bound itself.
 ROUNDING = 1 + 1e-9
@@ -141,6 +143,9 @@ class BitSliced:
 
 def top(index: BitSliced, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int]]:
     """(ids, scores) of the k best rows but ``own``; ties to the smaller id."""
+    if not len(q):  # a query or rows without components: all score 0
+        least = np.sort(ids[ids != own])[:k]
+        return least, [0] * len(least)
     copies = int((ids == own).sum())
     rows = index.boundary(q, k + copies)
     rows = rows[ids[rows] != own]
@@ -158,25 +163,25 @@ def top(index: BitSliced, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> t
 def quantised(vectors: DataFrame, scale: float, key: str, vector: str) -> DataFrame:
     """(id, wide, v): whole components, as doubles, of the rows that take part."""
     x = F.col("x")
-    v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).where(x.isNotNull() & F.col("id").isNotNull() & (F.size(x) > 0))
+    v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).where(x.isNotNull() & F.col("id").isNotNull())
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < float("inf")))
     # The floor of a double beyond 2**53 is that double; Spark's floor would cut it to a long.
     whole = F.transform("x", lambda c: F.when(F.abs(c * scale) < float(1 << 53), F.floor(c * scale).cast("double")).otherwise(c * scale))
     return v.where(fine).select("id", F.exists(x, lambda c: F.abs(c * scale) > MOST).alias("wide"), whole.alias("v"))
 
 
-def _matrix(raw: bytes, dim: int, wide: bool) -> np.ndarray:
+def _matrix(raw: bytes, n: int, dim: int, wide: bool) -> np.ndarray:
     """Integers of a block: 32-bit where they fit, else doubles that are whole, as Python integers."""
     if not wide:
-        return np.frombuffer(zlib.decompress(raw), "<i4").reshape(-1, dim).astype(np.int64)
+        return np.frombuffer(zlib.decompress(raw), "<i4").reshape(n, dim).astype(np.int64)
     flat = np.frombuffer(zlib.decompress(raw), "<f8")
     out = np.empty(len(flat), object)
     out[:] = [int(v) for v in flat.tolist()]
-    return out.reshape(-1, dim)
+    return out.reshape(n, dim)
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows as blocks of at most ``size`` and some BLOCK_BYTES: (wide, ids, dim, x)."""
+def blocks(rows: DataFrame, size: int, most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows as blocks of at most ``size`` and some ``most_bytes``: (wide, ids, dim, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list] = {False: [], True: []}
@@ -196,7 +201,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
             for i, (id_, wide) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 held[wide].append((id_, flat[off[i] : off[i + 1]].copy()))
                 words[wide] += int(off[i + 1] - off[i])
-                if len(held[wide]) >= size or words[wide] * 8 >= BLOCK_BYTES:
+                if len(held[wide]) >= size or words[wide] * 8 >= most_bytes:
                     yield out(wide)
         for wide in (False, True):
             if held[wide]:
@@ -205,41 +210,30 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "wide boolean, ids binary, dim int, x binary")
 
 
-def _portions(queries: DataFrame, most: int) -> Iterator[list[tuple[bool, bytes, int, bytes]]]:
-    """The stored blocks of queries in portions of about ``most`` bytes, read one partition at a time."""
-    held, size = [], 0
-    for r in queries.toLocalIterator():
-        if held and size + len(r["ids"]) + len(r["x"]) > most:
-            yield held
-            held, size = [], 0
-        held.append((r["wide"], bytes(r["ids"]), r["dim"], bytes(r["x"])))
-        size += len(r["ids"]) + len(r["x"])
-    if held:
-        yield held
-
-
-def _best(index: DataFrame, portion: list[tuple[bool, bytes, int, bytes]], shares: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): of each task's blocks the k best rows of each query of the portion."""
-    sent = index.sparkSession.sparkContext.broadcast(portion)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [(own, q) for wide, ids, dim, x in sent.value for own, q in zip(np.frombuffer(ids, "<i8").tolist(), _matrix(x, dim, wide), strict=True)]
-        best: dict[int, list[tuple[int, int]]] = {}  # of a query's place: (-score, id)
-        for b in batches:
-            for wide, ids, dim, x, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, x = np.frombuffer(ids, "<i8"), _matrix(x, dim, wide)
-                sliced: dict[int, BitSliced] = {}  # queries may be shorter than rows
-                for i in range(share, len(asked), shares):
-                    own, q = asked[i]
-                    both = min(dim, len(q))
-                    if both not in sliced:
-                        sliced[both] = BitSliced(x[:, :both])
-                    got = [(-s, v) for v, s in zip(*top(sliced[both], ids, q[:both], own, k), strict=True)]
-                    best[i] = sorted(best.get(i, []) + got)[:k]
-        flat = [(asked[i][0], v, -s) for i, rows in best.items() for s, v in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.int64()), pa.array([str(r[2]) for r in flat], pa.string())], ["query_id", "vec_id", "score"])
-
-    return index.select("wide", "ids", "dim", "x", "share").mapInArrow(run, "query_id long, vec_id long, score string")
+def _best(index: DataFrame, queries: DataFrame, n_index: int, n_queries: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of each block of ``index`` (part) the k best rows of each query of each block of ``queries`` (tile)."""
+
+    def run(_: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        flat = []
+        for wide, raw, dim, x in zip(*(rows.column(c).to_pylist() for c in ("wide", "ids", "dim", "x")), strict=True):
+            ids = np.frombuffer(raw, "<i8")
+            x = _matrix(x, len(ids), dim, wide)
+            sliced: dict[int, BitSliced] = {}  # queries may be shorter than rows
+            for wide_q, raw_q, dim_q, q in zip(*(asked.column(c).to_pylist() for c in ("wide", "ids", "dim", "x")), strict=True):
+                own = np.frombuffer(raw_q, "<i8")
+                both = min(dim, dim_q)
+                if both not in sliced:
+                    sliced[both] = BitSliced(x[:, :both])
+                for i, v in zip(own.tolist(), _matrix(q, len(own), dim_q, wide_q), strict=True):
+                    flat += [(i, j, str(s)) for j, s in zip(*top(sliced[both], ids, v[:both], i, k), strict=True)]
+        return pa.table({c: pa.array([r[n] for r in flat], t) for n, (c, t) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.string())))})
+
+    left = index.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
+    right = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_index - 1).cast("long"))))
+    # A partition for each pair: few bytes are much work, so they must not be put together.
+    n = min(n_index * n_queries, MOST_PARTITIONS)
+    left, right = (side.repartition(n, "tile", "part").groupBy("tile", "part") for side in (left, right))
+    return left.cogroup(right).applyInArrow(run, "query_id long, vec_id long, score string")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, sent_bytes: int = SENT_BYTES) -> DataFrame:
@@ -248,19 +242,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     ship(spark)
     rows = quantised(vectors, scale, key, vector)
     # Small partitions make small blocks; whole ones are made of as few partitions as hold them.
-    index = stored(blocks(rows.coalesce(max(1, -(-rows.count() // block_rows))), block_rows), "index")
-    n_blocks = index.count()
-    shares = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, n_blocks)))  # tasks that one block is dealt out to
-    dealt = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    if n_blocks and shares > 1:
-        dealt = dealt.repartition(n_blocks * shares)
-    queries = stored(blocks(rows.where(is_query).dropDuplicates(["id", "v"]), block_rows), "queries")
-    found = None
-    for portion in _portions(queries, sent_bytes):
-        part = stored(_best(dealt, portion, shares, k), "found")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    index = stored(numbered(blocks(rows.coalesce(max(1, -(-rows.count() // block_rows))), block_rows), "part"), "index")
+    asked = stored(rows.where(is_query).dropDuplicates(["id", "v"]), "asked")
+    n_index, n_asked = index.count(), asked.count()
+    if not n_index or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    each = min(QUERY_ROWS, max(8, -(-n_asked * n_index // (2 * spark.sparkContext.defaultParallelism))))
+    queries = stored(numbered(blocks(asked.repartition(-(-n_asked // each)), each, sent_bytes), "tile"), "queries")
+    found = _best(index, queries, n_index, queries.count(), k)
     # Scores may be longer than a long: by sign, number of digits and digits they order like the integers.
     number = F.col("score").try_cast("decimal(38,0)")
     minus, digits = F.col("score").startswith("-"), F.ltrim(F.col("score"), F.lit("-"))
@@ -278,8 +267,8 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS score
       FROM r q JOIN r c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, CAST(least(greatest(score, -9223372036854775808), 9223372036854775807) AS BIGINT) AS score FROM k WHERE rank <= 5
