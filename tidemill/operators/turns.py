@@ -25,11 +25,13 @@ def candidates(pages: DataFrame, hits: DataFrame, held: DataFrame, turns: DataFr
     """
     own = turns.select("turn", "keyword", *(["lim"] if "lim" in turns.columns else [F.lit(limit).alias("lim")])).where("lim > 0")
     listed = pages.where(F.col("page") <= cap).select("keyword", "page").distinct().join(own.select("turn", "keyword"), "keyword").select("turn", "page", F.lit(True).alias("listed"))
+    listed = stored(listed, "turns-pages")  # this and the next two are read several times
     seen = not_held(hits.where(F.col("page") <= cap).select("keyword", "page", "pos", "id"), held).join(own, "keyword")
-    first = stored(first_wins(seen, ["turn", "id"], ["page", "pos"]), "turns-first")  # read several times
+    first = stored(first_wins(seen, ["turn", "id"], ["page", "pos"]), "turns-first")
     some = first.select("turn", "page").distinct().withColumn("some", F.lit(True))
     dry = listed.join(some, ["turn", "page"], "left").where("some IS NULL").groupBy("turn").agg(F.min("page").alias("dry"))
     open_ = first.join(dry, "turn", "left").where("dry IS NULL OR page < dry").drop("dry").join(listed, ["turn", "page"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    open_ = stored(open_, "turns-open")
     private = open_.join(open_.groupBy("id").agg(F.count("*").alias("n_turns")).where("n_turns = 1").select("id"), "id", "left_semi")
     last = ranked(private, "turn", "page", ["pos"]).where("n = lim").select("turn", F.struct("page", "pos").alias("last"))
     return open_.join(last, "turn", "left").where(F.col("last").isNull() | (F.struct("page", "pos") <= F.col("last"))).drop("last")

@@ -460,20 +460,27 @@ def head_links(spark, d):
 _TURNS = ("en", "de", "fr", "es")
 
 
-def _turns() -> str:
-    """Keywords in turn: what one takes is held for all after it."""
-    out = [_LINKS, "pl AS (SELECT DISTINCT keyword, page_id // 2 AS g FROM links)", "pn AS (SELECT keyword, g, CAST(row_number() OVER (PARTITION BY keyword ORDER BY g) AS INTEGER) AS page FROM pl)"]
-    out.append(f"h AS (SELECT l.keyword, page, page_id AS pos, id FROM links l JOIN pn ON l.keyword = pn.keyword AND l.page_id // 2 = pn.g WHERE page <= {CAP})")
-    held = "SELECT CAST(item_id AS VARCHAR) FROM benchmark"
-    for i, k in enumerate(_TURNS):
+def _turns(turns: tuple[str, ...], head: list[str], held: str, limit: int) -> str:
+    """Keywords in turn, from ``pn`` (keyword, page) and ``h`` (keyword, page, pos, id): what one takes is held for all after it."""
+    out = list(head)
+    for i, k in enumerate(turns):
         out.append(f"f{i} AS (SELECT * FROM h WHERE keyword = '{k}' AND id NOT IN ({held}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY page, pos) = 1)")
-        out.append(f"s{i} AS (SELECT min(page) AS stop FROM pn WHERE keyword = '{k}' AND page <= {CAP} AND page NOT IN (SELECT page FROM f{i}))")
-        out.append(f"t{i} AS (SELECT * FROM (SELECT f.*, CAST(row_number() OVER (ORDER BY page, pos) AS INTEGER) AS n FROM f{i} f, s{i} WHERE stop IS NULL OR page < stop) WHERE n <= {LIMIT})")
+        out.append(f"s{i} AS (SELECT min(page) AS stop FROM pn WHERE keyword = '{k}' AND page NOT IN (SELECT page FROM f{i}))")
+        out.append(f"t{i} AS MATERIALIZED (SELECT * FROM (SELECT f.*, CAST(row_number() OVER (ORDER BY page, pos) AS INTEGER) AS n FROM f{i} f, s{i} WHERE stop IS NULL OR page < stop) WHERE n <= {limit})")
         held += f" UNION ALL SELECT id FROM t{i}"
-    return "WITH " + ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT keyword, page, pos, id, n FROM t{i}" for i in range(len(_TURNS)))
+    return "WITH " + ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT keyword, page, pos, id, n FROM t{i}" for i in range(len(turns)))
 
 
-@query(_turns())
+_PAGED = [
+    _LINKS,
+    "pl AS (SELECT DISTINCT keyword, page_id // 2 AS g FROM links)",
+    "pa AS (SELECT keyword, g, CAST(row_number() OVER (PARTITION BY keyword ORDER BY g) AS INTEGER) AS page FROM pl)",
+    f"pn AS (SELECT keyword, page FROM pa WHERE page <= {CAP})",
+    f"h AS (SELECT l.keyword, page, page_id AS pos, id FROM links l JOIN pa ON l.keyword = pa.keyword AND l.page_id // 2 = pa.g WHERE page <= {CAP})",
+]
+
+
+@query(_turns(_TURNS, _PAGED, "SELECT CAST(item_id AS VARCHAR) FROM benchmark", LIMIT))
 def keyword_turns(spark, d):
     pages, links = _paged(spark, d)
     turns = spark.createDataFrame(list(enumerate(_TURNS)), "turn long, keyword string")
@@ -595,3 +602,18 @@ def drained(spark, d):
     at = f"{shared_dir(spark)}/tidemill/drained-{uuid.uuid4().hex}"
     E.drain(stream, registry, "thread", "fallback", f"{at}/out", f"{at}/checkpoint", every=None).awaitTermination()
     return spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in rows.dtypes)}, thread long, sink string").json(f"{at}/out").select("conv_id", "turn", "role", "text", "sink")
+
+
+# Sources in turn: each takes the texts that no earlier one has, page by page, up to the first page without a new one.
+_SOURCES = tuple(f"src{i}" for i in range(20))
+_MOST, _ALL = 10_000_000, 1 << 30
+_TEXTS = ["h AS MATERIALIZED (SELECT source AS keyword, CAST(doc_id // 500 AS INTEGER) AS page, doc_id AS pos, md5(text) AS id FROM documents WHERE text IS NOT NULL)", "pn AS MATERIALIZED (SELECT DISTINCT keyword, page FROM h)"]
+
+
+@query(_turns(_SOURCES, _TEXTS, "SELECT md5(text) FROM benchmark WHERE text IS NOT NULL", _MOST))
+def source_turns(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    hits = docs.select(F.col("source").alias("keyword"), F.expr("cast(doc_id div 500 as int)").alias("page"), F.col("doc_id").alias("pos"), F.md5(F.col("text").cast("binary")).alias("id"))
+    held = table(spark, d, "benchmark").where("text IS NOT NULL").select(F.md5(F.col("text").cast("binary")).alias("id"))
+    turns = spark.createDataFrame(list(enumerate(_SOURCES)), "turn long, keyword string")
+    return U.in_turn(hits.select("keyword", "page"), hits, held, turns, _MOST, _ALL).select("keyword", F.col("page").cast("int").alias("page"), "pos", "id", "n")
