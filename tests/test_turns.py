@@ -109,8 +109,8 @@ def test_one_keyword_has_all_rows(spark):
     rows = spark.range(0, 40_000, 1, 8).select(F.lit("k").alias("keyword"), F.expr("cast(id div 40 as int)").alias("page"), F.col("id").alias("pos"), F.expr("cast(id % 30000 as string)").alias("id"))
     held = spark.createDataFrame([("5",)], "id string")
     got = hits.search(rows.select("keyword", "page"), rows, held, 25_000, 10_000)
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition(keyword" in plan and all("chunk_" in x or "page" in x for x in plan.split("windowspecdefinition(keyword")[1:])
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(keyword" in plan and all("chunk_" in x[:60] or "page" in x[:60] for x in plan.split("windowspecdefinition(keyword")[1:])
     want = [(p // 40, p, str(p), n) for n, p in enumerate((p for p in range(30_000) if p != 5), 1)][:25_000]
     assert sorted((r.page, r.pos, r.id, r.n) for r in got.collect()) == want
     total = hits.page_progress(rows, held).agg(F.max("total"), F.sum("n_new"), F.sum("n_held")).first()
