@@ -1,9 +1,11 @@
 import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import hits, outcomes, turns
+from tidemill.operators import hits, outcomes, runs, turns
 
 
 def _brute(pages, found, held, order, cap):
@@ -115,3 +117,34 @@ def test_one_keyword_has_all_rows(spark):
     assert sorted((r.page, r.pos, r.id, r.n) for r in got.collect()) == want
     total = hits.page_progress(rows, held).agg(F.max("total"), F.sum("n_new"), F.sum("n_held")).first()
     assert tuple(total) == (29_999, 29_999, 2)
+
+
+def test_a_run_is_stopped_while_it_is_under_way(spark):
+    """The keyword under way is broken off, those before it stay, none is begun behind it."""
+    run, begun = runs.Run(spark), []
+    slow = F.udf(lambda i: time.sleep(0.5) or i, "long")
+
+    def step(k, held):
+        begun.append(k)
+        rows = spark.range(2 if k != "c" else 4000, numPartitions=2)
+        ids = rows.select(F.lit(k).alias("keyword"), F.concat(F.lit(k), "id").alias("id"))
+        return ids if k != "c" else rows.select(F.lit(k).alias("keyword"), slow("id").cast("string").alias("id"))
+
+    def stop():
+        while "c" not in begun:
+            time.sleep(0.05)
+        time.sleep(2)
+        runs.Run(spark, run.name).stop()
+
+    thread = threading.Thread(target=stop)
+    thread.start()
+    at = time.time()
+    got = outcomes.fold(list("abcde"), spark.createDataFrame([], "id string"), step, run).collect()
+    thread.join()
+    assert sorted(r.id for r in got) == ["a0", "a1", "b0", "b1"] and begun == ["a", "b", "c"] and time.time() - at < 120
+    with pytest.raises(RuntimeError, match="stopped before"):
+        outcomes.fold(["d"], spark.createDataFrame([], "id string"), step, run)
+    run.clear()
+    assert outcomes.fold(["d"], spark.createDataFrame([], "id string"), step, run).count() == 2
+    with pytest.raises(ValueError, match="own"), run.step():
+        raise ValueError("own")

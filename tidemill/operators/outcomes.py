@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.runs import Run
+
 
 def repeats(items: DataFrame, target: str, ok: str, order: str) -> DataFrame:
     """With ``status``: skipped where an earlier item made the same target, else success or failed."""
@@ -51,21 +54,29 @@ def before_stop(rows: DataFrame, by: str, order: str, stop: str) -> DataFrame:
     return rows.withColumn("seen_", seen).where("seen_ = 0").drop("seen_")
 
 
-def fold(keywords: list[str], held: DataFrame, step: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+def fold(keywords: list[str], held: DataFrame, step: Callable[[str, DataFrame], DataFrame], run: Run | None = None) -> DataFrame:
     """Keywords one after another over a shared folder: what one takes is held for the next.
 
     ``step(keyword, held)`` gives rows with an id. The result depends on the order of the keywords, by design: what a keyword
     may take, and where its pages end, depends on all before it. For searches of many keywords see ``turns.in_turn``, which
     needs no job for each; this is for any other ``step``. Each step's rows are written to the checkpoint folder
-    once, so held ids are files, and a step's plan grows by one scan for each keyword before it.
+    once, so held ids are files, and a step's plan grows by one scan for each keyword before it. A ``run`` that is stopped ends
+    before its next keyword, and breaks off the one under way; the keywords before it stay. One that stops before the first is an error.
     """
     if not keywords:
         raise ValueError("no keywords")
     out, held = None, held.select("id")
     for k in keywords:
-        got = checkpointed(step(k, held))
+        got = None
+        with run.step() if run else nullcontext(True) as go:
+            if go:
+                got = checkpointed(step(k, held))
+        if got is None:
+            break
         out = got if out is None else out.unionByName(got)
         held = held.unionByName(got.select("id"))
+    if out is None:
+        raise RuntimeError("stopped before the first keyword was done")
     return out
 
 

@@ -7,7 +7,7 @@
 The planner lists one level. Every subfolder and every archive there is a part of the work, and files that lie in the folder itself
 are dealt out by name to ``splits`` parts, each of which lists the folder and keeps its own; all other listing and all reading is
 done by tasks. Parts are put together where there are more than ``parts``. Conditions on ``name`` and ``folder`` (equality,
-IN, beginning, end) are applied before a file is read.
+IN, beginning, end) are applied before a file is read; the condition that ``folder`` is empty lists no subfolder.
 
 As a stream, a batch is what was modified since the one before, up to ``settle`` seconds before now, so that files of one instant come together.
 A folder that is missing has no rows. Paths may be those of any store that pyarrow opens.
@@ -61,8 +61,9 @@ class _Files:
     def planned(self, since: float = float("-inf"), upto: float = float("inf")) -> list[Part]:
         fs, root = _opened(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        whole = [(f.path, f.type == pafs.FileType.File) for f in found if f.type == pafs.FileType.Directory or f.base_name.endswith(ARCHIVES)]
-        n = min(self.splits, len(found) - len(whole))
+        flat = any(isinstance(f, EqualTo) and f.attribute == ("folder",) and not f.value for f in self.filters)
+        whole = [(f.path, f.type == pafs.FileType.File) for f in found if f.type == pafs.FileType.Directory and not flat or f.type == pafs.FileType.File and f.base_name.endswith(ARCHIVES)]
+        n = min(self.splits, sum(f.type == pafs.FileType.File for f in found))
         dealt = [whole[i :: min(len(whole), self.parts)] for i in range(min(len(whole), self.parts))]
         return [Part(w, None, since, upto) for w in dealt] + [Part([], (k, n), since, upto) for k in range(n)]
 

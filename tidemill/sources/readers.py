@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import id_from_name, none_if_empty, strip
+from tidemill.sources import archive
 
-#: Files of a folder that the driver lists.
-MAX_NAMES = 1_000_000
 # White space in markup, and what holds no anchors although it may look so.
 BLANK = r"\t\n\f\r "
 HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<script[{BLANK}/>].*?(?:</script[{BLANK}/>]|\z)|<style[{BLANK}/>].*?(?:</style[{BLANK}/>]|\z)"
@@ -55,17 +54,9 @@ def held_ids(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def held_names(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, size) of the files of a folder, empty files too; no rows where it is missing.
-
-    The listing is one directory's metadata, read by the driver as Spark's own file index does; at most ``MAX_NAMES`` files.
-    """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    listed = fs.listStatus(path) if fs.exists(path) else []
-    if len(listed) > MAX_NAMES:
-        raise ValueError(f"{folder} has {len(listed)} entries, at most {MAX_NAMES} are listed on the driver")
-    found = [(s.getPath().getName(), s.getLen()) for s in listed if s.isFile()]
-    return spark.createDataFrame(found, "name string, size long")
+    """(name, size) of the files of a folder, empty files too; no rows where it is missing. Tasks list it, see ``archive``."""
+    archive.register(spark)
+    return spark.read.format("stored_files").option("content", "false").load(folder).where("folder = '' AND archive IS NULL").select("name", "size")
 
 
 def attribute(tag: Column, name: str) -> Column:
