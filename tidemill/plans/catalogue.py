@@ -523,23 +523,36 @@ def _tasks(spark, d):
 
 _ASKED = "CASE event_type WHEN 'view' THEN 'searching' WHEN 'click' THEN 'downloading' WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'stopped' ELSE event_type END"
 _MAY = " OR ".join(f"(s = '{a}' AND t IN ({', '.join(map(repr, to))}))" for a, to in M.LEGAL.items())
-_MACHINE = f"""RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, {_ASKED} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-w(user_id, i, event_id, before, after, rejected) AS (
-SELECT user_id, 0, CAST(NULL AS BIGINT), '', 'ready', false FROM e WHERE i = 1
-UNION ALL SELECT e.user_id, e.i, e.event_id, w.after, CASE WHEN {_MAY.replace("s =", "w.after =").replace("t IN", "e.status IN")} THEN e.status ELSE w.after END, NOT coalesce({_MAY.replace("s =", "w.after =").replace("t IN", "e.status IN")}, false)
-FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)"""
 
 
-@query(f"WITH {_MACHINE} SELECT user_id, arg_max(after, i) AS state, CAST(count(*) FILTER (rejected) AS BIGINT) AS n_rejected FROM w GROUP BY 1")
+def _machine(task: str, order: str, status: str, source: str) -> str:
+    """Events one after another: each task's state goes from row to row."""
+    may = _MAY.replace("s =", "w.after =").replace("t IN", "e.status IN")
+    return f"""RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {task} ORDER BY {order}, status) AS i FROM (SELECT *, {status} AS status FROM {source})),
+w AS (SELECT e.*, '' AS before, 'ready' AS after, false AS rejected, 0 AS k FROM e WHERE i = 1
+UNION ALL SELECT e.*, w.after, CASE WHEN {may} THEN e.status ELSE w.after END, NOT coalesce({may}, false), w.k + 1 FROM w JOIN e ON e.{task} = w.{task} AND e.i = w.k + 1)"""
+
+
+@query(f"WITH {_machine('user_id', 'ts, event_id', _ASKED, 'events')} SELECT user_id, arg_max(after, k) AS state, CAST(count(*) FILTER (rejected) AS BIGINT) AS n_rejected FROM w GROUP BY 1")
 def task_machine(spark, d):
     return M.final_states(_tasks(spark, d), "user_id", ["ts", "event_id"], "status")
 
 
-@query(f"WITH {_MACHINE} SELECT user_id, event_id, before, after, rejected FROM w WHERE i > 0")
+@query(f"WITH {_machine('user_id', 'ts, event_id', _ASKED, 'events')} SELECT user_id, event_id, before, after, rejected FROM w WHERE k > 0")
 def task_transitions(spark, d):
     return M.transitions(_tasks(spark, d), "user_id", ["ts", "event_id"], "status").select("user_id", "event_id", "before", "after", "rejected")
 
 
+# Conversations as tasks: what a turn asks for follows from who speaks and how long, so that most steps are legal and some are not.
+_SPOKEN = "CASE WHEN role = 'user' THEN 'searching' WHEN length(text) % 7 = 0 THEN 'success' WHEN length(text) % 11 = 0 THEN 'error' ELSE 'downloading' END"
+
+
+@query(f"WITH {_machine('conv_id', 'turn', _SPOKEN, 'conversations')} SELECT conv_id, turn, before, after, rejected FROM w WHERE k > 0")
+def conversation_states(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_SPOKEN).alias("status"))
+    return M.transitions(rows, "conv_id", ["turn"], "status").select("conv_id", "turn", "before", "after", "rejected")
+
+
 # Messages of tasks: conversations have no times, so that of a message is a second of January 2024 by its numbers.
 _SECOND = "(conv_id * 7919 + turn * 61) % 2592000"
 _MESSAGES = f"m AS (SELECT DISTINCT conv_id, turn, conv_id % 150 AS user_id, make_timestamp(2024, 1, 1, 0, 0, 0) + INTERVAL 1 SECOND * CAST({_SECOND} AS INTEGER) AS ts FROM conversations)"
