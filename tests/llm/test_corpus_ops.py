@@ -60,6 +60,36 @@ def test_slots_follow_from_the_draws(spark):
             assert sorted(g.slot) == list(range(len(g)))
 
 
+def test_taken_words_by_brute_force(spark, docs):
+    """Every slot of every shard, one after another, gives its block; a row is taken as often as blocks with its words are."""
+    options = {"block_words": 16, "shard_slots": 64, "seed": 5}
+    got = mixing.taken(docs, **options).collect()
+    rows = mixing.sized(docs).collect()
+    order = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r["size"] for r in rows if r.source == s) for s in order]
+    targets = mixing.shares(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes), 2)
+    plan = mixing.Plan.of(sizes, targets, 16, 64, 5, 2)
+    times = [np.zeros(int(n), np.int64) for n in plan.blocks]
+    given = np.zeros(len(sizes), np.int64)
+    for shard in range(plan.shards):
+        whole, src, n = plan.drawn(shard)
+        counts = whole.copy()
+        counts[src] += n
+        for i in np.flatnonzero(counts):
+            _, block = plan.slot_blocks(int(i), given[i] + np.arange(counts[i]))
+            np.add.at(times[i], block, 1)
+        given += counts
+    # Where each row lies in its source's stream is the one thing that is taken over.
+    sid = {s: i for i, s in enumerate(order)}
+    src = spark.createDataFrame([(r.doc_id, r.h, r["size"], sid[r.source]) for r in rows if r["size"]], "doc_id long, h long, size long, src int")
+    want = []
+    for r in mixing.placed(src, len(rows)).collect():
+        words = sum(int(times[r.src][w // 16]) for w in range(r.start, r.start + r["size"]))
+        want.append((r.doc_id, r["size"], words))
+    assert sorted(want, key=repr) == sorted(((r.doc_id, r["size"], r.taken) for r in got if r["size"]), key=repr)
+    assert all(r.taken == 0 for r in got if not r["size"]) and len(got) == len(rows)
+
+
 def test_mixing_comes_near_its_targets(spark, docs, sf, no_docs):
     for d in (docs, table(spark, sf, "documents")):
         got = mixing.taken(d, block_words=32).toPandas()

@@ -9,7 +9,7 @@ reach ``MIN_SHARE``. Of bands that overlap the one with the longest chain counts
 Words are compared as strings, not only as hashes. Only A-Z are lower-cased.
 
 Base phrases count wherever their words stand consecutively, that is where one diagonal holds all their windows.
-Nulls are empty texts: no words, no labels, null places. Every row gives one row, repeated rows too. A text full of one
+An empty table gives no rows; other columns may have any names. Nulls are empty texts: no words, no labels, null places. Every row gives one row, repeated rows too. A text full of one
 phrase is only as many rows as it has words; no list is gathered over documents.
 """
 

@@ -8,11 +8,13 @@ a source gives. A slot's number within its source goes through the source's pseu
 to a block, and slots meet the words of their blocks in a join by (source, block). Within a shard the slots are in random
 order; the mix is laid out by shard and slot.
 
-A source's slots count whole passes over its stream first. Slots beyond ``most`` (2) passes stay empty, so no word is taken
+The draw decides what the whole parts leave, fewer slots of a shard than there are sources (about 1 % with 20 sources); the
+rest of the mix follows from the targets. A source's slots count whole passes over its stream first. Slots beyond ``most`` (2) passes stay empty, so no word is taken
 more than twice. Taken words are whole blocks: they come within a few blocks of the target.
 
 Nulls: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order. Sources are
-ordered by code point. Repeated rows are separate rows. Sources are collected to the driver, at most ``MAX_SOURCES``; all
+ordered by code point. Repeated rows are separate rows; a text of any length is a row, cut at blocks. An empty table gives no
+rows, and other columns may have any names. Sources are collected to the driver, at most ``MAX_SOURCES``; all
 else stays distributed, and prefix sums over a hot source go through hashed buckets, those over shards through chunks of
 shards, so no task holds a source.
 """

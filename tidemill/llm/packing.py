@@ -14,7 +14,7 @@ partitions. The last round has one; what remains then, less than one window, is
 two, which need no padding. So every id lies in exactly one piece and nothing is padded. The work grows with the input, as
 shards have the same size at every size of it; a seed's neighbours are those of its shard, which the route decides.
 
-A null text is empty and packs its end id alone. Every row is packed, repeated rows and rows without a doc_id too. Ties in
+A null text is empty and packs its end id alone; an empty table gives no rows. Other columns may have any names. Every row is packed, repeated rows and rows without a doc_id too. Ties in
 score go to the earlier piece. Memory of a task is bounded by a shard, or by one document if that is larger; the driver
 holds document frequencies, one number for each id of the vocabulary, and nothing for each row. Ids are kept in 16 bits: a
 tokenizer with more than 65,536 ids is an error. Scores are sums in single precision.

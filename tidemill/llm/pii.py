@@ -10,7 +10,7 @@ and ``secret`` (a key or token of 16 characters or more, letters and digits mixe
 none that an earlier anchor of its kind has read (no cue for a secret stands within a secret), so time is linear in the text.
 
 Nulls and empty texts give no spans. Every input row gives one row, repeated rows too. Columns besides ``doc_id`` and
-``text`` are not read. Memory is bounded by one Arrow batch and the spans of one text.
+``text`` are not read, whatever their names. An empty table gives no rows. Memory is bounded by one Arrow batch and the spans of one text.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ of the labelled rows, pruned on the rest, and kept while it stays precise; rows
 The list is emitted as one Spark ``CASE`` expression, which judges all rows.
 
 The fit reads at most ``max_labelled`` labelled rows, chosen by the hash of doc_id; nothing else is bounded.
-Nulls are empty texts (all statistics 0). Null labels are not used; of several labels of one doc_id the largest counts.
+Nulls are empty texts (all statistics 0); an empty table gives no rows, texts of any length are read whole, a few MB at a
+time, and other columns may have any names. Of rules that cover as much the shorter one, then the later feature by name goes first. Null labels are not used; of several labels of one doc_id the largest counts.
 Without labels of both kinds the list is empty and keeps everything that the base rules keep. Every row gives one row.
 Repeats of words and lines are found by 64-bit hashes within a text.
 """

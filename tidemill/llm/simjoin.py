@@ -18,7 +18,7 @@ than ``block`` sets or ``BLOCK_SHINGLES`` shingles are cut into blocks, and pair
 holds a bounded part of a group (or two sets, where these alone are larger). The links found there give each text its number of links, and their components its class. Classes are
 chains of links: two texts of a class need not be similar themselves.
 
-Null texts and texts without words are classes of their own, without links. Rows that share a doc_id and a set are copies
+An empty table gives no rows; other columns may have any names. Null texts and texts without words are classes of their own, without links. Rows that share a doc_id and a set are copies
 of each other like others. Rows without a doc_id take part; the class_id is null only where no row of a class has one. Shingles are 64-bit hashes of words as they stand (case and punctuation count).
 """
 

@@ -12,7 +12,8 @@ offsets and spliced at a common boundary that is proven stable: both encodings h
 behind white space, and they agree on the tokens around it, in id and place. Where no such boundary exists in an overlap,
 the overlap is widened, in the end to all that is not yet spliced (a text without white space is so encoded whole).
 
-Nulls count as empty texts (0 tokens). Every row gives one row. Columns besides doc_id and text are not read.
+Nulls count as empty texts (0 tokens). Every row gives one row. Columns besides doc_id and text are not read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

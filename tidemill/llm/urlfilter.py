@@ -6,7 +6,7 @@ path prefix whose length some rule has, and compare the stored string of a hit,
 
 A rule fits its host and all subdomains if the path starts with the rule's; the longest rule string wins, of equally
 long ones that with the longer host. Without a rule the verdict is ``default``. A null url, or one without ``://``, has
-empty host and path. Every row gives one row. The rule list is bounded by ``max_rules``, as each executor holds a copy.
+empty host and path. Every row gives one row, an empty table none; other columns may have any names. The rule list is bounded by ``max_rules``, as each executor holds a copy.
 """
 
 from __future__ import annotations
