@@ -44,11 +44,14 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def in_ranges(rows: DataFrame, order: list[str | Column], rows_each: int, name: str, number: str = "slice_", n_rows: int | None = None) -> tuple[DataFrame, int]:
+def in_ranges(rows: DataFrame, order: list[str | Column], rows_each: int, name: str, number: str = "slice_", for_all_cores: bool = True) -> tuple[DataFrame, int]:
     """``rows`` stored with the number of the range of ``order`` that they lie in, about ``rows_each`` to a range, and how many
-    ranges there may be. Ranges ascend with their number and rows that are equal in ``order`` lie in one range."""
-    spark = rows.sparkSession
-    n = max(1, -(-(rows.count() if n_rows is None else n_rows) // rows_each))
+    ranges there may be. Ranges ascend with their number and rows that are equal in ``order`` lie in one range. With
+    ``for_all_cores`` fewer rows make smaller ranges, down to 10,000 rows, while cores are left."""
+    total = rows.count()
+    n = max(1, -(-total // rows_each))
+    if for_all_cores:
+        n = max(n, min(rows.sparkSession.sparkContext.defaultParallelism, -(-total // 10_000)))
     dealt = rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)
     return stored(dealt.withColumn(number, F.spark_partition_id().cast("long")), name), n
 

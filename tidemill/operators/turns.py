@@ -16,8 +16,8 @@ BLOCK_ROWS = 1_000_000
 _TAKEN = "turn long, page long, at long, id string, n int"
 
 
-def candidates(pages: DataFrame, hits: DataFrame, held: DataFrame, turns: DataFrame, limit: int, cap: int) -> DataFrame:
-    """(turn, keyword, page, pos, id, lim, listed): what each keyword may look at, whatever the others take.
+def candidates(pages: DataFrame, hits: DataFrame, held: DataFrame, turns: DataFrame, limit: int, cap: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(turn, keyword, page, pos, id, lim, listed): what each keyword may look at, whatever the others take; and the stored tables it reads.
 
     Ids that are held are gone, as are all pages from a keyword's first listed page on that has nothing left then. So is what
     comes behind the keyword's limit in ids that no other keyword has: nobody can take those from it. ``listed`` tells whether
@@ -34,7 +34,8 @@ def candidates(pages: DataFrame, hits: DataFrame, held: DataFrame, turns: DataFr
     open_ = stored(open_, "turns-open")
     private = open_.join(open_.groupBy("id").agg(F.count("*").alias("n_turns")).where("n_turns = 1").select("id"), "id", "left_semi")
     last = ranked(private, "turn", "page", ["pos"]).where("n = lim").select("turn", F.struct("page", "pos").alias("last"))
-    return open_.join(last, "turn", "left").where(F.col("last").isNull() | (F.struct("page", "pos") <= F.col("last"))).drop("last")
+    found = open_.join(last, "turn", "left").where(F.col("last").isNull() | (F.struct("page", "pos") <= F.col("last"))).drop("last")
+    return found, [listed, first, open_]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,12 +82,12 @@ def in_turn(pages: DataFrame, hits: DataFrame, held: DataFrame, turns: DataFrame
     the keywords: one block, up to ``block_rows`` candidates, takes one round.
     """
     spark = hits.sparkSession
-    found = candidates(pages, hits.where("id IS NOT NULL"), held, turns, limit, cap)
-    blocks, n_blocks = in_ranges(found, ["turn"], block_rows, "turns", "block")
+    found, used = candidates(pages, hits.where("id IS NOT NULL"), held, turns, limit, cap)
+    blocks, n_blocks = in_ranges(found, ["turn"], block_rows, "turns", "block", for_all_cores=False)
     # Places as numbers, whatever the type of pos: within a page of a turn.
     rows, at = blocks, F.row_number().over(Window.partitionBy("turn", "page").orderBy("pos")).cast("long")
     rows = stored(rows.withColumn("page", F.col("page").cast("long")).withColumn("at", at), "turns-rows")
-    forget(blocks)
+    forget(blocks, *used)
     claims, before, rounds = None, None, 0
     while True:
         gone = F.lit(False)
