@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import canonical_url
 
+#: Up to this limit the planner cuts each task's rows of a key to the limit before they are shuffled, so a window by key sees few.
+GROUP_LIMIT = 1000
+
 
 def extracted(links: DataFrame, pattern: str, prefix: str, href: str = "href", id_group: int = 1, slug_group: int | None = 2) -> DataFrame:
     """Links with id, slug and canonical url; links that are empty or do not match are dropped."""
@@ -78,6 +81,8 @@ def search(pages: DataFrame, hits: DataFrame, held: DataFrame, limit: int, cap:
     fresh = first_wins(not_held(seen, held), ["keyword", "id"], ["page", "pos"])
     stop = stop_pages(pages.where(F.col("page") <= cap), fresh)
     kept = fresh.join(stop, "keyword").where(F.col("stop").isNull() | (F.col("page") < F.col("stop"))).drop("stop")
+    if limit <= GROUP_LIMIT:
+        return kept.withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy("page", "pos"))).where(F.col("n") <= limit)
     return ranked(kept, "keyword", "page", ["pos"]).where(F.col("n") <= limit)
 
 
