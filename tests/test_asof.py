@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import asof, summaries
+from tidemill.plans import catalogue
 
 
 @pytest.mark.parametrize("range_rows", [10**6, 60, 7])
@@ -75,3 +76,22 @@ def test_summaries_add_up_within_their_error(spark):
     error = 4 / 2 ** (summaries.LOG_SIZE / 2)  # four standard errors
     assert abs(n / 200_000 - 1) < error and abs(both - 50_000) < error * 300_000 and abs(new - 150_000) < error * 300_000
     assert size <= 8 * 2**summaries.LOG_SIZE + 64
+
+
+def test_lists_add_up_with_null_ids(spark):
+    rows = [("a", d, str(i)) for d in range(3) for i in range(d, d + 10)] + [("a", 1, None), ("b", 0, None), (None, 2, "007"), (None, 0, "7")]
+    days = summaries.listed(spark.createDataFrame(rows, "keyword string, day int, id string"), ["keyword", "day"])
+    held = spark.createDataFrame([("3",), ("3",), ("7",), (None,)], "id string")
+    got = summaries.compared(summaries.listed(days, ["keyword"]), held, ["keyword"]).collect()
+    assert {tuple(r) for r in got} == {("a", 12, 2, 10), ("b", 0, 0, 0), (None, 2, 1, 1)} and len(got) == 3
+
+
+@pytest.mark.parametrize("null_held", [False, True])
+def test_seen_summaries_are_exact_beyond_a_sketch(spark, tmp_path, null_held):
+    """More ids of a keyword, and more held ids, than a sketch keeps; ids come on several days."""
+    ids = {"en": range(20_000), "fr": range(15_000, 20_001), "de": range(4)}
+    urls = [f"https://h/{k}/{i % len(of) + of[0]}.html" for k, of in ids.items() for i in range(2 * len(of))]
+    spark.createDataFrame(list(enumerate([*urls, None, "https://h/it/1"])), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i,) for i in range(3, 18_000)] + [(None,)] * null_held, "item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(k, len(of), len(h := {*of} & {*range(3, 18_000)}), 0 if null_held else len(of) - len(h)) for k, of in ids.items()}
+    assert {tuple(r) for r in catalogue.QUERIES["seen_summaries"](spark, str(tmp_path)).collect()} == want

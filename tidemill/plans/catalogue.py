@@ -599,11 +599,12 @@ def task_sessions(spark, d):
 @query(f"""WITH {_LINKS}, h AS (SELECT CAST(item_id AS VARCHAR) AS id FROM benchmark)
 SELECT keyword, count(DISTINCT id) AS n_seen, count(DISTINCT id) FILTER (id IN (SELECT id FROM h)) AS n_held, count(DISTINCT id) FILTER (id NOT IN (SELECT id FROM h)) AS n_new FROM links GROUP BY 1""")
 def seen_summaries(spark, d):
-    """Summaries of seven days put together; exact up to 4096 ids of a keyword, estimates beyond."""
-    days = Z.summarised(_hits(spark, d).withColumn("day", F.col("page_id") % 7), ["keyword", "day"])
-    seen = Z.added_up(days, ["keyword"])
-    s, h = F.col("summary"), Z.summarised(_held(spark, d), []).scalar()
-    return seen.select("keyword", Z.counted(s).alias("n_seen"), Z.shared(s, h).alias("n_held"), Z.missing(s, h).alias("n_new"))
+    """Lists of seven days put together; as in SQL, nothing is known to be new beside a held id that is null."""
+    days = Z.listed(_hits(spark, d).withColumn("day", F.col("page_id") % 7), ["keyword", "day"])
+    held = _held(spark, d)
+    unknown = held.agg(F.coalesce(F.bool_or(F.col("id").isNull()), F.lit(False))).scalar()
+    counts = Z.compared(Z.listed(days, ["keyword"]), held, ["keyword"])
+    return counts.select("keyword", "n_seen", "n_held", F.when(unknown, 0).otherwise(F.col("n_new")).alias("n_new"))
 
 
 @query("SELECT conv_id, turn, role, text, CASE WHEN turn % 5 = 3 THEN 'fallback' ELSE 'sink' || CAST(turn % 5 AS VARCHAR) END AS sink FROM conversations")
